@@ -12,14 +12,16 @@ from loglens.functions.schema import ENTRY_COLUMNS
 _BLANK = r"[^\S\n]"
 _CLOCK = r"\d{2}:\d{2}:\d{2}"
 _REST = r"[^\r\n]*"
+_NAMED_STAMP = rf"\w{{3}}{_BLANK}+\d{{1,2}}{_BLANK}+{_CLOCK}"
+_ISO_STAMP = rf"\d{{4}}-\d{{2}}-\d{{2}}{_BLANK}+{_CLOCK}"
 _SYSLOG = (
-    rf"(\w{{3}}{_BLANK}+\d{{1,2}}{_BLANK}+{_CLOCK})"  # Mon d HH:MM:SS
+    rf"({_NAMED_STAMP})"
     rf"{_BLANK}+(\S+)"                                # host
     rf"{_BLANK}+(\S+?)(?:\[(\d+)\])?:"                # process[pid]:
     rf"{_BLANK}*({_REST})"                            # message
 )
 _ISO = (
-    rf"(\d{{4}}-\d{{2}}-\d{{2}}{_BLANK}+{_CLOCK})"    # yyyy-MM-dd HH:MM:SS
+    rf"({_ISO_STAMP})"
     rf"{_BLANK}+\[?(\w+)\]?"                          # level word, used up even if no level
     rf"{_BLANK}*({_REST})"                            # message
 )
@@ -34,9 +36,7 @@ _HOUR = rf"(\d{{2}}):\d{{2}}:\d{{2}}"
 def severity_rank(value: Column, word_boundary: bool = False) -> Column:
     """Rank of a raw line without parsing the rest of it; for predicates on raw lines."""
     token = F.regexp_extract(value, rf"^{_ISO}\z", 2)
-    level = F.coalesce(
-        sev.from_content(value, word_boundary), sev.from_string(token), F.lit(sev.DEFAULT_LEVEL))
-    return sev.rank(level)
+    return sev.line_rank(value, token, word_boundary)
 
 
 def hour_of(timestamp: Column) -> Column:
@@ -58,6 +58,13 @@ def event_time(timestamp: Column, year: int | None) -> Column:
     return F.when(text.rlike(r"^\d{4}-"), iso).otherwise(named)
 
 
+def with_event_ms(lines: DataFrame, *, now: str, year: int | None = None) -> DataFrame:
+    """Raw lines with ``event_ms``, their own stamp as epoch milliseconds, else that of ``now``."""
+    stamp = F.regexp_extract("value", rf"^({_ISO_STAMP}|{_NAMED_STAMP})", 1)
+    time = F.coalesce(event_time(stamp, year), F.lit(now).cast("timestamp"))
+    return lines.withColumn("event_ms", F.unix_millis(time))
+
+
 def parse(lines: DataFrame, *, now: str, year: int | None = None, strip_cr: bool = False,
           word_boundary: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Parse ``(source, line_number, value)`` rows into entries.
@@ -79,20 +86,17 @@ def parse(lines: DataFrame, *, now: str, year: int | None = None, strip_cr: bool
     def field(position: int) -> Column:
         return F.coalesce(F.col("_f")[position], F.lit(""))
 
-    level = F.coalesce(
-        sev.from_content(F.col("_value"), word_boundary), sev.from_string(field(5)),
-        F.lit(sev.DEFAULT_LEVEL))
     stamped = cut.select(
         "source", "line_number", *extra,
         F.coalesce(F.col("_f")[1], F.lit(now)).alias("timestamp"),
-        level.alias("severity"),
+        sev.line_rank(F.col("_value"), field(5), word_boundary).alias("severity_rank"),
         field(2).alias("hostname"), field(3).alias("process"), field(4).alias("pid"),
         F.coalesce(F.col("_f")[6], F.col("_value")).alias("message"))
     return stamped.select(
         "timestamp",
         F.lit(now).cast("timestamp").alias("ingest_time"),
         event_time(F.col("timestamp"), year).alias("event_time"),
-        "severity", sev.rank(F.col("severity")).alias("severity_rank"),
+        sev.to_string(F.col("severity_rank")).alias("severity"), "severity_rank",
         "source", "hostname", "process", "pid", "message",
         F.create_map().cast("map<string,string>").alias("tags"),
         "line_number", *extra)

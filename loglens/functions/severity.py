@@ -21,45 +21,41 @@ CONTENT_WORDS = (
 DEFAULT_LEVEL = "INFO"
 
 
+_SPELLINGS = {level: level for level in LEVELS} | ALIASES
+
+
 def rank_of(name: str) -> int:
     """Rank of a level given by the caller; a name that is no level raises."""
-    spellings = {level: level for level in LEVELS} | ALIASES
     exact = name if name in (name.upper(), name.lower()) else ""
-    level = spellings.get(exact.upper())
+    level = _SPELLINGS.get(exact.upper())
     if level is None:
         raise ValueError(f"not a severity level: {name!r}")
     return LEVELS.index(level)
 
 
-def from_string(token: Column) -> Column:
-    """Level name of a token written all-upper or all-lower; null for any other word."""
-    spellings = {level: level for level in LEVELS} | ALIASES
-    branches = None
-    for level in LEVELS:
-        words = [w for w, target in spellings.items() if target == level]
-        hit = token.isin(words + [w.lower() for w in words])
-        branches = F.when(hit, level) if branches is None else branches.when(hit, level)
-    return branches
-
+def token_rank(token: Column) -> Column:
+    """Rank of a level token written all-upper or all-lower; null for any other word.
 
-def rank(level: Column) -> Column:
-    """Integer order of a level name; null for an unknown name."""
-    branches = F.when(level == LEVELS[0], 0)
-    for position, name in enumerate(LEVELS[1:], start=1):
-        branches = branches.when(level == name, position)
-    return branches
+    A lookup in a constant map, so that the token is computed once.
+    """
+    ranks = {word: LEVELS.index(level) for word, level in _SPELLINGS.items()}
+    both_cases = ranks | {word.lower(): rank for word, rank in ranks.items()}
+    table = F.create_map(*[F.lit(x) for pair in both_cases.items() for x in pair])
+    return F.try_element_at(table, token)
 
 
-def to_string(rank_col: Column) -> Column:
+def to_string(rank: Column) -> Column:
     """Level name of a rank, ``UNKNOWN`` outside 0..4."""
-    branches = F.when(rank_col == 0, LEVELS[0])
-    for position, name in enumerate(LEVELS[1:], start=1):
-        branches = branches.when(rank_col == position, name)
-    return branches.otherwise("UNKNOWN")
+    return F.coalesce(F.get(F.array(*[F.lit(level) for level in LEVELS]), rank), F.lit("UNKNOWN"))
+
+
+def from_string(token: Column) -> Column:
+    """Level name of a token, null when it is none."""
+    return F.get(F.array(*[F.lit(level) for level in LEVELS]), token_rank(token))
 
 
-def from_content(value: Column, word_boundary: bool = False) -> Column:
-    """Level named by the words of a line, in any ASCII case; null when there is none.
+def content_rank(value: Column, word_boundary: bool = False) -> Column:
+    """Rank of the level named by the words of a line, in any ASCII case; null if there is none.
 
     Lower-casing is used because it is ASCII-exact for these words: no other letter
     lower-cases to a plain a-z letter they contain. ``word_boundary`` asks for whole words, so
@@ -76,5 +72,13 @@ def from_content(value: Column, word_boundary: bool = False) -> Column:
             hit = text.contains(needed[0].lower())
             for word in needed[1:]:
                 hit = hit | text.contains(word.lower())
-        branches = F.when(hit, level) if branches is None else branches.when(hit, level)
+        rank = LEVELS.index(level)
+        branches = F.when(hit, rank) if branches is None else branches.when(hit, rank)
     return branches
+
+
+def line_rank(value: Column, token: Column, word_boundary: bool = False) -> Column:
+    """Rank of a line: its words decide, else its level token, else INFO."""
+    return F.coalesce(
+        content_rank(value, word_boundary), token_rank(token),
+        F.lit(LEVELS.index(DEFAULT_LEVEL)))

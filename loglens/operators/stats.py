@@ -151,14 +151,23 @@ def stats_file_json(lines: DataFrame, *, detailed: bool = False) -> DataFrame:
     return rows.select("source", F.to_json(F.struct(*fields)).alias("json"))
 
 
-def interval_stats(lines: DataFrame, time: str, interval: str) -> DataFrame:
-    """Cumulative totals at the end of every interval that has lines."""
-    length = line_bytes(F.col("value"))
-    per = lines.groupBy(F.window(F.col(time), interval).alias("w")).agg(
-        F.count(F.lit(1)).alias("lines"), F.sum(length).alias("bytes"))
+def interval_counts(lines: DataFrame, time: str, interval: str) -> DataFrame:
+    """Lines and bytes of every interval that has lines; for batch and streaming rows."""
+    return (lines.groupBy(F.window(F.col(time), interval).alias("w"))
+            .agg(F.count(F.lit(1)).alias("lines"),
+                 F.sum(line_bytes(F.col("value"))).alias("bytes"))
+            .select(F.col("w.start").alias("interval_start"), "lines", "bytes"))
+
+
+def cumulative(per_interval: DataFrame) -> DataFrame:
+    """Totals from the start up to the end of every interval."""
     # One row per interval: the time range bounds the unpartitioned window.
     until = Window.orderBy("interval_start").rowsBetween(Window.unboundedPreceding, 0)
-    return per.select(F.col("w.start").alias("interval_start"), "lines", "bytes").select(
+    return per_interval.select(
         "interval_start", "lines",
         F.sum("lines").over(until).alias("total_lines"),
         F.sum("bytes").over(until).alias("bytes_processed"))
+
+
+def interval_stats(lines: DataFrame, time: str, interval: str) -> DataFrame:
+    return cumulative(interval_counts(lines, time, interval))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 MAX_BROADCAST_SPLITS = 250_000
 
 
-def _hadoop_glob(spark: SparkSession, path: str) -> list[str]:
+def expand(spark: SparkSession, path: str) -> list[str]:
+    """Files and folders a path or glob stands for."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = target.getFileSystem(spark._jsc.hadoopConfiguration())
     found = system.globStatus(target)
@@ -19,7 +20,7 @@ def _hadoop_glob(spark: SparkSession, path: str) -> list[str]:
 def split_missing(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[str]]:
     """Paths of the list, duplicates dropped, as (those that exist, those that do not)."""
     unique = list(dict.fromkeys(paths))
-    found = {p: bool(_hadoop_glob(spark, p)) for p in unique}
+    found = {p: bool(expand(spark, p)) for p in unique}
     return [p for p in unique if found[p]], [p for p in unique if not found[p]]
 
 
@@ -100,7 +101,7 @@ def read_in_order(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Lines with ``source_pos``, the place of their file in the argument list."""
     files = {}
     for path in dict.fromkeys(paths):
-        for name in _hadoop_glob(spark, path):
+        for name in expand(spark, path):
             files.setdefault(name, len(files))
     order = spark.createDataFrame(list(files.items()), "source string, source_pos int")
     return read_lines(spark, list(files)).join(order, "source")

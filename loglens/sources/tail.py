@@ -40,20 +40,24 @@ def _complete_size(system: fs.FileSystem, path: str, size: int, floor: int) -> i
 
 
 class TailReader(DataSourceStreamReader):
-    """Offset: per path the byte position behind the last whole line read, and how often the
-    file was found to have started over. Positions live in the query's checkpoint."""
+    """Offset: per path the byte position behind the last whole line seen.
+
+    Positions live in the query's checkpoint; what is kept here only saves looking at files
+    that did not change. A half-written line waits until its newline is there. A file that is
+    found shorter than before is read again from its beginning.
+    """
 
     def __init__(self, options: dict[str, str]):
         self.paths = json.loads(options["paths"]) if "paths" in options else []
         self.directory = options.get("directory")
         self.pattern = options.get("pattern", "*.log")
         self.start = options.get("start", "latest")
-        self.chunk = int(options.get("chunkbytes", options.get("chunkBytes", CHUNK_BYTES)))
+        self.chunk = int(options.get("chunkBytes", CHUNK_BYTES))
         if self.start not in ("latest", "earliest"):
             raise ValueError(f"start is latest or earliest, not {self.start!r}")
         if not self.paths and not self.directory:
             raise ValueError("give paths or a directory to follow")
-        self._known: dict[str, list[int]] | None = None
+        self._seen: dict[str, tuple[int, int]] = {}
 
     def _sizes(self) -> dict[str, int]:
         found = {}
@@ -71,37 +75,24 @@ class TailReader(DataSourceStreamReader):
         return found
 
     def initialOffset(self) -> dict:
-        if self._known is None:
-            sizes = self._sizes() if self.start == "latest" else {}
-            self._known = {path: [size, 0] for path, size in sizes.items()}
-        return {"files": self._known}
+        return self.latestOffset() if self.start == "latest" else {}
 
     def latestOffset(self) -> dict:
-        if self._known is None:
-            self.initialOffset()
-        known = self._known
-        for path, size in self._sizes().items():
-            position, restarts = known.get(path, [0, 0])
-            if size < position:
-                position, restarts = 0, restarts + 1
-            if size > position:
+        offset = {}
+        for path, size in sorted(self._sizes().items()):
+            old_size, position = self._seen.get(path, (0, 0))
+            if size != old_size:
                 system, name = _locate(path)
-                position = _complete_size(system, name, size, position)
-            known[path] = [position, restarts]
-        return {"files": {path: list(mark) for path, mark in known.items()}}
+                position = _complete_size(system, name, size, position if size > old_size else 0)
+                self._seen[path] = (size, position)
+            offset[path] = position
+        return offset
 
     def partitions(self, start: dict, end: dict) -> list[ByteRange]:
-        # After a restart the offsets of the checkpoint take the place of a fresh listing.
-        for path, mark in end["files"].items():
-            self._known = self._known if self._known is not None else {}
-            if path not in self._known or self._known[path][1] < mark[1]:
-                self._known[path] = list(mark)
-            elif self._known[path][1] == mark[1]:
-                self._known[path][0] = max(self._known[path][0], mark[0])
         ranges = []
-        for path, (stop, restarts) in sorted(end["files"].items()):
-            begin, earlier = start["files"].get(path, [0, 0])
-            if restarts != earlier:
+        for path, stop in end.items():
+            begin = start.get(path, 0)
+            if stop < begin:
                 begin = 0
             for at in range(begin, stop, self.chunk):
                 ranges.append(ByteRange(path, at, min(at + self.chunk, stop), stop, at == begin))
@@ -135,9 +126,6 @@ class TailReader(DataSourceStreamReader):
                 if line_start >= part.stop and not skipping:
                     return
 
-    def commit(self, end: dict) -> None:
-        pass
-
 
 class TailSource(DataSource):
     """``spark.readStream.format("loglens_tail")``: rows ``(source, value)``.

@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loglens.functions.parse import line_bytes
 from loglens.operators.filters import line_condition
+from loglens.operators.stats import interval_counts
 from loglens.sources import tail
 from loglens.sources.lines import base_name, plain_path
 
@@ -48,16 +48,12 @@ def landing(spark: SparkSession, directory: str, max_files_per_trigger: int = 10
 
 
 def interval_totals(lines: DataFrame, time: str, interval: str, late: str) -> DataFrame:
-    """Lines and bytes per interval, kept up to date until ``late`` has passed."""
-    return (lines.withWatermark(time, late)
-            .groupBy(F.window(time, interval).alias("w"))
-            .agg(F.count(F.lit(1)).alias("lines"),
-                 F.sum(line_bytes(F.col("value"))).alias("bytes"))
-            .select(F.col("w.start").alias("interval_start"), "lines", "bytes"))
+    """Lines and bytes per interval, for update mode: kept current until ``late`` has passed."""
+    return interval_counts(lines.withWatermark(time, late), time, interval)
 
 
 def run(rows: DataFrame, checkpoint: str, hooks: list[Hook], *, once: bool = True,
-        every: str = "1 second") -> StreamingQuery:
+        every: str = "1 second", output_mode: str = "append") -> StreamingQuery:
     """Start a query that hands every micro-batch to the hooks.
 
     The first hook is the sink: its errors stop the query, so the batch is tried again. Errors
@@ -78,8 +74,9 @@ def run(rows: DataFrame, checkpoint: str, hooks: list[Hook], *, once: bool = Tru
         if others:
             batch.unpersist()
 
-    writer = rows.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
-    if rows.isStreaming and once:
+    writer = (rows.writeStream.foreachBatch(on_batch).outputMode(output_mode)
+              .option("checkpointLocation", checkpoint))
+    if once:
         return writer.trigger(availableNow=True).start()
     return writer.trigger(processingTime=every).start()
 
