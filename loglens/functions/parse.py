@@ -30,6 +30,9 @@ _ISO = (
 _LINE = rf"^(?:{_SYSLOG}|{_ISO})\z"
 _FIELDS = "\n$1$6\n$2\n$3\n$4\n$7\n$5$8"
 
+# Month names of the syslog stamp.
+_MONTHS = "Jan-Feb-Mar-Apr-May-Jun-Jul-Aug-Sep-Oct-Nov-Dec"
+
 _HOUR = rf"(\d{{2}}):\d{{2}}:\d{{2}}"
 
 
@@ -51,11 +54,13 @@ def line_bytes(value: Column) -> Column:
 def event_time(timestamp: Column, year: int | None) -> Column:
     """Time point of a stamp; month-name stamps carry no year and need one, else null."""
     text = F.regexp_replace(timestamp, r"\s+", " ")
-    iso = F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss"))
-    if year is None:
-        return F.when(text.rlike(r"^\d{4}-"), iso)
-    named = F.try_to_timestamp(F.concat(F.lit(f"{year} "), text), F.lit("yyyy MMM d HH:mm:ss"))
-    return F.when(text.rlike(r"^\d{4}-"), iso).otherwise(named)
+    iso = F.when(F.substr(timestamp, F.lit(5), F.lit(1)) == "-", text)
+    if year is not None:
+        # Every name takes four places of the list; no three letters span its dashes.
+        month = F.floor((F.instr(F.lit(_MONTHS), F.substr(text, F.lit(1), F.lit(3))) + 3) / 4)
+        named = F.concat(F.lit(f"{year}-"), month.cast("string"), F.lit("-"), F.substr(text, F.lit(5)))
+        iso = F.coalesce(iso, named)
+    return F.try_to_timestamp(iso)
 
 
 def with_event_ms(lines: DataFrame, *, now: str, year: int | None = None) -> DataFrame:

@@ -25,12 +25,14 @@ from dataclasses import dataclass
 from math import gcd
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loglens.operators.ordering import top_per_group
+from loglens.sources.shared import materialize
 
 CHUNK_MS = 600_000
+# Chunk number below that of any time.
+BEFORE_ALL = -(2 ** 62)
 
 
 @dataclass(frozen=True)
@@ -175,7 +177,8 @@ def _chunk_phases(limit: RateLimit):
 
 
 def _accepted(limit: RateLimit):
-    """Per millisecond: how many lines find a token. The real bucket, chunk by chunk."""
+    """Per millisecond: how many lines find a token, and the debt after them. The real bucket,
+    chunk by chunk."""
     gain, cost, cap = limit.gain, limit.cost, limit.cap
 
     def step(rows):
@@ -192,105 +195,134 @@ def _accepted(limit: RateLimit):
             taken = min(n, (cap - debt) // cost)
             debt += taken * cost
             last = ms
-            if taken:
-                yield key, ms, taken
+            yield key, ms, taken, debt
 
     return step
 
 
-def accepted_counts(pairs: DataFrame, limit: RateLimit) -> DataFrame:
-    """``(_key, _ms, accepted)`` of the lines counted in ``pairs (_key, _ms, _n)``."""
+def accepted_counts(pairs: DataFrame, limit: RateLimit, carried: DataFrame | None = None) -> DataFrame:
+    """``(_key, _ms, accepted, debt)`` for the lines counted in ``pairs (_key, _ms, _n)``.
+
+    ``carried (_key, _last, _debt)`` holds buckets as an earlier batch left them; no line
+    of a key may be older than that.
+    """
     per_chunk, per_key = ["_key", "_chunk"], ["_key"]
-    counted = pairs.withColumn("_chunk", F.floor(F.col("_ms") / CHUNK_MS))
+    # The counts are small beside the lines and are used up to three times: keep them.
+    counted = materialize(
+        pairs.withColumn("_chunk", F.floor(F.col("_ms") / CHUNK_MS)), "arrivals")
     shapes = _over_sorted(
         counted, per_chunk, ["_ms"], ["_key", "_chunk", "_ms", "_n"], _chunk_shapes(limit),
         "_key string, _chunk bigint, _first bigint, _last bigint, _low bigint, _high bigint, _shift bigint")
+    if carried is not None:
+        # A carried bucket acts like a chunk ahead of all others that ends in its debt.
+        shapes = shapes.unionByName(carried.select(
+            "_key", F.lit(BEFORE_ALL).alias("_chunk"), F.col("_last").alias("_first"), "_last",
+            F.col("_debt").alias("_low"), F.col("_debt").alias("_high"),
+            F.lit(0).cast("bigint").alias("_shift")))
     starts = _over_sorted(
         shapes, per_key, ["_chunk"],
         ["_key", "_chunk", "_first", "_last", "_low", "_high", "_shift"], _chunk_starts(limit),
         "_key string, _chunk bigint, _start_ms bigint, _start_u bigint")
-    begun = counted.join(starts, per_chunk)
-    begun_columns = ["_key", "_chunk", "_ms", "_n", "_start_ms", "_start_u"]
+    columns = ["_key", "_chunk", "_ms", "_n", "_start_ms", "_start_u"]
     if limit.cost == 1:
-        phased = begun.withColumn("_phase", F.lit(0))
+        phased = counted.join(starts, per_chunk).withColumn("_phase", F.lit(0))
     else:
+        begun = counted.join(materialize(starts, "starts"), per_chunk)
         moments = _over_sorted(
-            begun, per_chunk, ["_ms"], begun_columns, _full_moments(limit),
+            begun, per_chunk, ["_ms"], columns, _full_moments(limit),
             "_key string, _chunk bigint, _order bigint, _clock bigint, _left bigint")
+        if carried is not None:
+            clock = F.pmod(F.col("_last") * limit.gain + F.col("_debt"), F.lit(limit.cost))
+            moments = moments.unionByName(carried.select(
+                "_key", F.lit(BEFORE_ALL).alias("_chunk"), F.lit(0).cast("bigint").alias("_order"),
+                clock.cast("bigint").alias("_clock"), F.lit(0).cast("bigint").alias("_left")))
         phases = _over_sorted(
             moments, per_key, ["_chunk", "_order"],
             ["_key", "_chunk", "_order", "_clock", "_left"], _chunk_phases(limit),
             "_key string, _chunk bigint, _phase bigint")
         phased = begun.join(phases, per_chunk)
     return _over_sorted(
-        phased, per_chunk, ["_ms"], begun_columns + ["_phase"], _accepted(limit),
-        "_key string, _ms bigint, accepted bigint")
+        phased, per_chunk, ["_ms"], columns + ["_phase"], _accepted(limit),
+        "_key string, _ms bigint, accepted bigint, debt bigint")
 
 
 def _keyed(lines: DataFrame, key: tuple[str, ...] | None, time: str) -> DataFrame:
-    # One text key for any key columns; without key columns all lines share one bucket.
-    text = F.to_json(F.struct(*key)) if key else F.lit("{}")
+    """Lines with the bucket they belong to as one text, and their millisecond."""
+    if not key:
+        text = F.lit("all")
+    elif len(key) == 1:
+        text = F.coalesce(F.concat(F.lit("="), F.col(key[0]).cast("string")), F.lit("null"))
+    else:
+        text = F.to_json(F.struct(*key), {"ignoreNullFields": "false"})
     return lines.withColumns({"_key": text, "_ms": F.col(time)})
 
 
-def line_counts(lines: DataFrame, key: tuple[str, ...] | None, time: str) -> DataFrame:
-    return _keyed(lines, key, time).groupBy("_key", "_ms").agg(F.count(F.lit(1)).alias("_n"))
+def _arrivals(keyed: DataFrame) -> DataFrame:
+    return keyed.groupBy("_key", "_ms").agg(F.count(F.lit(1)).alias("_n"))
 
 
-def accepted_total(lines: DataFrame, limit: RateLimit, *, key: tuple[str, ...] | None = ("source",),
-                   time: str = "event_ms") -> DataFrame:
-    """Number of lines the limit lets through; needs no line itself."""
-    if limit.max_lines == 0:
-        return lines.agg(F.count(F.lit(1)).alias("accepted"))
-    taken = accepted_counts(line_counts(lines, key, time), limit)
-    return taken.agg(F.coalesce(F.sum("accepted"), F.lit(0)).alias("accepted"))
+def _take(keyed: DataFrame, granted: DataFrame, limit: RateLimit, order: list[str]) -> DataFrame:
+    """The lines whose place in their (key, millisecond) is among the accepted ones."""
+    # No more than ``burst`` lines of one millisecond can ever pass.
+    candidates = top_per_group(
+        keyed, ["_key", "_ms"], [F.col(c) for c in order], limit.burst, "_position",
+        F.struct(*order))
+    taken = granted.filter(F.col("accepted") > 0).select("_key", "_ms", "accepted")
+    return candidates.join(taken, ["_key", "_ms"]).filter(F.col("_position") <= F.col("accepted"))
+
+
+def grant(lines: DataFrame, limit: RateLimit, *, key: tuple[str, ...] | None = ("source",),
+          time: str = "event_ms") -> DataFrame:
+    """``(_key, _ms, accepted)``: how many lines of each bucket and millisecond pass."""
+    return accepted_counts(_arrivals(_keyed(lines, key, time)), limit)
 
 
 def rate_limit(lines: DataFrame, limit: RateLimit, *, key: tuple[str, ...] | None = ("source",),
-               time: str = "event_ms") -> DataFrame:
+               time: str = "event_ms", granted: DataFrame | None = None) -> DataFrame:
     """The lines that find a token, one bucket per ``key`` (``None``: one for all).
 
     ``time`` is a non-null column of epoch milliseconds. Lines of the same key and millisecond
-    are taken by source and line number.
+    are taken by source and line number. ``granted`` is the result of ``grant`` if there
+    already is one.
     """
     if limit.max_lines == 0:
         return lines
-    taken = accepted_counts(line_counts(lines, key, time), limit)
-    # No more than ``burst`` lines of one millisecond can ever pass.
-    candidates = top_per_group(
-        _keyed(lines, key, time), ["_key", "_ms"], [F.col("source"), F.col("line_number")],
-        limit.burst, "_position", F.col("line_number"))
-    return (candidates.join(taken, ["_key", "_ms"])
-            .filter(F.col("_position") <= F.col("accepted")).select(*lines.columns))
+    if granted is None:
+        granted = grant(lines, limit, key=key, time=time)
+    kept = _take(_keyed(lines, key, time), granted, limit, ["source", "line_number"])
+    return kept.select(*lines.columns)
 
 
-def rate_limit_stream(lines: DataFrame, limit: RateLimit, *,
-                      key: tuple[str, ...] | None = ("source",), time: str = "event_ms") -> DataFrame:
-    """The same over a stream, with each bucket kept in the state store between micro-batches.
+def rate_limit_batch(batch: DataFrame, limit: RateLimit, state_dir: str, batch_id: int, *,
+                     key: tuple[str, ...] | None = ("source",), time: str = "event_ms") -> DataFrame:
+    """The same for one micro-batch of a stream, called from ``foreachBatch``.
 
-    Lines are put in time order inside a micro-batch; a line older than its bucket's clock
-    brings no tokens. Equal to the batch result when batches arrive in time order per key.
+    Buckets pass from batch to batch as a small table per batch under ``state_dir`` (shared
+    storage). A repeated batch starts from the table of the batch before it and replaces its own,
+    so it keeps the same lines. A line older than its bucket counts as arriving at the
+    bucket's time.
     """
     if limit.max_lines == 0:
-        return lines
-    gain, cost, cap = limit.gain, limit.cost, limit.cap
-    names = lines.columns
-    order = [c for c in ("source", "line_number") if c in names]
-
-    def step(_key, batches: Iterator[pd.DataFrame], state: GroupState):
-        debt, last = state.get if state.exists else (0, None)
-        rows = pd.concat(list(batches)).sort_values(["_ms", *order], kind="stable")
-        keep = []
-        for ms in rows["_ms"].tolist():
-            if last is not None and ms > last:
-                debt = max(debt - (ms - last) * gain, 0)
-            last = ms if last is None else max(last, ms)
-            passed = debt + cost <= cap
-            debt += cost if passed else 0
-            keep.append(passed)
-        state.update((debt, last))
-        yield rows[keep][names]
-
-    return _keyed(lines, key, time).groupBy("_key").applyInPandasWithState(
-        step, outputStructType=lines.schema, stateStructType="debt bigint, last bigint",
-        outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
+        return batch
+    spark = batch.sparkSession
+    earlier = [i for i in _state_batches(spark, state_dir) if i < batch_id]
+    schema = "_key string, _last bigint, _debt bigint"
+    carried = (spark.read.schema(schema).parquet(f"{state_dir}/batch={max(earlier)}") if earlier
+               else spark.createDataFrame([], schema))
+    keyed = _keyed(batch, key, time).join(carried, "_key", "left").withColumns({
+        "_own_ms": F.col("_ms"), "_ms": F.greatest("_ms", "_last")}).drop("_last", "_debt")
+    granted = materialize(accepted_counts(_arrivals(keyed), limit, carried), "granted")
+    moved = granted.groupBy("_key").agg(
+        F.max("_ms").alias("_last"), F.max_by("debt", "_ms").alias("_debt"))
+    after = carried.join(moved, "_key", "left_anti").unionByName(moved)
+    after.write.mode("overwrite").parquet(f"{state_dir}/batch={batch_id}")
+    order = ["_own_ms", *[c for c in ("source", "line_number", "value") if c in batch.columns]]
+    return _take(keyed, granted, limit, order).select(*batch.columns)
+
+
+def _state_batches(spark: SparkSession, state_dir: str) -> list[int]:
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    pattern = path(f"{state_dir}/batch=*/_SUCCESS")
+    system = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [int(s.getPath().getParent().getName().split("=")[1])
+            for s in system.globStatus(pattern) or []]

@@ -63,7 +63,7 @@ def match_position(lines: DataFrame, pattern: str, ignore_case: bool = False) ->
     text = F.regexp_substr("value", regex)
     return lines.filter(checked.found_in(F.col("value"))).select(
         *_KEY, text.alias("match_text"),
-        F.instr(F.col("value"), text).cast("bigint").alias("match_start"),
+        F.regexp_instr("value", regex).cast("bigint").alias("match_start"),
         F.length(text).cast("bigint").alias("match_length"))
 
 

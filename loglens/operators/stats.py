@@ -86,41 +86,8 @@ def _nonzero_levels() -> Column:
     return F.map_filter(counts, lambda _, n: n > 0)
 
 
-def _level_counts(condition: Column | None = None) -> list[Column]:
-    seen = F.lit(True) if condition is None else condition
-    return [F.count_if(seen & (F.col("severity") == level)).alias(level) for level in LEVELS]
-
-
-def stats_json(lines: DataFrame, *, start_time: str, last_update: str) -> DataFrame:
-    """Run statistics as one JSON object.
-
-    ``lines`` has ``source``, ``value``, ``severity``, and the flags ``dropped`` (rate limit)
-    and ``passed`` (written) with ``written_bytes``. One pass counts per source; the report adds
-    those rows up.
-    """
-    per_source = lines.groupBy("source").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if("passed").alias("filtered"), F.count_if("dropped").alias("drops"),
-        F.sum(line_bytes(F.col("value"))).alias("bytes_in"),
-        F.sum(F.when(F.col("passed"), F.col("written_bytes")).otherwise(0)).alias("bytes_out"),
-        *_level_counts(F.col("passed")))
-    sources = F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "n"))))
-
-    def total(name: str) -> Column:
-        return F.coalesce(F.sum(name), F.lit(0))
-
-    report = per_source.agg(
-        total("n").alias("n"), total("filtered").alias("filtered"),
-        total("drops").alias("drops"), total("bytes_in").alias("bytes_in"),
-        total("bytes_out").alias("bytes_out"),
-        *[total(level).alias(level) for level in LEVELS], sources.alias("sources"))
-    return report.select(F.to_json(F.struct(
-        F.col("n").alias("total_lines"), F.col("filtered").alias("filtered_lines"),
-        F.col("drops").alias("dropped_lines"), F.col("bytes_in").alias("bytes_processed"),
-        F.col("bytes_out").alias("bytes_written"),
-        F.lit(start_time).alias("start_time"), F.lit(last_update).alias("last_update"),
-        _nonzero_levels().alias("severity_counts"), F.col("sources").alias("source_counts"),
-    )).alias("json"))
+def _level_counts() -> list[Column]:
+    return [F.count_if(F.col("severity") == level).alias(level) for level in LEVELS]
 
 
 def stats_file_json(lines: DataFrame, *, detailed: bool = False) -> DataFrame:

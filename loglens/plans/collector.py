@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loglens.functions import severity as sev
 from loglens.functions.formats import formatted
 from loglens.functions.parse import line_bytes, parse
 from loglens.functions.tags import add_global_tags, override_hostname
 from loglens.operators.filters import FilterSpec
-from loglens.operators.ratelimit import (
-    RateLimit, accepted_total, rate_limit, rate_limit_stream)
+from loglens.operators.ratelimit import RateLimit, grant, rate_limit, rate_limit_batch
+from loglens.sources.shared import materialize
 
 
 @dataclass(frozen=True)
@@ -32,72 +32,99 @@ class CollectorConfig:
     strip_cr: bool = False
 
 
-def _limited(lines: DataFrame, config: CollectorConfig) -> DataFrame:
-    if config.rate is None:
+def _limited(lines: DataFrame, config: CollectorConfig, granted: DataFrame | None = None) -> DataFrame:
+    if config.rate is None or config.rate.max_lines == 0:
         return lines
-    limiter = rate_limit_stream if lines.isStreaming else rate_limit
-    return limiter(lines, config.rate, key=config.rate_key, time=config.rate_time)
+    if lines.isStreaming:
+        raise ValueError("limit a stream per micro-batch: collect_batch in foreachBatch")
+    return rate_limit(
+        lines, config.rate, key=config.rate_key, time=config.rate_time, granted=granted)
 
 
-def collect(lines: DataFrame, config: CollectorConfig) -> DataFrame:
+def collect(lines: DataFrame, config: CollectorConfig, granted: DataFrame | None = None) -> DataFrame:
     """Entries that come through, with the raw ``value`` and the ``output`` text.
 
-    The limit sees every line, before any filter. Works on batch and streaming lines alike.
+    The limit sees every line, before any filter. Without a limit this works on streaming lines
+    too.
     """
-    passed = _limited(lines, config).filter(config.filter.condition(F.col("value")))
+    passed = _limited(lines, config, granted).filter(config.filter.condition(F.col("value")))
     entries = parse(passed, now=config.now, year=config.year, strip_cr=config.strip_cr,
                     keep=("value",))
-    entries = entries.filter(
-        F.col("severity_rank") >= sev.rank_of(config.filter.min_severity))
+    lowest = sev.rank_of(config.filter.min_severity)
+    if lowest > 0:
+        entries = entries.filter(F.col("severity_rank") >= lowest)
     entries = override_hostname(add_global_tags(entries, config.tags), config.hostname)
     return entries.withColumn("output", formatted(config.output_format))
 
 
-def counters(lines: DataFrame, config: CollectorConfig) -> DataFrame:
-    """One row: lines and bytes read, lines dropped by the limit, lines and bytes written."""
-    names = ("total_lines", "bytes_processed", "accepted", "filtered_lines", "bytes_written")
+def collect_batch(batch: DataFrame, config: CollectorConfig, state_dir: str, batch_id: int) -> DataFrame:
+    """``collect`` for one micro-batch, with the limit's buckets carried on in ``state_dir``."""
+    if config.rate is not None:
+        batch = rate_limit_batch(batch, config.rate, state_dir, batch_id,
+                                 key=config.rate_key, time=config.rate_time)
+    return collect(batch, replace(config, rate=None))
 
-    def partial(row: DataFrame) -> DataFrame:
-        return row.select(*[
-            F.col(n).cast("bigint").alias(n) if n in row.columns
-            else F.lit(0).cast("bigint").alias(n) for n in names])
 
-    written = F.octet_length("output") + 1
-    read = lines.agg(
+def _stage_rows(lines: DataFrame, config: CollectorConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Partial sums of the three stages: read (per source), let through, written."""
+    read = lines.groupBy("source").agg(
         F.count(F.lit(1)).alias("total_lines"),
         F.sum(line_bytes(F.col("value"))).alias("bytes_processed"))
-    if config.rate is None:
-        accepted = lines.agg(F.count(F.lit(1)).alias("accepted"))
+    if config.rate is None or config.rate.max_lines == 0:
+        granted, accepted = None, read.agg(F.sum("total_lines").alias("accepted"))
     else:
-        accepted = accepted_total(lines, config.rate, key=config.rate_key, time=config.rate_time)
-    out = collect(lines, config).agg(
-        F.count(F.lit(1)).alias("filtered_lines"), F.sum(written).alias("bytes_written"))
-    rows = reduce(DataFrame.unionByName, [partial(r) for r in (read, accepted, out)])
-    total = rows.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
-    return total.select(
-        "total_lines", "bytes_processed",
-        (F.col("total_lines") - F.col("accepted")).alias("dropped_lines"),
-        "filtered_lines", "bytes_written")
+        granted = materialize(
+            grant(lines, config.rate, key=config.rate_key, time=config.rate_time), "granted")
+        accepted = granted.agg(F.sum("accepted").alias("accepted"))
+    written = collect(lines, config, granted).groupBy("severity").agg(
+        F.count(F.lit(1)).alias("filtered_lines"),
+        F.sum(F.octet_length("output") + 1).alias("bytes_written"))
+    return read, accepted, written
 
 
-def with_stage_flags(lines: DataFrame, config: CollectorConfig) -> DataFrame:
-    """Every line with ``severity``, ``dropped``, ``passed`` and ``written_bytes``.
+def _totals(stages: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """The stages' rows under each other with 0 and null where a stage has no such column."""
+    names = ("total_lines", "bytes_processed", "accepted", "filtered_lines", "bytes_written")
 
-    Lines that pass the limit are marked by a join on their unique (source, line number).
-    """
-    rows = lines
-    if config.rate is not None:
-        kept = _limited(lines, config).select("source", "line_number", F.lit(True).alias("_kept"))
-        rows = lines.join(kept, ["source", "line_number"], "left")
-    kept = F.coalesce("_kept", F.lit(False)) if config.rate is not None else F.lit(True)
-    flagged = rows.select(
-        "source", "line_number", "value", (~kept).alias("dropped"),
-        config.filter.condition(F.col("value")).alias("_filter"))
-    entries = parse(flagged, now=config.now, year=config.year, strip_cr=config.strip_cr,
-                    keep=("value", "dropped", "_filter"))
-    entries = override_hostname(add_global_tags(entries, config.tags), config.hostname)
-    passed = (~F.col("dropped") & F.col("_filter")
-              & (F.col("severity_rank") >= sev.rank_of(config.filter.min_severity)))
-    return entries.select(
-        "source", "line_number", "value", "severity", "dropped", passed.alias("passed"),
-        (F.octet_length(formatted(config.output_format)) + 1).alias("written_bytes"))
+    def padded(rows: DataFrame) -> DataFrame:
+        numbers = [(F.col(n) if n in rows.columns else F.lit(0)).cast("bigint").alias(n)
+                   for n in names]
+        labels = [(F.col(n) if n in rows.columns else F.lit(None)).cast("string").alias(n)
+                  for n in ("source", "severity")]
+        return rows.select(*numbers, *labels)
+
+    return reduce(DataFrame.unionByName, [padded(rows) for rows in stages])
+
+
+def _total(name: str) -> Column:
+    return F.coalesce(F.sum(name), F.lit(0)).alias(name)
+
+
+def counters(lines: DataFrame, config: CollectorConfig) -> DataFrame:
+    """One row: lines and bytes read, lines dropped by the limit, lines and bytes written."""
+    dropped = F.coalesce(F.sum(F.col("total_lines") - F.col("accepted")), F.lit(0))
+    return _totals(_stage_rows(lines, config)).agg(
+        _total("total_lines"), _total("bytes_processed"), dropped.alias("dropped_lines"),
+        _total("filtered_lines"), _total("bytes_written"))
+
+
+def stats_json(lines: DataFrame, config: CollectorConfig, *, start_time: str, last_update: str) -> DataFrame:
+    """The counters with the counts by level (of written lines) and by source (of all lines) as
+    one JSON object; its size grows with the number of sources, not of lines."""
+    level = F.when(F.col("severity").isNotNull(), F.struct(
+        F.array_position(F.array(*[F.lit(name) for name in sev.LEVELS]), F.col("severity")),
+        "severity", "filtered_lines"))
+    source = F.when(F.col("source").isNotNull(), F.struct("source", "total_lines"))
+    dropped = F.coalesce(F.sum(F.col("total_lines") - F.col("accepted")), F.lit(0))
+    row = _totals(_stage_rows(lines, config)).agg(
+        _total("total_lines"), _total("filtered_lines"), dropped.alias("dropped_lines"),
+        _total("bytes_processed"), _total("bytes_written"),
+        F.array_sort(F.collect_list(level)).alias("levels"),
+        F.array_sort(F.collect_list(source)).alias("sources"))
+    by_level = F.map_from_entries(F.transform(
+        "levels", lambda x: F.struct(x["severity"], x["filtered_lines"])))
+    return row.select(F.to_json(F.struct(
+        "total_lines", "filtered_lines", "dropped_lines", "bytes_processed", "bytes_written",
+        F.lit(start_time).alias("start_time"), F.lit(last_update).alias("last_update"),
+        by_level.alias("severity_counts"),
+        F.map_from_entries("sources").alias("source_counts"))).alias("json"))

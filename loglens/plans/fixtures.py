@@ -10,13 +10,24 @@ NOW = "2024-02-01 00:00:00"
 LOG_FILE_LINES = 100_000
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
+    """Columns of a table; one read as fewer pieces than there are cores is spread over them.
+
+    Such a table is small (a piece is at most one file split), a large one stays where it is.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log line per event: ``source, line_number, value, ts, event_ms, event_type``.
 
     Of every six events two go to ``src0`` and one to each of ``src1`` .. ``src4``, so one
     source holds a third of all lines. Numbers follow from the dense event id, no shuffle.
     """
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = _table(
+        spark, sf_dir, "events", "event_id", "event_id", "ts", "user_id", "event_type", "props")
     id_ = F.col("event_id")
     lane = id_ % 6
     turn = F.floor(id_ / 6)
@@ -50,7 +61,7 @@ def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of every document: ``source`` is the document, numbered from 1."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents", "doc_id", "doc_id", "text")
     return docs.select(
         F.col("doc_id").cast("string").alias("source"),
         F.posexplode(F.split("text", "\n")).alias("_pos", "value"),

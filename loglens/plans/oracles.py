@@ -334,6 +334,8 @@ SELECT '{{"total_lines":' || (SELECT count(*) FROM logs)
     "rate_limit_window": _limited("SELECT source, line_number, event_type FROM limited", *_PER_TYPE),
     "rate_limit_global": _limited(f"SELECT {_LINE} FROM limited", *_GLOBAL),
     "collector_batch": _collector(f"SELECT source, line_number, {_COLLECT_JSON} AS output FROM collected"),
+    "stream_collector_limited": _collector(
+        f"SELECT source, line_number, {_COLLECT_JSON} AS output FROM collected"),
     "collector_counters": _collector(f"""
 SELECT (SELECT count(*) FROM logs) AS total_lines,
   (SELECT sum(strlen(value))::BIGINT FROM logs) AS bytes_processed,

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from loglens.functions import formats, severity as sev
 from loglens.functions.parse import parse, severity_rank
 from loglens.functions.tags import add_global_tags, override_hostname, parse_tag_items, parse_tags
 from loglens.operators import filters, ordering, search, stats
 from loglens.operators.filters import FilterSpec, Pattern
-from loglens.operators.ratelimit import RateLimit, rate_limit, rate_limit_stream
+from loglens.operators.ratelimit import RateLimit, rate_limit, rate_limit_batch
 from loglens.plans import collector
 from loglens.plans.collector import CollectorConfig
 from loglens.plans.fixtures import (
@@ -346,8 +346,7 @@ def stats_file_json(spark, sf):
 
 @query
 def stats_json(spark, sf):
-    flagged = collector.with_stage_flags(raw_logs(spark, sf), COLLECTOR)
-    return stats.stats_json(flagged, start_time=NOW, last_update=NOW)
+    return collector.stats_json(raw_logs(spark, sf), COLLECTOR, start_time=NOW, last_update=NOW)
 
 
 @query
@@ -472,13 +471,20 @@ def retention_plan(spark, sf):
 
 # --- streams ---------------------------------------------------------------------------------
 
-def _finish(rows: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and return what it wrote, with its ``batch`` number."""
+def _finish(rows: DataFrame, name: str, output_mode: str = "append",
+            sink: Callable[[str, str], streams.Hook] | None = None,
+            schema: T.StructType | None = None) -> DataFrame:
+    """Run a stream over what is there and return what it wrote, with its ``batch`` number.
+
+    ``sink(out, state)`` makes the sink from the output folder and a folder for its own state;
+    by default batches are written as they are.
+    """
     spark = rows.sparkSession
     out = new_path(spark, name)
-    streams.run(rows, new_path(spark, f"{name}-state"), [streams.parquet_sink(out)],
-                output_mode=output_mode).awaitTermination()
-    return spark.read.schema(rows.schema.add("batch", "long")).parquet(out)
+    hook = sink(out, f"{out}-buckets") if sink else streams.parquet_sink(out)
+    streams.run(rows, f"{out}-checkpoint", [hook], output_mode=output_mode).awaitTermination()
+    fields = T.StructType((schema or rows.schema).fields)
+    return spark.read.schema(fields.add("batch", "long")).parquet(out)
 
 
 @query
@@ -518,7 +524,22 @@ def _replay(spark, sf, name: str) -> DataFrame:
 
 @query
 def stream_rate_limit(spark, sf):
-    return _named(_finish(rate_limit_stream(_replay(spark, sf, "replay"), PER_SOURCE), "limited"))
+    def sink(out, state):
+        write = streams.parquet_sink(out)
+        return lambda batch, i: write(rate_limit_batch(batch, PER_SOURCE, state, i), i)
+
+    return _named(_finish(_replay(spark, sf, "replay"), "limited", sink=sink))
+
+
+@query
+def stream_collector_limited(spark, sf):
+    def sink(out, state):
+        write = streams.parquet_sink(out)
+        return lambda batch, i: write(
+            collector.collect_batch(batch, COLLECTOR, state, i).select(*schema.names), i)
+
+    schema = T.StructType.fromDDL("source string, line_number bigint, output string")
+    return _finish(_replay(spark, sf, "replay"), "limited", sink=sink, schema=schema).drop("batch")
 
 
 @query
