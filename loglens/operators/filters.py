@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loglens.functions import severity as sev
@@ -28,7 +28,7 @@ class Pattern:
         """Compile on the driver, so that a bad pattern fails before any job starts."""
         try:
             SparkSession.active()._jvm.java.util.regex.Pattern.compile(self.java)
-        except Py4JJavaError as error:
+        except IllegalArgumentException as error:
             raise ValueError(f"invalid pattern {self.regex!r}") from error
         return self
 
