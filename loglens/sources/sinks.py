@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from loglens.functions.formats import formatted
 from loglens.operators.ordering import running_total
 
-COMPRESSIONS = ("none", "gzip", "zstd")
+# Hadoop codecs. The one for zstd needs Hadoop's native library on the executors;
+# without it the write fails, nothing is silently left uncompressed.
+COMPRESSIONS = {
+    "none": "none", "gzip": "gzip", "zstd": "org.apache.hadoop.io.compress.ZStandardCodec"}
 
 
 def write_text(entries: DataFrame, path: str, *, output_format: str = "plain",
@@ -17,7 +20,7 @@ def write_text(entries: DataFrame, path: str, *, output_format: str = "plain",
     if compression not in COMPRESSIONS:
         raise ValueError(f"unknown compression: {compression!r}")
     (entries.select(formatted(output_format).alias("value")).write.mode(mode)
-        .option("lineSep", "\n").option("compression", compression)
+        .option("lineSep", "\n").option("compression", COMPRESSIONS[compression])
         .option("maxRecordsPerFile", max_records_per_file).text(path))
 
 
