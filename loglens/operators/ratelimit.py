@@ -6,7 +6,7 @@ the common divisor removed, a line costs ``cost`` units, a millisecond brings ``
 the bucket holds ``cap = burst * cost``. The code tracks the *debt* ``v = cap - tokens``.
 
 A bucket is sequential by nature, yet no task here handles a whole key. Lines are counted per
-(key, millisecond) and cut into ten-minute chunks. Per chunk two facts are needed on entry:
+(key, millisecond); more than a million counts are cut into ten-minute chunks. Per chunk two facts are needed on entry:
 
 * ``u``, the debt of a bucket that may also give fractions of a line. Its step is
   ``u -> min(cap, max(u - elapsed, 0) + lines * cost)``, and a chain of such steps is again
@@ -31,6 +31,8 @@ from loglens.operators.ordering import top_per_group
 from loglens.sources.shared import materialize
 
 CHUNK_MS = 600_000
+# Up to this many (key, millisecond) counts each key is walked in one go; more are cut into chunks.
+ONE_PASS_ROWS = 1_000_000
 # Chunk number below that of any time.
 BEFORE_ALL = -(2 ** 62)
 
@@ -200,16 +202,45 @@ def _accepted(limit: RateLimit):
     return step
 
 
-def accepted_counts(pairs: DataFrame, limit: RateLimit, carried: DataFrame | None = None) -> DataFrame:
+def accepted_counts(pairs: DataFrame, limit: RateLimit, carried: DataFrame | None = None,
+                    one_pass_rows: int = ONE_PASS_ROWS) -> DataFrame:
     """``(_key, _ms, accepted, debt)`` for the lines counted in ``pairs (_key, _ms, _n)``.
 
     ``carried (_key, _last, _debt)`` holds buckets as an earlier batch left them; no line
     of a key may be older than that.
     """
-    per_chunk, per_key = ["_key", "_chunk"], ["_key"]
     # The counts are small beside the lines and are used up to three times: keep them.
-    counted = materialize(
-        pairs.withColumn("_chunk", F.floor(F.col("_ms") / CHUNK_MS)), "arrivals")
+    counted = materialize(pairs, "arrivals")
+    if carried is not None:
+        clock = F.pmod(F.col("_last") * limit.gain + F.col("_debt"), F.lit(limit.cost))
+        carried = carried.select("_key", "_last", "_debt", clock.cast("bigint").alias("_clock"))
+    if counted.count() <= one_pass_rows:
+        ready = _whole_keys(counted, carried)
+    else:
+        ready = _chunks(counted, limit, carried)
+    return _over_sorted(
+        ready, ["_key", "_chunk"], ["_ms"],
+        ["_key", "_chunk", "_ms", "_n", "_start_ms", "_start_u", "_phase"], _accepted(limit),
+        "_key string, _ms bigint, accepted bigint, debt bigint")
+
+
+def _whole_keys(counted: DataFrame, carried: DataFrame | None) -> DataFrame:
+    """Counts with every key as one chunk that starts from its carried bucket or a full one."""
+    if carried is None:
+        nothing = F.lit(None).cast("bigint")
+        started = counted.withColumns({"_last": nothing, "_debt": nothing, "_clock": nothing})
+    else:
+        started = counted.join(carried, "_key", "left")
+    return started.select(
+        "_key", F.lit(0).alias("_chunk"), "_ms", "_n", F.col("_last").alias("_start_ms"),
+        F.coalesce("_debt", F.lit(0)).alias("_start_u"),
+        F.coalesce("_clock", F.lit(0)).alias("_phase"))
+
+
+def _chunks(counted: DataFrame, limit: RateLimit, carried: DataFrame | None) -> DataFrame:
+    """Counts cut by time, each chunk with the state its bucket has on entry."""
+    per_chunk, per_key = ["_key", "_chunk"], ["_key"]
+    counted = counted.withColumn("_chunk", F.floor(F.col("_ms") / CHUNK_MS))
     shapes = _over_sorted(
         counted, per_chunk, ["_ms"], ["_key", "_chunk", "_ms", "_n"], _chunk_shapes(limit),
         "_key string, _chunk bigint, _first bigint, _last bigint, _low bigint, _high bigint, _shift bigint")
@@ -223,27 +254,22 @@ def accepted_counts(pairs: DataFrame, limit: RateLimit, carried: DataFrame | Non
         shapes, per_key, ["_chunk"],
         ["_key", "_chunk", "_first", "_last", "_low", "_high", "_shift"], _chunk_starts(limit),
         "_key string, _chunk bigint, _start_ms bigint, _start_u bigint")
-    columns = ["_key", "_chunk", "_ms", "_n", "_start_ms", "_start_u"]
     if limit.cost == 1:
-        phased = counted.join(starts, per_chunk).withColumn("_phase", F.lit(0))
-    else:
-        begun = counted.join(materialize(starts, "starts"), per_chunk)
-        moments = _over_sorted(
-            begun, per_chunk, ["_ms"], columns, _full_moments(limit),
-            "_key string, _chunk bigint, _order bigint, _clock bigint, _left bigint")
-        if carried is not None:
-            clock = F.pmod(F.col("_last") * limit.gain + F.col("_debt"), F.lit(limit.cost))
-            moments = moments.unionByName(carried.select(
-                "_key", F.lit(BEFORE_ALL).alias("_chunk"), F.lit(0).cast("bigint").alias("_order"),
-                clock.cast("bigint").alias("_clock"), F.lit(0).cast("bigint").alias("_left")))
-        phases = _over_sorted(
-            moments, per_key, ["_chunk", "_order"],
-            ["_key", "_chunk", "_order", "_clock", "_left"], _chunk_phases(limit),
-            "_key string, _chunk bigint, _phase bigint")
-        phased = begun.join(phases, per_chunk)
-    return _over_sorted(
-        phased, per_chunk, ["_ms"], columns + ["_phase"], _accepted(limit),
-        "_key string, _ms bigint, accepted bigint, debt bigint")
+        return counted.join(starts, per_chunk).withColumn("_phase", F.lit(0))
+    begun = counted.join(materialize(starts, "starts"), per_chunk)
+    moments = _over_sorted(
+        begun, per_chunk, ["_ms"], ["_key", "_chunk", "_ms", "_n", "_start_ms", "_start_u"],
+        _full_moments(limit),
+        "_key string, _chunk bigint, _order bigint, _clock bigint, _left bigint")
+    if carried is not None:
+        moments = moments.unionByName(carried.select(
+            "_key", F.lit(BEFORE_ALL).alias("_chunk"), F.lit(0).cast("bigint").alias("_order"),
+            "_clock", F.lit(0).cast("bigint").alias("_left")))
+    phases = _over_sorted(
+        moments, per_key, ["_chunk", "_order"],
+        ["_key", "_chunk", "_order", "_clock", "_left"], _chunk_phases(limit),
+        "_key string, _chunk bigint, _phase bigint")
+    return begun.join(phases, per_chunk)
 
 
 def _keyed(lines: DataFrame, key: tuple[str, ...] | None, time: str) -> DataFrame:
@@ -272,9 +298,10 @@ def _take(keyed: DataFrame, granted: DataFrame, limit: RateLimit, order: list[st
 
 
 def grant(lines: DataFrame, limit: RateLimit, *, key: tuple[str, ...] | None = ("source",),
-          time: str = "event_ms") -> DataFrame:
+          time: str = "event_ms", one_pass_rows: int = ONE_PASS_ROWS) -> DataFrame:
     """``(_key, _ms, accepted)``: how many lines of each bucket and millisecond pass."""
-    return accepted_counts(_arrivals(_keyed(lines, key, time)), limit)
+    return accepted_counts(
+        _arrivals(_keyed(lines, key, time)), limit, one_pass_rows=one_pass_rows)
 
 
 def rate_limit(lines: DataFrame, limit: RateLimit, *, key: tuple[str, ...] | None = ("source",),
@@ -294,7 +321,8 @@ def rate_limit(lines: DataFrame, limit: RateLimit, *, key: tuple[str, ...] | Non
 
 
 def rate_limit_batch(batch: DataFrame, limit: RateLimit, state_dir: str, batch_id: int, *,
-                     key: tuple[str, ...] | None = ("source",), time: str = "event_ms") -> DataFrame:
+                     key: tuple[str, ...] | None = ("source",), time: str = "event_ms",
+                     one_pass_rows: int = ONE_PASS_ROWS) -> DataFrame:
     """The same for one micro-batch of a stream, called from ``foreachBatch``.
 
     Buckets pass from batch to batch as a small table per batch under ``state_dir`` (shared
@@ -311,7 +339,8 @@ def rate_limit_batch(batch: DataFrame, limit: RateLimit, state_dir: str, batch_i
                else spark.createDataFrame([], schema))
     keyed = _keyed(batch, key, time).join(carried, "_key", "left").withColumns({
         "_own_ms": F.col("_ms"), "_ms": F.greatest("_ms", "_last")}).drop("_last", "_debt")
-    granted = materialize(accepted_counts(_arrivals(keyed), limit, carried), "granted")
+    granted = materialize(
+        accepted_counts(_arrivals(keyed), limit, carried, one_pass_rows), "granted")
     moved = granted.groupBy("_key").agg(
         F.max("_ms").alias("_last"), F.max_by("debt", "_ms").alias("_debt"))
     after = carried.join(moved, "_key", "left_anti").unionByName(moved)

@@ -55,7 +55,9 @@ def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return events.select(
         source.alias("source"), number.cast("bigint").alias("line_number"),
-        value.alias("value"), "ts",
+        # As the output of a generator the text is a plain column to the operators above, as it
+        # is in a real log table; else every predicate would repeat the templates.
+        F.explode(F.array(value)).alias("value"), "ts",
         F.timestamp_diff("MILLISECOND", epoch, F.col("ts")).alias("event_ms"), "event_type")
 
 

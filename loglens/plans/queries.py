@@ -11,7 +11,7 @@ from loglens.functions.parse import parse, severity_rank
 from loglens.functions.tags import add_global_tags, override_hostname, parse_tag_items, parse_tags
 from loglens.operators import filters, ordering, search, stats
 from loglens.operators.filters import FilterSpec, Pattern
-from loglens.operators.ratelimit import RateLimit, rate_limit, rate_limit_batch
+from loglens.operators.ratelimit import RateLimit, grant, rate_limit, rate_limit_batch
 from loglens.plans import collector
 from loglens.plans.collector import CollectorConfig
 from loglens.plans.fixtures import (
@@ -367,7 +367,10 @@ def q_rate_limit(spark, sf):
 
 @query
 def rate_limit_window(spark, sf):
-    return rate_limit(raw_logs(spark, sf), PER_TYPE, key=("event_type",)).select(
+    # Through the chunked walk, however few the counts are.
+    lines, key = raw_logs(spark, sf), ("event_type",)
+    granted = grant(lines, PER_TYPE, key=key, one_pass_rows=0)
+    return rate_limit(lines, PER_TYPE, key=key, granted=granted).select(
         "source", "line_number", "event_type")
 
 

@@ -80,18 +80,21 @@ def table(spark, arrivals):
 
 
 @pytest.mark.parametrize("limit", [RateLimit(3, 10, 4), RateLimit(5, 5, 2), RateLimit(1, 7, 1)])
-def test_rate_limit(spark, monkeypatch, limit):
+@pytest.mark.parametrize("one_pass", [0, 10_000])
+def test_rate_limit(spark, monkeypatch, limit, one_pass):
     monkeypatch.setattr(rl, "CHUNK_MS", 25)
     # One key has most of the lines.
     rnd = random.Random(3)
     arrivals = random_arrivals(rnd, "a", 600) + random_arrivals(rnd, "bc", 40)
     lines = table(spark, arrivals)
-    got = [r.value for r in rl.rate_limit(lines, limit).collect()]
+    granted = rl.grant(lines, limit, one_pass_rows=one_pass)
+    got = [r.value for r in rl.rate_limit(lines, limit, granted=granted).collect()]
     assert sorted(got) == sorted(walk(arrivals, limit))
     assert 0 < len(got) < len(arrivals)
     one = sorted(arrivals, key=lambda a: (a[1], a[0], int(a[2][1:])))
     wanted = walk([("all", ms, name) for _, ms, name in one], limit)
-    got = [r.value for r in rl.rate_limit(lines, limit, key=None).collect()]
+    granted = rl.grant(lines, limit, key=None, one_pass_rows=one_pass)
+    got = [r.value for r in rl.rate_limit(lines, limit, key=None, granted=granted).collect()]
     assert sorted(got) == sorted(wanted)
 
 
@@ -120,7 +123,8 @@ def test_null_and_several_key_columns(spark):
 
 
 @pytest.mark.parametrize("limit", [RateLimit(3, 10, 4), RateLimit(5, 5, 2), RateLimit(1, 7, 1)])
-def test_batches_carry_buckets(spark, monkeypatch, tmp_path, limit):
+@pytest.mark.parametrize("one_pass", [0, 10_000])
+def test_batches_carry_buckets(spark, monkeypatch, tmp_path, limit, one_pass):
     monkeypatch.setattr(rl, "CHUNK_MS", 25)
     rnd = random.Random(8)
     arrivals = sorted(random_arrivals(rnd, "ab", 150), key=lambda a: a[1])
@@ -131,7 +135,8 @@ def test_batches_carry_buckets(spark, monkeypatch, tmp_path, limit):
     for i, (begin, end) in enumerate(zip(cuts, cuts[1:])):
         batch = spark.createDataFrame(rows[begin:end], table(spark, arrivals[:1]).schema)
         for _ in range(2 if i == 2 else 1):  # a batch that is run twice gives the same lines
-            kept = rl.rate_limit_batch(batch, limit, str(tmp_path), i).collect()
+            kept = rl.rate_limit_batch(
+                batch, limit, str(tmp_path), i, one_pass_rows=one_pass).collect()
         got += [r.value for r in kept]
     ordered = []
     for begin, end in zip(cuts, cuts[1:]):
