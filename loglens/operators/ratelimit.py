@@ -13,13 +13,15 @@ A bucket is sequential by nature, yet no task here handles a whole key. Lines ar
   "shift, then clamp": three numbers per chunk, chained over the chunks of a key.
 * the debt's phase. The true debt is the one number in ``(u - cost, u]`` whose distance to the
   clock has a fixed remainder modulo ``cost``. The remainder changes only when the bucket fills up,
-  which takes ``u - elapsed < cost``; only those moments are listed and walked through.
+  which takes ``u - elapsed < cost``. What the moments of a chunk do to any remainder is a short
+  list of pieces, and those are chained as well.
 
 With both, every chunk is replayed on its own.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import gcd
@@ -134,19 +136,64 @@ def _chunk_starts(limit: RateLimit):
     return step
 
 
-def _full_moments(limit: RateLimit):
-    """Per chunk: the arrivals that may find a full bucket, from the last certain one on, as
-    (order, clock remainder, u left). Order -1 is the chunk's own start."""
+def _phase_pieces(moments: list[tuple[int, int]], cost: int) -> list[tuple[int, int, int]]:
+    """What moments ``(clock remainder, u left)`` do to any phase: sorted pieces
+    ``(begin, end, phase after)`` of [0, cost); phases in no piece stay as they are.
+
+    A moment sets all phases from ``clock + left + 1`` round to ``clock`` to ``clock``. Phases
+    once set to the same value stay together, so few groups are left after a while.
+    """
+    begins, ends = [0], [cost]           # phases not touched so far
+    places, groups = [], []              # present phase of each group, sorted
+    joined, pieces = [], []              # group -> group it went into; (begin, end, group)
+    for clock, left in moments:
+        first, group, caught = (clock + left + 1) % cost, len(joined), False
+        for low, high in [(first, clock + 1)] if first <= clock else [(0, clock + 1), (first, cost)]:
+            i, j = bisect_left(places, low), bisect_left(places, high)
+            for other in groups[i:j]:
+                joined[other] = group
+            caught |= i < j
+            del places[i:j], groups[i:j]
+            i, j = bisect_right(ends, low), bisect_left(begins, high)
+            if i < j:
+                pieces += [(max(b, low), min(e, high), group)
+                           for b, e in zip(begins[i:j], ends[i:j])]
+                caught = True
+                rest = [(b, e) for b, e in ((begins[i], low), (high, ends[j - 1])) if b < e]
+                begins[i:j], ends[i:j] = [b for b, _ in rest], [e for _, e in rest]
+        if caught:
+            joined.append(group)
+            at = bisect_left(places, clock)
+            places.insert(at, clock)
+            groups.insert(at, group)
+    final = dict(zip(groups, places))
+    merged = []
+    for begin, end, group in sorted(pieces):
+        while joined[group] != group:
+            joined[group] = joined[joined[group]]
+            group = joined[group]
+        if merged and merged[-1][1] == begin and merged[-1][2] == final[group]:
+            begin = merged.pop()[0]
+        merged.append((begin, end, final[group]))
+    return merged
+
+
+def _phase_changes(limit: RateLimit):
+    """Per chunk: how it changes the phase it is entered with, as numbered pieces. Number -1
+    stands for the chunk itself."""
     gain, cost, cap = limit.gain, limit.cost, limit.cap
 
+    def pieces(current, moments):
+        for i, piece in enumerate(_phase_pieces(moments, cost)):
+            yield (*current, i, *piece)
+
     def step(rows):
         current, moments = None, []
         for key, chunk, ms, n, start_ms, start_u in rows:
             if (key, chunk) != current:
-                for i, (clock, left) in enumerate(moments):
-                    yield (*current, i, clock, left)
+                yield from pieces(current, moments)
                 current, moments = (key, chunk), []
-                yield key, chunk, -1, 0, 0
+                yield key, chunk, -1, 0, 0, 0
                 u, last = start_u, start_ms
             left = 0 if last is None or last != last else u - (ms - int(last)) * gain
             if left <= 0:
@@ -155,25 +202,24 @@ def _full_moments(limit: RateLimit):
                 moments.append((ms * gain % cost, left))
             u = min(max(left, 0) + n * cost, cap)
             last = ms
-        for i, (clock, left) in enumerate(moments):
-            yield (*current, i, clock, left)
+        yield from pieces(current, moments)
 
     return step
 
 
-def _chunk_phases(limit: RateLimit):
-    """Per chunk: the clock remainder of the debt on entry."""
-    cost = limit.cost
+def _chunk_phases():
+    """Per chunk: the phase on entry."""
 
     def step(rows):
-        owner, phase = None, 0
-        for key, chunk, order, clock, left in rows:
+        owner, phase, after = None, 0, 0
+        for key, chunk, number, begin, end, value in rows:
             if key != owner:
-                owner, phase = key, 0
-            if order < 0:
+                owner, phase, after = key, 0, 0
+            if number < 0:
+                phase = after
                 yield key, chunk, phase
-            elif left - (left - phase + clock) % cost <= 0:
-                phase = clock
+            elif begin <= phase < end:
+                after = value
 
     return step
 
@@ -257,17 +303,18 @@ def _chunks(counted: DataFrame, limit: RateLimit, carried: DataFrame | None) ->
     if limit.cost == 1:
         return counted.join(starts, per_chunk).withColumn("_phase", F.lit(0))
     begun = counted.join(materialize(starts, "starts"), per_chunk)
-    moments = _over_sorted(
+    changes = _over_sorted(
         begun, per_chunk, ["_ms"], ["_key", "_chunk", "_ms", "_n", "_start_ms", "_start_u"],
-        _full_moments(limit),
-        "_key string, _chunk bigint, _order bigint, _clock bigint, _left bigint")
+        _phase_changes(limit),
+        "_key string, _chunk bigint, _number bigint, _begin bigint, _end bigint, _after bigint")
     if carried is not None:
-        moments = moments.unionByName(carried.select(
-            "_key", F.lit(BEFORE_ALL).alias("_chunk"), F.lit(0).cast("bigint").alias("_order"),
-            "_clock", F.lit(0).cast("bigint").alias("_left")))
+        zero = F.lit(0).cast("bigint")
+        changes = changes.unionByName(carried.select(
+            "_key", F.lit(BEFORE_ALL).alias("_chunk"), zero.alias("_number"), zero.alias("_begin"),
+            F.lit(limit.cost).cast("bigint").alias("_end"), F.col("_clock").alias("_after")))
     phases = _over_sorted(
-        moments, per_key, ["_chunk", "_order"],
-        ["_key", "_chunk", "_order", "_clock", "_left"], _chunk_phases(limit),
+        changes, per_key, ["_chunk", "_number"],
+        ["_key", "_chunk", "_number", "_begin", "_end", "_after"], _chunk_phases(),
         "_key string, _chunk bigint, _phase bigint")
     return begun.join(phases, per_chunk)
 
@@ -334,17 +381,21 @@ def rate_limit_batch(batch: DataFrame, limit: RateLimit, state_dir: str, batch_i
         return batch
     spark = batch.sparkSession
     earlier = [i for i in _state_batches(spark, state_dir) if i < batch_id]
-    schema = "_key string, _last bigint, _debt bigint"
-    carried = (spark.read.schema(schema).parquet(f"{state_dir}/batch={max(earlier)}") if earlier
-               else spark.createDataFrame([], schema))
-    keyed = _keyed(batch, key, time).join(carried, "_key", "left").withColumns({
-        "_own_ms": F.col("_ms"), "_ms": F.greatest("_ms", "_last")}).drop("_last", "_debt")
+    keyed = _keyed(batch, key, time).withColumn("_own_ms", F.col("_ms"))
+    carried = None
+    if earlier:
+        carried = spark.read.schema("_key string, _last bigint, _debt bigint").parquet(
+            f"{state_dir}/batch={max(earlier)}")
+        keyed = keyed.join(carried, "_key", "left").withColumn(
+            "_ms", F.greatest("_ms", "_last")).drop("_last", "_debt")
     granted = materialize(
         accepted_counts(_arrivals(keyed), limit, carried, one_pass_rows), "granted")
-    moved = granted.groupBy("_key").agg(
+    after = granted.groupBy("_key").agg(
         F.max("_ms").alias("_last"), F.max_by("debt", "_ms").alias("_debt"))
-    after = carried.join(moved, "_key", "left_anti").unionByName(moved)
+    if carried is not None:
+        after = carried.join(after, "_key", "left_anti").unionByName(after)
     after.write.mode("overwrite").parquet(f"{state_dir}/batch={batch_id}")
+    _drop_states(spark, state_dir, sorted(earlier)[:-1])
     order = ["_own_ms", *[c for c in ("source", "line_number", "value") if c in batch.columns]]
     return _take(keyed, granted, limit, order).select(*batch.columns)
 
@@ -355,3 +406,10 @@ def _state_batches(spark: SparkSession, state_dir: str) -> list[int]:
     system = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
     return [int(s.getPath().getParent().getName().split("=")[1])
             for s in system.globStatus(pattern) or []]
+
+
+def _drop_states(spark: SparkSession, state_dir: str, batches: list[int]) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for i in batches:
+        old = path(f"{state_dir}/batch={i}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)

@@ -14,8 +14,7 @@ def _by(source: bool) -> list[str]:
     return ["source"] if source else []
 
 
-def _length_columns() -> list[Column]:
-    length = line_bytes(F.col("value"))
+def _length_columns(length: Column) -> list[Column]:
     total, count = F.coalesce(F.sum(length), F.lit(0)), F.count(F.lit(1))
     return [
         count.alias("total_lines"), total.alias("total_bytes"),
@@ -28,7 +27,7 @@ def _length_columns() -> list[Column]:
 
 def line_stats(lines: DataFrame, by_source: bool = False) -> DataFrame:
     """Line count, bytes, and shortest / longest / mean (rounded down) line; zeros when empty."""
-    return lines.groupBy(*_by(by_source)).agg(*_length_columns())
+    return lines.groupBy(*_by(by_source)).agg(*_length_columns(line_bytes(F.col("value"))))
 
 
 def first_last_timestamp(entries: DataFrame) -> DataFrame:
@@ -46,9 +45,14 @@ def source_counts(lines: DataFrame) -> DataFrame:
     return lines.groupBy("source").agg(F.count(F.lit(1)).alias("lines"))
 
 
+def _counts_unless_empty(rows: DataFrame, column: str) -> DataFrame:
+    # The empty group goes after counting: a filter ahead of it would parse every line twice.
+    return (rows.groupBy(column).agg(F.count_if(F.col(column) != "").alias("lines"))
+            .filter(F.col("lines") > 0))
+
+
 def host_counts(entries: DataFrame) -> DataFrame:
-    return (entries.filter(F.col("hostname") != "")
-            .groupBy("hostname").agg(F.count(F.lit(1)).alias("lines")))
+    return _counts_unless_empty(entries, "hostname")
 
 
 def severity_distribution(entries: DataFrame) -> DataFrame:
@@ -61,9 +65,8 @@ def severity_distribution(entries: DataFrame) -> DataFrame:
 
 def hourly_distribution(entries: DataFrame) -> DataFrame:
     """Lines per hour of day; lines whose stamp has no clock part do not count."""
-    return (entries.select(hour_of(F.col("timestamp")).alias("hour"))
-            .filter(F.col("hour") != "")
-            .groupBy("hour").agg(F.count(F.lit(1)).alias("lines")))
+    return _counts_unless_empty(
+        entries.select(hour_of(F.col("timestamp")).alias("hour")), "hour")
 
 
 def hourly_histogram(entries: DataFrame) -> DataFrame:
@@ -91,30 +94,36 @@ def _level_counts() -> list[Column]:
 
 
 def stats_file_json(lines: DataFrame, *, detailed: bool = False) -> DataFrame:
-    """One JSON report per source.
+    """One JSON report per source; ``detailed`` adds the counts by hour of day.
 
-    ``lines`` are parsed rows that still have their raw ``value``. Everything comes from one
-    grouping by source, with a second small one by hour when ``detailed``.
+    ``lines`` are parsed rows that still have their raw ``value``. Lines are counted once, by
+    source and hour (at most 101 groups per source); the reports add those groups up.
     """
-    first = F.min_by("timestamp", "line_number").alias("first_timestamp")
-    last = F.max_by("timestamp", "line_number").alias("last_timestamp")
-    rows = lines.groupBy("source").agg(*_length_columns(), first, last, *_level_counts())
+    narrow = lines.select(
+        "source", "line_number", "timestamp", "severity",
+        line_bytes(F.col("value")).alias("length"), hour_of(F.col("timestamp")).alias("hour"))
+    groups = narrow.groupBy("source", "hour").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"),
+        F.min("length").alias("shortest"), F.max("length").alias("longest"),
+        F.min("line_number").alias("first_line"), F.max("line_number").alias("last_line"),
+        F.min_by("timestamp", "line_number").alias("first"),
+        F.max_by("timestamp", "line_number").alias("last"), *_level_counts())
+    hours = F.array_sort(F.collect_list(
+        F.when(F.col("hour") != "", F.struct("hour", "n"))))
+    rows = groups.groupBy("source").agg(
+        F.sum("n").alias("total_lines"), F.sum("bytes").alias("total_bytes"),
+        F.min("shortest").alias("min_line_length"), F.max("longest").alias("max_line_length"),
+        F.min_by("first", "first_line").alias("first_timestamp"),
+        F.max_by("last", "last_line").alias("last_timestamp"),
+        *[F.sum(level).alias(level) for level in LEVELS], hours.alias("hours"))
     fields = [
-        F.col("source").alias("file"), "total_lines", "total_bytes", "avg_line_length",
+        F.col("source").alias("file"), "total_lines", "total_bytes",
+        F.expr("total_bytes div total_lines").alias("avg_line_length"),
         "min_line_length", "max_line_length", "first_timestamp", "last_timestamp",
         _nonzero_levels().alias("severity_counts"),
     ]
     if detailed:
-        # At most 100 hours (two digits) per source.
-        hours = (
-            lines.select("source", hour_of(F.col("timestamp")).alias("hour"))
-            .filter(F.col("hour") != "")
-            .groupBy("source", "hour").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("source").agg(F.map_from_entries(F.array_sort(
-                F.collect_list(F.struct("hour", "n")))).alias("hours")))
-        rows = rows.join(hours, "source", "left")
-        nothing = F.create_map().cast("map<string,bigint>")
-        fields.append(F.coalesce("hours", nothing).alias("hourly_distribution"))
+        fields.append(F.map_from_entries("hours").alias("hourly_distribution"))
     return rows.select("source", F.to_json(F.struct(*fields)).alias("json"))
 
 

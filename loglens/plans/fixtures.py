@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loglens.sources.shared import new_path
 
 NOW = "2024-02-01 00:00:00"
-LOG_FILE_LINES = 100_000
+LOG_FILE_LINES = 5_000_000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
@@ -71,10 +71,10 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_log_files(lines: DataFrame, extension: str = "log") -> str:
-    """Lines as flat files ``<source>.<block>.<extension>`` of at most 100,000 lines each.
+    """Lines as flat files ``<source>.<block>.<extension>`` of at most 5,000,000 lines each.
 
     Returns the folder. Every file keeps its lines in order; block ``k`` of a source starts
-    after line ``k * 100000``.
+    after line ``k * 5000000``.
     """
     spark = lines.sparkSession
     root = new_path(spark, "logs")

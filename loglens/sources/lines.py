@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-# A per-split table up to this many rows is broadcast (about 200 bytes a row, 50 MB in all);
+# A table per split or file of up to this many rows is broadcast (about 200 bytes a row, 50 MB in all);
 # beyond it the planner joins by shuffle.
 MAX_BROADCAST_SPLITS = 250_000
 
@@ -104,4 +104,6 @@ def read_in_order(spark: SparkSession, paths: list[str]) -> DataFrame:
         for name in expand(spark, path):
             files.setdefault(name, len(files))
     order = spark.createDataFrame(list(files.items()), "source string, source_pos int")
+    if len(files) <= MAX_BROADCAST_SPLITS:
+        order = F.broadcast(order)
     return read_lines(spark, list(files)).join(order, "source")

@@ -45,8 +45,8 @@ def in_chunks(pairs, limit, chunk):
     begun = [(*row, *starts[row[:2]]) for row in counted]
     phases = {}
     if limit.cost > 1:
-        moments = sorted(rl._full_moments(limit)(iter(begun)))
-        phases = {(k, c): p for k, c, p in rl._chunk_phases(limit)(iter(moments))}
+        changes = sorted(rl._phase_changes(limit)(iter(begun)))
+        phases = {(k, c): p for k, c, p in rl._chunk_phases()(iter(changes))}
     rows = [(*row, phases.get(row[:2], 0)) for row in begun]
     return {(k, ms): taken for k, ms, taken, _ in rl._accepted(limit)(iter(rows)) if taken}
 
@@ -71,6 +71,22 @@ def test_chunks_equal_one_walk():
     assert 0 < kept_total < total
 
 
+def test_phase_pieces_equal_trying_every_phase():
+    rnd = random.Random(2)
+    for _ in range(3000):
+        cost = rnd.randint(2, 40)
+        moments = [(rnd.randrange(cost), rnd.randrange(cost)) for _ in range(rnd.randint(0, 30))]
+        pieces = rl._phase_pieces(moments, cost)
+        assert all(b < e for b, e, _ in pieces) and pieces == sorted(pieces)
+        for entry in range(cost):
+            phase = entry
+            for clock, left in moments:
+                if left - (left - phase + clock) % cost <= 0:
+                    phase = clock
+            hits = [after for b, e, after in pieces if b <= entry < e]
+            assert hits == [phase] or (not hits and phase == entry)
+
+
 def table(spark, arrivals):
     rows, numbers = [], {}
     for key, ms, name in arrivals:
