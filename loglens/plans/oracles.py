@@ -174,7 +174,7 @@ ORACLES: dict[str, str] = {
         f"SELECT {_LINE}, 1::BIGINT AS missing FROM logs WHERE source IN ('src1', 'src2')"),
     "parse_log": _logs(
         "SELECT source, line_number, timestamp, severity, hostname, process, pid, message,"
-        " epoch_ms(event_time) AS event_ms FROM logs"),
+        " strftime(event_time, '%Y-%m-%d %H:%M:%S') AS event_time FROM logs"),
     "parse_documents": _docs(f"""
 SELECT source, line_number, '{NOW}' AS timestamp,
   CASE WHEN regexp_matches(upper(value), 'CRITICAL|FATAL|EMERG') THEN 'CRITICAL'

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loglens.functions import formats, severity as sev
 from loglens.functions.parse import parse, severity_rank
@@ -79,7 +79,7 @@ def read_skip_missing(spark, sf):
 def parse_log(spark, sf):
     return _entries(spark, sf).select(
         "source", "line_number", "timestamp", "severity", "hostname", "process", "pid", "message",
-        F.unix_millis("event_time").alias("event_ms"))
+        F.date_format("event_time", "yyyy-MM-dd HH:mm:ss").alias("event_time"))
 
 
 @query
@@ -474,82 +474,90 @@ def retention_plan(spark, sf):
 
 # --- streams ---------------------------------------------------------------------------------
 
-def _finish(rows: DataFrame, name: str, output_mode: str = "append",
-            sink: Callable[[str, str], streams.Hook] | None = None,
-            schema: T.StructType | None = None) -> DataFrame:
-    """Run a stream over what is there and return what it wrote, with its ``batch`` number.
+def _finish(rows: DataFrame, out: str, sink: streams.Hook | None = None,
+            output_mode: str = "append") -> None:
+    """Run a stream over what is there now."""
+    streams.run(rows, f"{out}-checkpoint", [sink or streams.parquet_sink(out)],
+                output_mode=output_mode).awaitTermination()
 
-    ``sink(out, state)`` makes the sink from the output folder and a folder for its own state;
-    by default batches are written as they are.
-    """
-    spark = rows.sparkSession
-    out = new_path(spark, name)
-    hook = sink(out, f"{out}-buckets") if sink else streams.parquet_sink(out)
-    streams.run(rows, f"{out}-checkpoint", [hook], output_mode=output_mode).awaitTermination()
-    fields = T.StructType((schema or rows.schema).fields)
-    return spark.read.schema(fields.add("batch", "long")).parquet(out)
+
+def _result(rows: DataFrame, name: str) -> DataFrame:
+    """What a stream writes over what is there now."""
+    out = new_path(rows.sparkSession, name)
+    _finish(rows, out)
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{out}/batch=*")
 
 
 @query
 def stream_tail(spark, sf):
     folder = write_log_files(raw_logs(spark, sf))
-    paths = [p for s in range(5) for p in source.expand(spark, f"{folder}/src{s}.*.log")]
-    rows = _finish(streams.follow(
-        spark, paths, start="earliest", pattern="CLICK|user", min_severity="WARNING"), "tail")
+    rows = _result(streams.follow(
+        spark, source.expand(spark, folder), start="earliest", pattern="CLICK|user",
+        min_severity="WARNING"), "tail")
     return rows.select(source.base_name(F.col("source")).substr(1, 4).alias("source"), "value")
 
 
 @query
 def stream_watch(spark, sf):
     folder = write_log_files(raw_logs(spark, sf))
-    rows = _finish(streams.watch(spark, folder, start="earliest", min_severity="ERROR"), "watch")
+    rows = _result(streams.watch(spark, folder, start="earliest", min_severity="ERROR"), "watch")
     return rows.select(F.col("filename").substr(1, 4).alias("source"), "value")
 
 
 @query
 def stream_collector(spark, sf):
     folder = write_log_files(raw_logs(spark, sf))
-    rows = _finish(collector.collect(streams.landing(spark, folder), STREAM), "collected")
+    rows = _result(collector.collect(streams.landing(spark, folder), STREAM), "collected")
     return rows.select(
         source.base_name(F.col("source")).substr(1, 4).alias("source"), "severity", "output")
 
 
-def _replay(spark, sf, name: str) -> DataFrame:
-    """The log table as a stream of four time slices, oldest first."""
+def _replay(spark, sf, out: str, build: Callable[[DataFrame], DataFrame] | None = None,
+            sink: streams.Hook | None = None, output_mode: str = "append") -> None:
+    """The log table arrives in four slices of time, and the stream runs after each, going on
+    from its checkpoint."""
     raw = raw_logs(spark, sf)
-    folder = new_path(spark, name)
-    edges = ["2024-01-01", "2024-01-08", "2024-01-16", "2024-01-23", "2030-01-01"]
-    for begin, end in zip(edges, edges[1:]):
-        part = raw.filter((F.col("ts") >= F.lit(begin)) & (F.col("ts") < F.lit(end)))
-        part.repartition(4, "line_number").write.mode("append").parquet(folder)
-    return (spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 4).parquet(folder))
+    incoming = new_path(spark, "incoming")
+    edges = [F.lit(day).cast("timestamp_ntz") for day in ("2024-01-08", "2024-01-16", "2024-01-23")]
+    slices = [F.col("ts") < edges[0],
+              *[(F.col("ts") >= begin) & (F.col("ts") < end) for begin, end in zip(edges, edges[1:])],
+              F.col("ts") >= edges[-1]]
+    for part in slices:
+        raw.filter(part).write.mode("append").parquet(incoming)
+        stream = spark.readStream.schema(raw.schema).parquet(incoming)
+        _finish(build(stream) if build else stream, out, sink, output_mode)
 
 
 @query
 def stream_rate_limit(spark, sf):
-    def sink(out, state):
-        write = streams.parquet_sink(out)
-        return lambda batch, i: write(rate_limit_batch(batch, PER_SOURCE, state, i), i)
-
-    return _named(_finish(_replay(spark, sf, "replay"), "limited", sink=sink))
+    out = new_path(spark, "limited")
+    write = streams.parquet_sink(out)
+    _replay(spark, sf, out, sink=lambda batch, i: write(
+        _named(rate_limit_batch(batch, PER_SOURCE, f"{out}-buckets", i)), i))
+    return spark.read.schema("source string, line_number bigint, value string").parquet(
+        f"{out}/batch=*")
 
 
 @query
 def stream_collector_limited(spark, sf):
-    def sink(out, state):
-        write = streams.parquet_sink(out)
-        return lambda batch, i: write(
-            collector.collect_batch(batch, COLLECTOR, state, i).select(*schema.names), i)
-
-    schema = T.StructType.fromDDL("source string, line_number bigint, output string")
-    return _finish(_replay(spark, sf, "replay"), "limited", sink=sink, schema=schema).drop("batch")
+    out = new_path(spark, "limited")
+    write = streams.parquet_sink(out)
+    _replay(spark, sf, out, sink=lambda batch, i: write(
+        collector.collect_batch(batch, COLLECTOR, f"{out}-buckets", i).select(
+            "source", "line_number", "output"), i))
+    return spark.read.schema("source string, line_number bigint, output string").parquet(
+        f"{out}/batch=*")
 
 
 @query
 def stream_stats(spark, sf):
-    lines = _replay(spark, sf, "replay").withColumn("time", F.col("ts").cast("timestamp"))
-    updates = _finish(streams.interval_totals(lines, "time", "6 hours", late="3 hours"),
-                      "totals", output_mode="update")
+    out = new_path(spark, "totals")
+    _replay(spark, sf, out, lambda lines: streams.interval_totals(
+        lines.withColumn("time", F.col("ts").cast("timestamp")), "time", "6 hours",
+        late="3 hours"), output_mode="update")
+    # Every batch wrote the intervals it changed; the last one to do so counts.
+    updates = spark.read.schema(
+        "interval_start timestamp, lines bigint, bytes bigint, batch bigint").parquet(out)
     latest = updates.groupBy("interval_start").agg(
         F.max_by(F.struct("lines", "bytes"), "batch").alias("last")).select(
         "interval_start", "last.lines", "last.bytes")

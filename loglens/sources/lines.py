@@ -9,21 +9,51 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 MAX_BROADCAST_SPLITS = 250_000
 
 
-def expand(spark: SparkSession, path: str) -> list[str]:
-    """Files and folders a path or glob stands for."""
+def _statuses(spark: SparkSession, path: str) -> list:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = system.globStatus(target)
-    return [] if found is None else [status.getPath().toUri().getPath() for status in found]
+    return list(system.globStatus(target) or [])
+
+
+def _text_of(status) -> str:
+    uri = status.getPath().toUri()
+    return uri.getPath() if uri.getScheme() == "file" else status.getPath().toString()
+
+
+def expand(spark: SparkSession, path: str) -> list[str]:
+    """Files a path stands for: glob matches, and the visible files of a folder."""
+    files = []
+    for status in _statuses(spark, path):
+        if status.isDirectory():
+            inside = _statuses(spark, f"{status.getPath().toString()}/*")
+            files += [_text_of(s) for s in inside
+                      if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
+        else:
+            files.append(_text_of(status))
+    return files
 
 
 def split_missing(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[str]]:
     """Paths of the list, duplicates dropped, as (those that exist, those that do not)."""
     unique = list(dict.fromkeys(paths))
-    found = {p: bool(expand(spark, p)) for p in unique}
+    found = {p: bool(_statuses(spark, p)) for p in unique}
     return [p for p in unique if found[p]], [p for p in unique if not found[p]]
 
 
+def _distinct(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The list with no file in it twice, be it by name, by glob or within a listed folder."""
+    unique = list(dict.fromkeys(paths))
+    if len(unique) == 1:
+        return unique
+    found = dict.fromkeys(_text_of(s) for p in unique for s in _statuses(spark, p))
+
+    def covered(path: str) -> bool:
+        parts = path.split("/")
+        return any("/".join(parts[:i]) in found for i in range(1, len(parts)))
+
+    return [p for p in found if not covered(p)] or unique
+
+
 def plain_path(uri: Column) -> Column:
     """Path of a ``_metadata.file_path``: scheme of local files removed, escapes resolved."""
     path = F.regexp_replace(uri, "^file:/+", "/")
@@ -35,7 +65,7 @@ def base_name(path: Column) -> Column:
 
 
 def _text(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.read.option("lineSep", "\n").text(list(dict.fromkeys(paths)))
+    return spark.read.option("lineSep", "\n").text(_distinct(spark, paths))
 
 
 def _max_splits(text: DataFrame) -> int:
@@ -106,4 +136,4 @@ def read_in_order(spark: SparkSession, paths: list[str]) -> DataFrame:
     order = spark.createDataFrame(list(files.items()), "source string, source_pos int")
     if len(files) <= MAX_BROADCAST_SPLITS:
         order = F.broadcast(order)
-    return read_lines(spark, list(files)).join(order, "source")
+    return read_lines(spark, list(files)).join(order, "source", "left")

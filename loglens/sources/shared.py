@@ -24,8 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+# Paths handed out by this process.
+_paths: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _paths.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this process; results built on them end with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    while _paths:
+        old = path(_paths.pop())
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from loglens.operators import ordering, search
-from loglens.sources import lines as source
+from loglens.sources import lines as source, shared
 
 NOW = "2030-01-01 00:00:00"
 
@@ -57,6 +57,23 @@ def test_missing_inputs_are_reported(spark, tmp_path):
     assert lines.count() == 0 and missing == [f"{tmp_path}/no.log"]
 
 
+def test_no_file_is_read_twice(spark, tmp_path):
+    expected = write(tmp_path, a=["x", "y"], b=["z"])
+    overlapping = [f"{tmp_path}/a.log", f"{tmp_path}/*.log", str(tmp_path), f"{tmp_path}/b.log"]
+    for paths in (overlapping, overlapping[:2]):
+        assert numbered(source.read_lines(spark, paths)) == expected
+    whole = source.read_in_order(spark, [str(tmp_path)])
+    assert sorted((r.source_pos, r.value) for r in whole.collect()) == [(0, "x"), (0, "y"), (1, "z")]
+
+
+def test_intermediate_tables_can_be_dropped(spark):
+    kept = shared.materialize(spark.range(3), "numbers")
+    folder = Path(kept.inputFiles()[0].removeprefix("file://")).parent
+    assert kept.count() == 3 and folder.exists()
+    shared.drop_tables(spark)
+    assert not folder.exists()
+
+
 def test_merge_follows_argument_order(spark, tmp_path):
     write(tmp_path, b=["2025-01-02 00:00:00 INFO b1", "plain b2"],
           a=["2025-01-01 00:00:00 INFO a1", "2025-01-02 00:00:00 INFO a2"])
