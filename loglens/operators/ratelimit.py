@@ -92,7 +92,10 @@ def _over_sorted(df: DataFrame, keys: list[str], order: list[str], columns: list
     def run(batches):
         return _frames(step(_rows(batches, columns)), out)
 
-    return (df.select(*columns).repartition(*keys).sortWithinPartitions(*keys, *order)
+    # The shuffle goes by a column made for it. Were it by the keys themselves, Spark would drop it
+    # behind a join on the same keys, and then may still split that join's skewed partitions.
+    return (df.select(*columns, F.xxhash64(*keys).alias("_slot"))
+            .repartition("_slot").sortWithinPartitions(*keys, *order)
             .mapInPandas(run, schema))
 
 

@@ -92,7 +92,9 @@ def write_log_files(lines: DataFrame, extension: str = "log") -> str:
         part = status.getPath()
         block_name = part.getParent().getName().split("=", 1)[1]
         source_name = part.getParent().getParent().getName().split("=", 1)[1]
-        system.rename(part, path(f"{root}/flat/{source_name}.{block_name}.{extension}"))
+        name = f"{root}/flat/{source_name}.{block_name}.{extension}"
+        if not system.rename(part, path(name)):
+            raise RuntimeError(f"cannot name a log file {name}")
     return f"{root}/flat"
 
 

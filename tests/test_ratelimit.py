@@ -114,6 +114,39 @@ def test_rate_limit(spark, monkeypatch, limit, one_pass):
     assert sorted(got) == sorted(wanted)
 
 
+@pytest.mark.parametrize("joins", ["shuffled", "broadcast at run time"])
+def test_adaptive_plans_keep_groups_whole(spark, conf, monkeypatch, joins):
+    # Spark may split skewed partitions of a join, or read shuffles locally once it turns a join
+    # into a broadcast; neither may tear a key or chunk apart.
+    monkeypatch.setattr(rl, "CHUNK_MS", 500)
+    conf(spark__sql__autoBroadcastJoinThreshold="-1",
+         spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="1",
+         spark__sql__adaptive__skewJoin__skewedPartitionFactor="0.1",
+         spark__sql__adaptive__advisoryPartitionSizeInBytes="2k",
+         spark__sql__adaptive__coalescePartitions__parallelismFirst="false")
+    if joins != "shuffled":
+        # The chunk starts are broadcast from the outset, their phases only at run time.
+        conf(spark__sql__autoBroadcastJoinThreshold="30k",
+             spark__sql__adaptive__autoBroadcastJoinThreshold="100m")
+    limit = RateLimit(1, 10, 3)
+    arrivals = random_arrivals(random.Random(4), "a", 20_000) + random_arrivals(random.Random(5), "bc", 50)
+    lines = table(spark, arrivals).repartition(8)
+    for one_pass in (0, 1_000_000):
+        granted = rl.grant(lines, limit, one_pass_rows=one_pass)
+        got = [r.value for r in rl.rate_limit(lines, limit, granted=granted).collect()]
+        assert sorted(got) == sorted(walk(arrivals, limit))
+
+
+@pytest.mark.parametrize("threshold", ["-1", "100m"])
+@pytest.mark.parametrize("one_pass", [0, 1_000_000])
+def test_every_walk_has_a_shuffle_of_its_own(spark, conf, threshold, one_pass):
+    conf(spark__sql__autoBroadcastJoinThreshold=threshold, spark__sql__adaptive__enabled="false")
+    lines = table(spark, random_arrivals(random.Random(4), "ab", 50))
+    plan = rl.grant(lines, RateLimit(1, 10, 3), one_pass_rows=one_pass)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("MapInPandas") == text.count("Exchange hashpartitioning(_slot") > 0
+
+
 def test_all_lines_in_one_millisecond(spark, conf):
     arrivals = [("a", 5, f"a{i}") for i in range(200)]
     for threshold in ("1000", "3"):
