@@ -24,9 +24,10 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 from math import gcd
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loglens.operators.ordering import top_per_group
@@ -64,20 +65,25 @@ class RateLimit:
         return self.burst * self.cost
 
 
-def _rows(batches: Iterator[pd.DataFrame], columns: list[str]):
+_ARROW = {"string": pa.string(), "bigint": pa.int64()}
+
+
+def _values(column: pa.Array) -> list:
+    if pa.types.is_integer(column.type) and column.null_count == 0:
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
+def _rows(batches: Iterator[pa.RecordBatch], width: int):
     for batch in batches:
-        yield from zip(*[batch[c].tolist() for c in columns])
+        yield from zip(*[_values(batch.column(i)) for i in range(width)])
 
 
-def _frames(rows: Iterator[tuple], columns: list[str], size: int = 50_000):
-    held = []
-    for row in rows:
-        held.append(row)
-        if len(held) == size:
-            yield pd.DataFrame(held, columns=columns)
-            held = []
-    if held:
-        yield pd.DataFrame(held, columns=columns)
+def _batches(rows: Iterator[tuple], fields: list[tuple[str, pa.DataType]], size: int = 20_000):
+    names = [name for name, _ in fields]
+    while held := list(islice(rows, size)):
+        columns = [pa.array(values, kind) for values, (_, kind) in zip(zip(*held), fields)]
+        yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def _over_sorted(df: DataFrame, keys: list[str], order: list[str], columns: list[str],
@@ -87,16 +93,17 @@ def _over_sorted(df: DataFrame, keys: list[str], order: list[str], columns: list
     Rows stream through: a step keeps a few numbers per key, or at most the moments of the one
     chunk it is in.
     """
-    out = [part.split()[0] for part in schema.split(",")]
+    fields = [(name, _ARROW[kind]) for name, kind in (part.split() for part in schema.split(","))]
+    width = len(columns)
 
     def run(batches):
-        return _frames(step(_rows(batches, columns)), out)
+        return _batches(step(_rows(batches, width)), fields)
 
     # The shuffle goes by a column made for it. Were it by the keys themselves, Spark would drop it
     # behind a join on the same keys, and then may still split that join's skewed partitions.
     return (df.select(*columns, F.xxhash64(*keys).alias("_slot"))
             .repartition("_slot").sortWithinPartitions(*keys, *order)
-            .mapInPandas(run, schema))
+            .mapInArrow(run, schema))
 
 
 def _chunk_shapes(limit: RateLimit):
@@ -105,16 +112,22 @@ def _chunk_shapes(limit: RateLimit):
     gain, cost, cap = limit.gain, limit.cost, limit.cap
 
     def step(rows):
-        current = None
+        current, at = None, None
         for key, chunk, ms, n in rows:
-            if (key, chunk) != current:
+            if chunk != at or key != current[0]:
                 if current is not None:
                     yield (*current, first, last, low, high, shift)
-                current, first, last, low, high, shift = (key, chunk), ms, ms, 0, cap, 0
-            waited = (ms - last) * gain
-            low = min(max(low - waited, 0) + n * cost, cap)
-            high = min(max(high - waited, 0) + n * cost, cap)
-            shift += n * cost - waited
+                current, at = (key, chunk), chunk
+                first, last, low, high, shift = ms, ms, 0, cap, 0
+            # The same as max(.. - waited, 0) and min(.. + added, cap), without the calls.
+            waited, added = (ms - last) * gain, n * cost
+            low = added if low < waited else low - waited + added
+            high = added if high < waited else high - waited + added
+            if low > cap:
+                low = cap
+            if high > cap:
+                high = cap
+            shift += added - waited
             last = ms
         if current is not None:
             yield (*current, first, last, low, high, shift)
@@ -191,19 +204,21 @@ def _phase_changes(limit: RateLimit):
             yield (*current, i, *piece)
 
     def step(rows):
-        current, moments = None, []
+        current, at, moments = None, None, []
         for key, chunk, ms, n, start_ms, start_u in rows:
-            if (key, chunk) != current:
+            if chunk != at or key != current[0]:
                 yield from pieces(current, moments)
-                current, moments = (key, chunk), []
+                current, at, moments = (key, chunk), chunk, []
                 yield key, chunk, -1, 0, 0, 0
                 u, last = start_u, start_ms
-            left = 0 if last is None or last != last else u - (ms - int(last)) * gain
+            left = 0 if last is None else u - (ms - last) * gain
             if left <= 0:
-                moments = [(ms * gain % cost, 0)]
+                left, moments = 0, [(ms * gain % cost, 0)]
             elif left < cost:
                 moments.append((ms * gain % cost, left))
-            u = min(max(left, 0) + n * cost, cap)
+            u = left + n * cost
+            if u > cap:
+                u = cap
             last = ms
         yield from pieces(current, moments)
 
@@ -228,25 +243,34 @@ def _chunk_phases():
 
 
 def _accepted(limit: RateLimit):
-    """Per millisecond: how many lines find a token, and the debt after them. The real bucket,
-    chunk by chunk."""
+    """Per millisecond: how many lines find a token, and the debt after them; where none does,
+    only for the last of a chunk. The real bucket, chunk by chunk."""
     gain, cost, cap = limit.gain, limit.cost, limit.cap
 
     def step(rows):
-        current = None
+        current, at, taken, last, debt = None, None, 1, 0, 0
         for key, chunk, ms, n, start_ms, start_u, phase in rows:
-            if (key, chunk) != current:
-                current = (key, chunk)
-                if start_ms is None or start_ms != start_ms:
+            if chunk != at or key != current:
+                if not taken:
+                    yield current, last, 0, debt
+                current, at = key, chunk
+                if start_ms is None:
                     debt, last = 0, ms
                 else:
-                    last = int(start_ms)
+                    last = start_ms
                     debt = start_u - (start_u + last * gain - phase) % cost
-            debt = max(debt - (ms - last) * gain, 0)
-            taken = min(n, (cap - debt) // cost)
-            debt += taken * cost
+            debt -= (ms - last) * gain
+            if debt < 0:
+                debt = 0
+            taken = (cap - debt) // cost
+            if taken > n:
+                taken = n
             last = ms
-            yield key, ms, taken, debt
+            if taken:
+                debt += taken * cost
+                yield key, ms, taken, debt
+        if not taken:
+            yield current, last, 0, debt
 
     return step
 

@@ -144,7 +144,7 @@ def test_every_walk_has_a_shuffle_of_its_own(spark, conf, threshold, one_pass):
     lines = table(spark, random_arrivals(random.Random(4), "ab", 50))
     plan = rl.grant(lines, RateLimit(1, 10, 3), one_pass_rows=one_pass)
     text = plan._jdf.queryExecution().executedPlan().toString()
-    assert text.count("MapInPandas") == text.count("Exchange hashpartitioning(_slot") > 0
+    assert text.count("MapInArrow") == text.count("Exchange hashpartitioning(_slot") > 0
 
 
 def test_all_lines_in_one_millisecond(spark, conf):
