@@ -485,7 +485,7 @@ def _result(rows: DataFrame, name: str) -> DataFrame:
     """What a stream writes over what is there now."""
     out = new_path(rows.sparkSession, name)
     _finish(rows, out)
-    return rows.sparkSession.read.schema(rows.schema).parquet(f"{out}/batch=*")
+    return rows.sparkSession.read.schema(rows.schema).parquet(out).drop("batch")
 
 
 @query
@@ -535,7 +535,7 @@ def stream_rate_limit(spark, sf):
     _replay(spark, sf, out, sink=lambda batch, i: write(
         _named(rate_limit_batch(batch, PER_SOURCE, f"{out}-buckets", i)), i))
     return spark.read.schema("source string, line_number bigint, value string").parquet(
-        f"{out}/batch=*")
+        out).drop("batch")
 
 
 @query
@@ -546,7 +546,7 @@ def stream_collector_limited(spark, sf):
         collector.collect_batch(batch, COLLECTOR, f"{out}-buckets", i).select(
             "source", "line_number", "output"), i))
     return spark.read.schema("source string, line_number bigint, output string").parquet(
-        f"{out}/batch=*")
+        out).drop("batch")
 
 
 @query
