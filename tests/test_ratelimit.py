@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from loglens.operators import ratelimit as rl
 from loglens.operators.ratelimit import RateLimit
