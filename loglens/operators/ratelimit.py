@@ -5,8 +5,9 @@ and gives one token per line; a line that finds no token is dropped. Everything
 the common divisor removed, a line costs ``cost`` units, a millisecond brings ``gain`` units and
 the bucket holds ``cap = burst * cost``. The code tracks the *debt* ``v = cap - tokens``.
 
-A bucket is sequential by nature, yet no task here handles a whole key. Lines are counted per
-(key, millisecond); more than a million counts are cut into ten-minute chunks. Per chunk two facts are needed on entry:
+Lines are counted per (key, millisecond). Up to a million counts are walked key by key. More are
+cut into ten-minute chunks, so that no task replays a whole key, although a bucket is sequential
+by nature. Per chunk two facts are needed on entry:
 
 * ``u``, the debt of a bucket that may also give fractions of a line. Its step is
   ``u -> min(cap, max(u - elapsed, 0) + lines * cost)``, and a chain of such steps is again
