@@ -22,7 +22,7 @@ from loglens.sources.shared import materialize
 
 VECTOR = ("word_length", "log_words", "symbols", "repeated_lines", "repeated_words", "capitals", "punctuation")
 #: Standard deviations below which differences mean nothing.
-FLOOR = np.array([0.05, 0.2, 0.05, 0.1, 0.05, 0.05, 0.05])
+FLOOR = np.array([0.05, 0.2, 0.05, 0.2, 0.1, 0.05, 0.05])
 SHARE = 0.75
 STEPS = 3
 MIN_ROWS = 100
