@@ -195,8 +195,9 @@ def deduplicated(
     distinct = materialize(keyed.groupBy("h", "g", "length", "own", "longer").agg(
         F.min("place").alias("first"), F.count(F.lit(1)).alias("copies")), "lines")
     near = near_earlier(distinct, lines)
-    judged = distinct.join(near.withColumn("near", F.lit(True)), ["h", "g"], "left").where(
-        "copies > 1 OR near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    # a table of its own, so that a common line's occurrences are dealt by the join alone and can be split
+    judged = materialize(distinct.join(near.withColumn("near", F.lit(True)), ["h", "g"], "left").where(
+        "copies > 1 OR near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near")), "judged-lines")
     gone = lines.select("h", "g", "id", "pos").join(judged, ["h", "g"]).where(
         "near OR NOT (first.id <=> id AND first.pos = pos)").groupBy("id").agg(F.collect_set("pos").alias("gone"))
     gone = materialize(gone.select(F.col("id").alias("gone_id_"), F.col("gone").alias("gone_lines_")), "gone-lines")
