@@ -96,16 +96,17 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, shingles (the sorted 64-bit hashes of the whole set, as bytes)."""
+    """Per row: id, shingles (the 64-bit hashes of the whole set)."""
     def run(batches):
         for batch in batches:
             for row, data, offsets in text_chunks(batch.column(1)):
                 sets = _shingles(data, offsets, k)
+                places = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    [batch.column(0).slice(row, len(sets)), pa.ListArray.from_arrays(places, np.concatenate(sets).view(np.int64))],
                     ["id", "shingles"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "id bigint, shingles binary")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "id bigint, shingles array<bigint>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -115,7 +116,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             x, y = batch.column(2), batch.column(3)
             keep = []
             for i in range(len(x)):
-                p, q = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (x, y))
+                p, q = (c[i].values.to_numpy() for c in (x, y))
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -133,11 +134,9 @@ def near_duplicates(
 
     Documents are linked if 100 * |intersection| >= percent * |union| of their sets of k-word shingles;
     components are those of all links among candidates of a band. Equal sets become one
-    representative first. Candidates of a band bucket are verified in rounds: some members
-    (one, then 8, 64, ... in expectation, always the least) are compared with those of other components, until
-    no two members of different components are left untested. A bucket of one family ends
-    after its first round, so copies are never paired with each other; what is found
-    is the same as if every pair of the bucket were tested.
+    representative first. The members of a band bucket are compared with the least of them; a bucket of one family ends there. The
+    members of buckets that still hold several components are joined across components by their rarest shingles, which
+    finds every link left among them without testing all pairs.
 
     Null or empty texts and texts without words have n_shingles 0 and are linked with nothing. Rows with a null id get a
     null component and are kept. Rows that share an id are one document for the links. Column names other than
@@ -166,34 +165,47 @@ def near_duplicates(
 
 
 def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component) from bucket members (band, rep, n) and their full sets."""
-    places = members.select(F.col("rep").alias("node"), F.col("rep").alias("component")).distinct()
-    open_, turn = members.withColumn("done", F.lit(False)), 0
-    edges = None
-    while True:
-        now = open_.join(places.withColumnRenamed("node", "rep"), "rep") if turn else \
-            open_.withColumn("component", F.col("rep"))
-        # untested pairs are those of members not yet compared with all others
-        heads = now.groupBy("band").agg(
-            F.min(F.when(~F.col("done"), F.col("rep"))).alias("head"),
-            F.sum(F.when(~F.col("done"), 1).otherwise(0)).alias("size"),
-            F.min(F.when(~F.col("done"), F.col("component"))).alias("low"),
-            F.max(F.when(~F.col("done"), F.col("component"))).alias("high")).where("low < high")
-        pick = 0 if turn == 0 else 8 ** turn
-        chosen = F.expr(f"NOT done AND (rep = head OR pmod(xxhash64(rep, band, {turn}), 1000003) * size < {pick} * 1000003L)")
-        live = materialize(now.join(heads, "band").withColumn("pivot", chosen).select(
-            "band", "rep", "n", "done", "component", "pivot"), "round")
-        if live.isEmpty():
-            return places
-        pivots = live.where("pivot").select(
-            "band", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"))
-        pairs = (live.where("NOT done").join(pivots, "band")
-                 .where(f"rep <> p AND component <> pc AND 100 * least(n, pn) >= {percent} * greatest(n, pn)")
-                 .select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct())
-        found = _verified(pairs, sets, percent)
-        edges = materialize(found if edges is None else edges.unionByName(found), "edges")
-        joined = connected_components(edges)
-        places = materialize(
-            members.select(F.col("rep").alias("node")).distinct().join(joined, "node", "left")
-            .select("node", F.coalesce("component", "node").alias("component")), "places")
-        open_, turn = live.select("band", "rep", "n", (F.col("done") | F.col("pivot")).alias("done")), turn + 1
+    """(node, component) from bucket members (band, rep, n) and their full sets (id, shingles)."""
+    nodes = members.select(F.col("rep").alias("node")).distinct()
+    heads = members.groupBy("band").agg(F.min("rep").alias("head"))
+    sized = heads.join(members.select("band", F.col("rep").alias("head"), F.col("n").alias("pn")), ["band", "head"])
+    stars = members.join(sized, "band").where(
+        f"rep <> head AND 100 * least(n, pn) >= {percent} * greatest(n, pn)").select(
+        F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
+    edges = materialize(_verified(stars, sets, percent), "star-edges")
+    places = _placed(nodes, edges)
+    apart = members.join(places.withColumnRenamed("node", "rep"), "rep")
+    open_ = apart.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    live = materialize(apart.join(open_, "band", "left_semi").select("rep", "n", "component").distinct(), "open-members")
+    if live.isEmpty():
+        return places
+    pairs = _across(live, sets, percent)
+    return _placed(nodes, materialize(edges.unionByName(_verified(pairs, sets, percent)), "all-edges"))
+
+
+def _placed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    joined = connected_components(edges)
+    return materialize(nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "places")
+
+
+def _across(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of different components that can overlap enough, by their rarest shingles.
+
+    Sets of n and m shingles overlap enough only if they share t = ceil(percent * (n + m) / (100 + percent)) of them, so in one order of all
+    shingles, rarest first, they share one among the first n - t + 1 of the one and the first m - t + 1 of the other.
+    The join has that as its condition: a set whose rarest shingles are its own gives no pair, however large its bucket is.
+    """
+    each = live.join(sets.withColumnRenamed("id", "rep"), "rep").select(
+        "rep", "n", "component", F.explode("shingles").alias("shingle"))
+    common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    ranked = each.join(common, "shingle").groupBy("rep", "n", "component").agg(
+        F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("order"))
+    most = F.expr(f"CAST(n - ceil({percent} * n / 100D) + 1 AS INT)")
+    heads = materialize(ranked.select("rep", "n", "component", F.posexplode(F.slice("order", F.lit(1), most)).alias("pos", "s"))
+                        .where("s.df > 1").select("rep", "n", "component", "pos", F.col("s.shingle").alias("shingle")), "rare-shingles")
+    x = heads.select("shingle", *[F.col(c).alias(f"a_{c}") for c in ("rep", "n", "component", "pos")])
+    y = heads.select("shingle", *[F.col(c).alias(f"b_{c}") for c in ("rep", "n", "component", "pos")])
+    needed = f"ceil({percent} * (a_n + b_n) / {100 + percent}D - 1e-9)"
+    return x.join(y, (x.shingle == y.shingle) & F.expr(
+        f"a_rep < b_rep AND a_component <> b_component AND a_pos <= a_n - {needed} AND b_pos <= b_n - {needed}")
+    ).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct()
