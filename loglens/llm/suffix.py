@@ -23,7 +23,6 @@ GRAM = 32
 ARRAY_BYTES = 2 << 20
 #: Anchors are gathered in one suffix array until it has so many bytes.
 FILL_BYTES = 512 << 10
-BROADCAST_ROWS = 200_000
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -243,8 +242,6 @@ def repeated(docs: DataFrame, length: int, gram: int) -> DataFrame:
     wanted = materialize(named.join(open_, "anchor").select(
         "anchor", "bytes", "one.*", (F.col("copies") == 1).alias("single")), "open-segments")
     by_row = wanted.groupBy("id", "mark").agg(F.collect_list(F.struct("anchor", "bytes", "a", "b", "single")).alias("parts"))
-    if wanted.count() <= BROADCAST_ROWS:
-        by_row = F.broadcast(by_row)
     texts = docs.select("id", "mark", "text").join(
         by_row.withColumnsRenamed({"id": "i", "mark": "m"}), F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")))
     # rows with the same id and text would give their segments twice
@@ -270,8 +267,6 @@ def deduplicated(
     found = repeated(rows, length, gram)
     gone = materialize(found.groupBy("id", "mark").agg(
         F.collect_set(F.struct("x", "y")).alias("ranges")), "repeated-ranges")
-    if gone.agg(F.coalesce(F.sum(F.size("ranges") + 4), F.lit(0))).first()[0] <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
     joined = rows.join(gone.withColumnsRenamed({"id": "i", "mark": "m"}),
                        F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left")
     schema = ("doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, "
