@@ -12,7 +12,6 @@ from loglens.sources.shared import materialize
 
 #: A run is the fewest sentences, from each one on, that are so many and have so many words.
 RUN, RUN_WORDS = 2, 16
-BROADCAST_ROWS = 200_000
 
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
@@ -92,8 +91,6 @@ def deduplicated(
     rows = rows.select("id", F.xxhash64("plain").alias("mark"), F.col("plain").cast("binary").alias("text"))
     filled = rows.select("id", "mark", F.coalesce("text", F.lit("").cast("binary")).alias("text"))
     gone = materialize(repeated_sentences(filled, sentences, words), "repeated-sentences")
-    if gone.agg(F.coalesce(F.sum(F.size("gone") + 4), F.lit(0))).first()[0] <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
     joined = rows.join(gone.withColumnsRenamed({"id": "i", "mark": "m"}),
                        F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left")
 
