@@ -66,10 +66,11 @@ def spans(docs: DataFrame, sentences: int, words: int) -> DataFrame:
 def repeated_sentences(docs: DataFrame, sentences: int, words: int) -> DataFrame:
     """id, mark, gone (numbers of sentences covered by a repeated run that isn't its first) of docs (id, mark, text)."""
     every = materialize(spans(docs, sentences, words), "spans")
-    many = every.groupBy("span").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("span")
+    # a table of its own, so that the rows of a very common run are dealt by the join alone and can be split
+    many = materialize(every.groupBy("span").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("span"), "repeated-spans")
     shared = materialize(every.join(many, "span", "left_semi"), "shared-spans")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "mark", "pos")
-    first = shared.groupBy("span").agg(F.min(place).alias("first"))
+    first = materialize(shared.groupBy("span").agg(F.min(place).alias("first")), "first-spans")
     later = shared.join(first, "span").where(
         "NOT (first.id <=> id AND first.mark = mark AND first.pos = pos)").groupBy("id", "mark").agg(
             F.collect_set(F.struct("pos", "n")).alias("runs"))
