@@ -228,7 +228,8 @@ def _by_window(bodies: DataFrame, length: int) -> DataFrame:
 def repeated(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """id, mark, x, y: ranges of windows that start anywhere else, from docs (id, mark, text as bytes)."""
     parts = materialize(all_segments(docs, length, gram), "segments")
-    shared = parts.groupBy("anchor").agg(F.sum("places").alias("n")).where("n > 1").select("anchor")
+    # a table of its own, so that the rows of a common anchor are dealt by the join alone and can be split
+    shared = materialize(parts.groupBy("anchor").agg(F.sum("places").alias("n")).where("n > 1").select("anchor"), "anchors")
     near = materialize(parts.join(shared, "anchor", "left_semi"), "shared-anchors")
     named = materialize(near.groupBy("anchor", "name1", "name2").agg(
         F.count(F.lit(1)).alias("copies"), F.max("places").alias("places"),
