@@ -2,12 +2,6 @@
 
 from pyspark.sql import types as T
 
-RAW_SCHEMA = T.StructType([
-    T.StructField("source", T.StringType()),
-    T.StructField("line_number", T.LongType()),
-    T.StructField("value", T.StringType()),
-])
-
 ENTRY_SCHEMA = T.StructType([
     T.StructField("timestamp", T.StringType()),
     T.StructField("ingest_time", T.TimestampType()),

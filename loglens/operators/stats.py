@@ -20,7 +20,7 @@ def _length_columns(length: Column) -> list[Column]:
         count.alias("total_lines"), total.alias("total_bytes"),
         F.coalesce(F.min(length), F.lit(0)).alias("min_line_length"),
         F.coalesce(F.max(length), F.lit(0)).alias("max_line_length"),
-        F.when(count > 0, F.floor(total / count)).otherwise(0).cast("bigint")
+        F.when(count > 0, F.call_function("div", total, count)).otherwise(0).cast("bigint")
         .alias("avg_line_length"),
     ]
 

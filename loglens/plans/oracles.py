@@ -169,9 +169,8 @@ def _written(rows: str) -> str:
 
 ORACLES: dict[str, str] = {
     "read_lines": _logs(f"SELECT {_LINE} FROM logs"),
-    "read_multi": _logs(f"SELECT {_LINE} FROM logs WHERE source IN ('src0', 'src3')"),
-    "read_skip_missing": _logs(
-        f"SELECT {_LINE}, 1::BIGINT AS missing FROM logs WHERE source IN ('src1', 'src2')"),
+    "read_multi": _logs(f"SELECT {_LINE} FROM logs"),
+    "read_skip_missing": _logs(f"SELECT {_LINE}, 1::BIGINT AS missing FROM logs"),
     "parse_log": _logs(
         "SELECT source, line_number, timestamp, severity, hostname, process, pid, message,"
         " strftime(event_time, '%Y-%m-%d %H:%M:%S') AS event_time FROM logs"),

@@ -61,7 +61,7 @@ def read_lines(spark, sf):
 @query
 def read_multi(spark, sf):
     folder = write_log_files(raw_logs(spark, sf))
-    wanted = [f"{folder}/src0.*.log", f"{folder}/src3.*.log", f"{folder}/src0.*.log"]
+    wanted = [f"{folder}/src{n}.*.log" for n in (0, 3, 1, 0, 4, 2)]
     return original_position(source.read_lines(spark, wanted))
 
 
@@ -69,7 +69,7 @@ def read_multi(spark, sf):
 def read_skip_missing(spark, sf):
     folder = write_log_files(raw_logs(spark, sf))
     present, missing = source.read_existing(
-        spark, [f"{folder}/src1.*.log", f"{folder}/none.log", f"{folder}/src2.*.log"])
+        spark, [f"{folder}/none.log", *(f"{folder}/src{n}.*.log" for n in range(5))])
     return original_position(present).withColumn("missing", F.lit(len(missing)).cast("bigint"))
 
 
