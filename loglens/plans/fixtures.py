@@ -98,6 +98,17 @@ def write_log_files(lines: DataFrame, extension: str = "log") -> str:
     return f"{root}/flat"
 
 
+def replace_files(spark: SparkSession, new: str, old: str) -> None:
+    """Move the files of one folder over those of the same names in another."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(old).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in system.listStatus(path(new)):
+        target = path(old, status.getPath().getName())
+        system.delete(target, False)
+        if not system.rename(status.getPath(), target):
+            raise RuntimeError(f"cannot replace {target.toString()}")
+
+
 def original_position(lines: DataFrame) -> DataFrame:
     """Map file names written by ``write_log_files`` back to source and line number."""
     name = F.element_at(F.split("source", "/"), -1)

@@ -377,6 +377,12 @@ FROM (SELECT strftime(event_time, '%Y-%m-%d') AS date, count(*) AS lines FROM lo
 SELECT source, value FROM logs
 WHERE (contains(lower(value), 'click') OR contains(lower(value), 'user')) AND rank >= 2"""),
     "stream_watch": _logs("SELECT source, value FROM logs WHERE rank >= 3"),
+    "stream_replace": _logs("SELECT source, value FROM logs"),
+    "stream_tail_then_follow": _logs("""
+SELECT source, value FROM (
+  SELECT source, value, ts, row_number() OVER (
+    PARTITION BY source, ts < TIMESTAMP '2024-01-16' ORDER BY line_number DESC) AS back FROM logs)
+WHERE ts >= TIMESTAMP '2024-01-16' OR back <= 25"""),
     "stream_collector": _logs(f"""
 SELECT source, severity, {_PLAIN} AS output FROM logs
 WHERE event_id % 5 <> 0 AND event_type IN ('click', 'purchase') AND rank >= 2"""),

@@ -15,7 +15,7 @@ from loglens.operators.ratelimit import RateLimit, grant, rate_limit, rate_limit
 from loglens.plans import collector
 from loglens.plans.collector import CollectorConfig
 from loglens.plans.fixtures import (
-    NOW, doc_lines, original_position, raw_logs, write_log_files)
+    NOW, doc_lines, original_position, raw_logs, replace_files, write_log_files)
 from loglens.sources import lines as source, sinks
 from loglens.sources.shared import new_path
 from loglens.streaming import streams
@@ -504,6 +504,35 @@ def stream_watch(spark, sf):
     return rows.select(F.col("filename").substr(1, 4).alias("source"), "value")
 
 
+@query
+def stream_replace(spark, sf):
+    """Files are followed, replaced under the same names by those of later days, and followed on."""
+    raw = raw_logs(spark, sf)
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    folder, later = write_log_files(raw.filter(early)), write_log_files(raw.filter(~early))
+    out = new_path(spark, "replaced")
+    rows = streams.watch(spark, folder, start="earliest")
+    _finish(rows, out)
+    replace_files(spark, later, folder)
+    _finish(streams.watch(spark, folder, start="earliest"), out)
+    found = spark.read.schema(rows.schema).parquet(out)
+    return found.select(F.col("filename").substr(1, 4).alias("source"), "value")
+
+
+@query
+def stream_tail_then_follow(spark, sf):
+    """The last 25 lines of each file of the earlier days, then all that comes after them."""
+    raw = raw_logs(spark, sf)
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    folder, later = write_log_files(raw.filter(early)), write_log_files(raw.filter(~early), "new.log")
+    files = source.expand(spark, folder)
+    coming = [f"{folder}/{name.rsplit('/', 1)[1]}" for name in source.expand(spark, later)]
+    last, rest = streams.tail_then_follow(spark, [*files, *coming], 25)
+    replace_files(spark, later, folder)
+    rows = last.select("source", "value").unionByName(_result(rest, "rest").select("source", "value"))
+    return rows.select(source.base_name(F.col("source")).substr(1, 4).alias("source"), "value")
+
+
 @query
 def stream_collector(spark, sf):
     folder = write_log_files(raw_logs(spark, sf))

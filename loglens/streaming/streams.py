@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loglens.operators.filters import line_condition
+from loglens.operators.ordering import tail_n
 from loglens.operators.stats import interval_counts
 from loglens.sources import tail
 from loglens.sources.lines import base_name, plain_path
@@ -19,23 +20,70 @@ log = logging.getLogger(__name__)
 Hook = Callable[[DataFrame, int], None]
 
 
-def follow(spark: SparkSession, paths: list[str], *, start: str = "latest",
-           pattern: str | None = None, min_severity: str | None = None) -> DataFrame:
-    """Lines appended to the given files; the pattern ignores case."""
+def _qualified(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """The path as Hadoop's file systems name it, so that all machines read the same file, and whether it is there."""
+    named = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = named.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(named).toString(), system.exists(named)
+
+
+def _tail(spark: SparkSession, reader, paths: list[str], **options) -> DataFrame:
     tail.register(spark)
-    lines = (spark.readStream.format(tail.TailSource.name())
-             .option("paths", json.dumps(list(dict.fromkeys(paths)))).option("start", start).load())
+    return reader.format(tail.TailSource.name()).option("paths", json.dumps(paths)).options(
+        **{k: v for k, v in options.items() if v is not None}).load()
+
+
+def _followed(spark: SparkSession, paths: list[str]) -> list[str]:
+    found = {path: _qualified(spark, path) for path in dict.fromkeys(paths)}
+    for path, (_, there) in found.items():
+        if not there:
+            log.warning("nothing to follow yet: %s", path)
+    return [name for name, _ in found.values()]
+
+
+def follow(spark: SparkSession, paths: list[str], *, start: str = "latest",
+           pattern: str | None = None, min_severity: str | None = None,
+           max_bytes: int | None = None, last_line: bool = False) -> DataFrame:
+    """Lines appended to the given files, ``(source, position, value)``; the pattern ignores case.
+
+    A path that isn't there yet is reported in the log and followed from its beginning once it is. ``max_bytes``
+    bounds a micro-batch of a running query. ``last_line`` also takes a last line without newline, for finished files.
+    """
+    lines = _tail(spark, spark.readStream, _followed(spark, paths), start=start,
+                  maxBytesPerTrigger=max_bytes, lastLine=last_line)
     return lines.filter(line_condition(
         F.col("value"), pattern, ignore_case=True, min_severity=min_severity))
 
 
+def tail_then_follow(spark: SparkSession, paths: list[str], n: int = 10, *, pattern: str | None = None,
+                     min_severity: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The last ``n`` matching lines of each file as it is now, and the stream of those that come after them.
+
+    Both meet at the same place in each file, so no line is lost or comes twice.
+    """
+    named = _followed(spark, paths)
+    now = json.dumps(tail.TailReader({"paths": json.dumps(named)}).initialOffset())
+    there = _tail(spark, spark.read, named, until=now).withColumnRenamed("position", "line_number")
+    last = tail_n(there, n, pattern, min_severity).withColumnRenamed("line_number", "position")
+    return last, follow(spark, paths, start=now, pattern=pattern, min_severity=min_severity)
+
+
 def watch(spark: SparkSession, directory: str, *, files: str = "*.log", start: str = "latest",
-          pattern: str | None = None, min_severity: str | None = None) -> DataFrame:
-    """Lines appended to the matching files of a folder, new files included, with ``filename``."""
+          pattern: str | None = None, min_severity: str | None = None,
+          max_bytes: int | None = None, last_line: bool = False) -> DataFrame:
+    """Lines appended to the matching files of a folder, new files included, with ``filename``.
+
+    A folder that does not exist is an error. The other options are those of ``follow``.
+    """
+    folder, there = _qualified(spark, directory)
+    if not there:
+        raise FileNotFoundError(directory)
     tail.register(spark)
-    lines = (spark.readStream.format(tail.TailSource.name()).option("directory", directory)
-             .option("pattern", files).option("start", start).load())
-    found = lines.filter(line_condition(
+    lines = (spark.readStream.format(tail.TailSource.name()).option("directory", folder)
+             .option("pattern", files).option("start", start).option("lastLine", last_line))
+    if max_bytes is not None:
+        lines = lines.option("maxBytesPerTrigger", max_bytes)
+    found = lines.load().filter(line_condition(
         F.col("value"), pattern, ignore_case=True, min_severity=min_severity))
     return found.withColumn("filename", base_name(F.col("source")))
 

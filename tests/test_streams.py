@@ -14,8 +14,8 @@ NOW = "2030-01-01 00:00:00"
 
 def read(reader, start):
     end = reader.latestOffset()
-    rows = [row for part in reader.partitions(start, end) for row in reader.read(part)]
-    return end, [value for _, value in rows]
+    batches = [b for part in reader.partitions(start, end) for b in reader.read(part)]
+    return end, [value for b in batches for value in b.column(2).to_pylist()]
 
 
 def reader(path, **options):
@@ -56,6 +56,96 @@ def test_latest_half_lines_new_files_and_truncation(tmp_path):
     assert read(reader(tmp_path), offset)[1] == []
 
 
+@pytest.mark.parametrize("after", [
+    "x\n", "longer than before, line one\nlonger than before, line two\n", "third line\nforth line\n"])
+@pytest.mark.parametrize("restart", [False, True])
+def test_replaced_file_is_read_from_its_beginning(tmp_path, after, restart):
+    log = tmp_path / "a.log"
+    log.write_text("first line\nother line\n")
+    source = reader(tmp_path, start="earliest")
+    offset, rows = read(source, source.initialOffset())
+    assert rows == ["first line", "other line"]
+    log.unlink()
+    log.write_text(after)
+    offset, rows = read(reader(tmp_path) if restart else source, offset)
+    assert rows == after.splitlines()
+
+
+@pytest.mark.parametrize("restart", [False, True])
+def test_missed_file_goes_on_where_it_was(tmp_path, restart):
+    log = tmp_path / "a.log"
+    log.write_text("one\n")
+    source = reader(tmp_path, start="earliest")
+    offset, _ = read(source, source.initialOffset())
+    if restart:
+        source = reader(tmp_path)
+    log.rename(tmp_path / "away")
+    offset, rows = read(source, offset)
+    assert rows == []
+    (tmp_path / "away").rename(log)
+    offset, rows = read(source, offset)
+    assert rows == []
+    with log.open("a") as f:
+        f.write("two\n")
+    assert read(source, offset)[1] == ["two"]
+
+
+def test_file_replaced_after_the_plan_gives_only_new_lines(tmp_path):
+    log = tmp_path / "a.log"
+    log.write_text("one\ntwo\n")
+    source = reader(tmp_path, start="earliest")
+    start, end = source.initialOffset(), source.latestOffset()
+    parts = source.partitions(start, end)
+    log.write_text("new one\nnew two\n")
+    assert [b for part in parts for b in source.read(part)] == []
+    assert read(source, end)[1] == ["new one", "new two"]
+
+
+def test_bounded_batches(tmp_path):
+    texts = {"a.log": [f"a{i}" for i in range(50)] + ["long" * 40], "b.log": [f"b{i}" for i in range(9)]}
+    for name, lines in texts.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    source = reader(tmp_path, start="earliest", maxBytesPerTrigger="40")
+    offset, sizes, rows = source.initialOffset(), [], []
+    while True:
+        end, more = read(source, offset)
+        if end == offset:
+            break
+        offset = end
+        sizes.append(sum(len(x) + 1 for x in more if len(x) < 40))
+        rows += more
+    assert sorted(rows) == sorted(texts["a.log"] + texts["b.log"]) and max(sizes) <= 40 and len(sizes) > 4
+
+
+def test_last_line_and_bytes_that_are_no_text(tmp_path):
+    (tmp_path / "a.log").write_bytes(b"one\n\xff\xfe x\nend")
+    source = reader(tmp_path, start="earliest", lastLine="true", chunkBytes="2")
+    parts = source.partitions({}, source.latestOffset())
+    batches = [b for part in parts for b in source.read(part)]
+    values = [v.as_buffer().to_pybytes() for b in batches for v in b.column(2).cast("binary")]
+    assert values == [b"one", b"\xff\xfe x", b"end"]
+    assert [x for b in batches for x in b.column(1).to_pylist()] == [0, 4, 9]
+
+
+def test_tail_then_follow(spark, tmp_path):
+    log = tmp_path / "a.log"
+    log.write_text("".join(f"ERROR {i}\n" for i in range(9)) + "INFO\nERROR ha")
+    last, rest = streams.tail_then_follow(spark, [str(log)], 2, pattern="error")
+    with log.open("a") as f:
+        f.write("lf\nINFO\nERROR new\n")
+    run_once(rest, tmp_path / "out", tmp_path / "cp")
+    assert sorted(r.value for r in last.collect()) == ["ERROR 7", "ERROR 8"]
+    found = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {(r.source, r.value) for r in found} == {(str(log), "ERROR half"), (str(log), "ERROR new")}
+
+
+def test_paths_that_are_not_there(spark, tmp_path, caplog):
+    with pytest.raises(FileNotFoundError):
+        streams.watch(spark, str(tmp_path / "none"))
+    streams.follow(spark, [str(tmp_path / "none.log")])
+    assert "none.log" in caplog.text
+
+
 def test_options(tmp_path):
     with pytest.raises(ValueError):
         TailReader({})
