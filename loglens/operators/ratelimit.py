@@ -5,9 +5,8 @@ and gives one token per line; a line that finds no token is dropped. Everything
 the common divisor removed, a line costs ``cost`` units, a millisecond brings ``gain`` units and
 the bucket holds ``cap = burst * cost``. The code tracks the *debt* ``v = cap - tokens``.
 
-Lines are counted per (key, millisecond). Up to a million counts are walked key by key. More are
-cut into ten-minute chunks, so that no task replays a whole key, although a bucket is sequential
-by nature. Per chunk two facts are needed on entry:
+Lines are counted per (key, millisecond). The counts are cut into ten-minute chunks, so that no
+task replays a whole key, although a bucket is sequential by nature. Per chunk two facts are needed on entry:
 
 * ``u``, the debt of a bucket that may also give fractions of a line. Its step is
   ``u -> min(cap, max(u - elapsed, 0) + lines * cost)``, and a chain of such steps is again
@@ -22,6 +21,7 @@ With both, every chunk is replayed on its own.
 
 from __future__ import annotations
 
+import time as clock
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,14 +29,15 @@ from itertools import islice
 from math import gcd
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loglens.operators.ordering import top_per_group
-from loglens.sources.shared import materialize
+from loglens.sources.shared import delete, materialize, tables_in
 
 CHUNK_MS = 600_000
-# Up to this many (key, millisecond) counts each key is walked in one go; more are cut into chunks.
-ONE_PASS_ROWS = 1_000_000
+# On streams, how far a line's stamp may be ahead of the batch's time, and how late a line may
+# come before a bucket that has filled up is forgotten.
+TOLERANCE_MS = 60_000
 # Chunk number below that of any time.
 BEFORE_ALL = -(2 ** 62)
 
@@ -201,8 +202,10 @@ def _phase_changes(limit: RateLimit):
     gain, cost, cap = limit.gain, limit.cost, limit.cap
 
     def pieces(current, moments):
-        for i, piece in enumerate(_phase_pieces(moments, cost)):
-            yield (*current, i, *piece)
+        # A saturated bucket leaves a piece for each moment that keeps its one phase: nothing to chain.
+        for i, (begin, end, after) in enumerate(_phase_pieces(moments, cost)):
+            if end - begin > 1 or after != begin:
+                yield (*current, i, begin, end, after)
 
     def step(rows):
         current, at, moments = None, None, []
@@ -276,8 +279,7 @@ def _accepted(limit: RateLimit):
     return step
 
 
-def accepted_counts(pairs: DataFrame, limit: RateLimit, carried: DataFrame | None = None,
-                    one_pass_rows: int = ONE_PASS_ROWS) -> DataFrame:
+def accepted_counts(pairs: DataFrame, limit: RateLimit, carried: DataFrame | None = None) -> DataFrame:
     """``(_key, _ms, accepted, debt)`` for the lines counted in ``pairs (_key, _ms, _n)``.
 
     ``carried (_key, _last, _debt)`` holds buckets as an earlier batch left them; no line
@@ -286,31 +288,14 @@ def accepted_counts(pairs: DataFrame, limit: RateLimit, carried: DataFrame | Non
     # The counts are small beside the lines and are used up to three times: keep them.
     counted = materialize(pairs, "arrivals")
     if carried is not None:
-        clock = F.pmod(F.col("_last") * limit.gain + F.col("_debt"), F.lit(limit.cost))
-        carried = carried.select("_key", "_last", "_debt", clock.cast("bigint").alias("_clock"))
-    if counted.count() <= one_pass_rows:
-        ready = _whole_keys(counted, carried)
-    else:
-        ready = _chunks(counted, limit, carried)
+        phase = F.pmod(F.col("_last") * limit.gain + F.col("_debt"), F.lit(limit.cost))
+        carried = carried.select("_key", "_last", "_debt", phase.cast("bigint").alias("_clock"))
     return _over_sorted(
-        ready, ["_key", "_chunk"], ["_ms"],
+        _chunks(counted, limit, carried), ["_key", "_chunk"], ["_ms"],
         ["_key", "_chunk", "_ms", "_n", "_start_ms", "_start_u", "_phase"], _accepted(limit),
         "_key string, _ms bigint, accepted bigint, debt bigint")
 
 
-def _whole_keys(counted: DataFrame, carried: DataFrame | None) -> DataFrame:
-    """Counts with every key as one chunk that starts from its carried bucket or a full one."""
-    if carried is None:
-        nothing = F.lit(None).cast("bigint")
-        started = counted.withColumns({"_last": nothing, "_debt": nothing, "_clock": nothing})
-    else:
-        started = counted.join(carried, "_key", "left")
-    return started.select(
-        "_key", F.lit(0).alias("_chunk"), "_ms", "_n", F.col("_last").alias("_start_ms"),
-        F.coalesce("_debt", F.lit(0)).alias("_start_u"),
-        F.coalesce("_clock", F.lit(0)).alias("_phase"))
-
-
 def _chunks(counted: DataFrame, limit: RateLimit, carried: DataFrame | None) -> DataFrame:
     """Counts cut by time, each chunk with the state its bucket has on entry."""
     per_chunk, per_key = ["_key", "_chunk"], ["_key"]
@@ -347,7 +332,7 @@ def _chunks(counted: DataFrame, limit: RateLimit, carried: DataFrame | None) ->
     return begun.join(phases, per_chunk)
 
 
-def _keyed(lines: DataFrame, key: tuple[str, ...] | None, time: str) -> DataFrame:
+def _keyed(lines: DataFrame, key: tuple[str, ...] | None, time: Column) -> DataFrame:
     """Lines with the bucket they belong to as one text, and their millisecond."""
     if not key:
         text = F.lit("all")
@@ -355,7 +340,7 @@ def _keyed(lines: DataFrame, key: tuple[str, ...] | None, time: str) -> DataFram
         text = F.coalesce(F.concat(F.lit("="), F.col(key[0]).cast("string")), F.lit("null"))
     else:
         text = F.to_json(F.struct(*key), {"ignoreNullFields": "false"})
-    return lines.withColumns({"_key": text, "_ms": F.col(time)})
+    return lines.withColumns({"_key": text, "_ms": time})
 
 
 def _arrivals(keyed: DataFrame) -> DataFrame:
@@ -373,10 +358,9 @@ def _take(keyed: DataFrame, granted: DataFrame, limit: RateLimit, order: list[st
 
 
 def grant(lines: DataFrame, limit: RateLimit, *, key: tuple[str, ...] | None = ("source",),
-          time: str = "event_ms", one_pass_rows: int = ONE_PASS_ROWS) -> DataFrame:
+          time: str = "event_ms") -> DataFrame:
     """``(_key, _ms, accepted)``: how many lines of each bucket and millisecond pass."""
-    return accepted_counts(
-        _arrivals(_keyed(lines, key, time)), limit, one_pass_rows=one_pass_rows)
+    return accepted_counts(_arrivals(_keyed(lines, key, F.col(time))), limit)
 
 
 def rate_limit(lines: DataFrame, limit: RateLimit, *, key: tuple[str, ...] | None = ("source",),
@@ -391,40 +375,53 @@ def rate_limit(lines: DataFrame, limit: RateLimit, *, key: tuple[str, ...] | Non
         return lines
     if granted is None:
         granted = grant(lines, limit, key=key, time=time)
-    kept = _take(_keyed(lines, key, time), granted, limit, ["source", "line_number"])
+    kept = _take(_keyed(lines, key, F.col(time)), granted, limit, ["source", "line_number"])
     return kept.select(*lines.columns)
 
 
 def rate_limit_batch(batch: DataFrame, limit: RateLimit, state_dir: str, batch_id: int, *,
-                     key: tuple[str, ...] | None = ("source",), time: str = "event_ms",
-                     one_pass_rows: int = ONE_PASS_ROWS) -> DataFrame:
+                     key: tuple[str, ...] | None = ("source",), time: str | None = None,
+                     now_ms: int | None = None, tolerance_ms: int = TOLERANCE_MS) -> DataFrame:
     """The same for one micro-batch of a stream, called from ``foreachBatch``.
 
+    Without ``time`` lines arrive at ``now_ms``, by default the moment of the call. With ``time``,
+    a column of epoch milliseconds, stamps count as at most ``tolerance_ms`` ahead of it, so that a wrong one
+    holds a bucket up for no longer; a line older than its bucket counts as arriving at the bucket's time.
+
     Buckets pass from batch to batch as a small table per batch under ``state_dir`` (shared
-    storage). A repeated batch starts from the table of the batch before it and replaces its own,
-    so it keeps the same lines. A line older than its bucket counts as arriving at the
-    bucket's time.
+    storage). A repeated batch starts from the table of the batch before it and replaces its own. Buckets that were
+    full ``tolerance_ms`` before the newest line are dropped, as they equal no bucket. The result reads tables under
+    ``state_dir`` that the next call deletes.
     """
     if limit.max_lines == 0:
         return batch
     spark = batch.sparkSession
+    now_ms = int(clock.time() * 1000) if now_ms is None else now_ms
+    own = F.lit(now_ms).cast("bigint") if time is None else F.least(
+        F.col(time), F.lit(now_ms + tolerance_ms).cast("bigint"))
     earlier = [i for i in _state_batches(spark, state_dir) if i < batch_id]
-    keyed = _keyed(batch, key, time).withColumn("_own_ms", F.col("_ms"))
+    keyed = _keyed(batch, key, own).withColumn("_own_ms", F.col("_ms"))
     carried = None
     if earlier:
         carried = spark.read.schema("_key string, _last bigint, _debt bigint").parquet(
             f"{state_dir}/batch={max(earlier)}")
         keyed = keyed.join(carried, "_key", "left").withColumn(
             "_ms", F.greatest("_ms", "_last")).drop("_last", "_debt")
-    granted = materialize(
-        accepted_counts(_arrivals(keyed), limit, carried, one_pass_rows), "granted")
+    delete(spark, f"{state_dir}/work")
+    with tables_in(f"{state_dir}/work"):
+        granted = materialize(accepted_counts(_arrivals(keyed), limit, carried), "granted")
     after = granted.groupBy("_key").agg(
         F.max("_ms").alias("_last"), F.max_by("debt", "_ms").alias("_debt"))
     if carried is not None:
         after = carried.join(after, "_key", "left_anti").unionByName(after)
+    newest = after.agg(F.max("_last")).first()[0]
+    if newest is not None:
+        full = F.col("_last") + F.ceil(F.col("_debt") / limit.gain)
+        after = after.filter(full > newest - tolerance_ms)
     after.write.mode("overwrite").parquet(f"{state_dir}/batch={batch_id}")
-    _drop_states(spark, state_dir, sorted(earlier)[:-1])
-    order = ["_own_ms", *[c for c in ("source", "line_number", "value") if c in batch.columns]]
+    for old in sorted(earlier)[:-1]:
+        delete(spark, f"{state_dir}/batch={old}")
+    order = ["_own_ms", *[c for c in ("source", "line_number", "position", "value") if c in batch.columns]]
     return _take(keyed, granted, limit, order).select(*batch.columns)
 
 
@@ -434,10 +431,3 @@ def _state_batches(spark: SparkSession, state_dir: str) -> list[int]:
     system = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
     return [int(s.getPath().getParent().getName().split("=")[1])
             for s in system.globStatus(pattern) or []]
-
-
-def _drop_states(spark: SparkSession, state_dir: str, batches: list[int]) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    for i in batches:
-        old = path(f"{state_dir}/batch={i}")
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)

@@ -24,7 +24,7 @@ class CollectorConfig:
     year: int | None = None
     rate: RateLimit | None = None
     rate_key: tuple[str, ...] | None = None
-    rate_time: str = "event_ms"
+    rate_time: str | None = "event_ms"
     filter: FilterSpec = field(default_factory=FilterSpec)
     tags: dict[str, str] = field(default_factory=dict)
     hostname: str | None = None
@@ -58,7 +58,10 @@ def collect(lines: DataFrame, config: CollectorConfig, granted: DataFrame | None
 
 
 def collect_batch(batch: DataFrame, config: CollectorConfig, state_dir: str, batch_id: int) -> DataFrame:
-    """``collect`` for one micro-batch, with the limit's buckets carried on in ``state_dir``."""
+    """``collect`` for one micro-batch, with the limit's buckets carried on in ``state_dir``.
+
+    ``rate_time=None`` limits by the time of arrival instead of the lines' stamps.
+    """
     if config.rate is not None:
         batch = rate_limit_batch(batch, config.rate, state_dir, batch_id,
                                  key=config.rate_key, time=config.rate_time)

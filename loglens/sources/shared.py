@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,18 +30,36 @@ def shared_dir(spark: SparkSession) -> str:
 # Paths handed out by this process.
 _paths: list[str] = []
 
+# A folder that has an owner of its own, for the tables made in a ``tables_in`` block.
+_owned: ContextVar[str | None] = ContextVar("owned", default=None)
+
 
 def new_path(spark: SparkSession, name: str) -> str:
+    if _owned.get():
+        return f"{_owned.get()}/{name}-{uuid.uuid4().hex}"
     _paths.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
     return _paths[-1]
 
 
+@contextmanager
+def tables_in(folder: str) -> Iterator[None]:
+    """Intermediate tables of the block go to ``folder``, which its owner deletes."""
+    before = _owned.set(folder)
+    try:
+        yield
+    finally:
+        _owned.reset(before)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    old = spark._jvm.org.apache.hadoop.fs.Path(path)
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Delete the intermediate tables of this process; results built on them end with them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
     while _paths:
-        old = path(_paths.pop())
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        delete(spark, _paths.pop())
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

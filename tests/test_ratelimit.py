@@ -95,20 +95,19 @@ def table(spark, arrivals):
 
 
 @pytest.mark.parametrize("limit", [RateLimit(3, 10, 4), RateLimit(5, 5, 2), RateLimit(1, 7, 1)])
-@pytest.mark.parametrize("one_pass", [0, 10_000])
-def test_rate_limit(spark, monkeypatch, limit, one_pass):
+def test_rate_limit(spark, monkeypatch, limit):
     monkeypatch.setattr(rl, "CHUNK_MS", 25)
     # One key has most of the lines.
     rnd = random.Random(3)
     arrivals = random_arrivals(rnd, "a", 600) + random_arrivals(rnd, "bc", 40)
     lines = table(spark, arrivals)
-    granted = rl.grant(lines, limit, one_pass_rows=one_pass)
+    granted = rl.grant(lines, limit)
     got = [r.value for r in rl.rate_limit(lines, limit, granted=granted).collect()]
     assert sorted(got) == sorted(walk(arrivals, limit))
     assert 0 < len(got) < len(arrivals)
     one = sorted(arrivals, key=lambda a: (a[1], a[0], int(a[2][1:])))
     wanted = walk([("all", ms, name) for _, ms, name in one], limit)
-    granted = rl.grant(lines, limit, key=None, one_pass_rows=one_pass)
+    granted = rl.grant(lines, limit, key=None)
     got = [r.value for r in rl.rate_limit(lines, limit, key=None, granted=granted).collect()]
     assert sorted(got) == sorted(wanted)
 
@@ -130,18 +129,16 @@ def test_adaptive_plans_keep_groups_whole(spark, conf, monkeypatch, joins):
     limit = RateLimit(1, 10, 3)
     arrivals = random_arrivals(random.Random(4), "a", 20_000) + random_arrivals(random.Random(5), "bc", 50)
     lines = table(spark, arrivals).repartition(8)
-    for one_pass in (0, 1_000_000):
-        granted = rl.grant(lines, limit, one_pass_rows=one_pass)
-        got = [r.value for r in rl.rate_limit(lines, limit, granted=granted).collect()]
-        assert sorted(got) == sorted(walk(arrivals, limit))
+    granted = rl.grant(lines, limit)
+    got = [r.value for r in rl.rate_limit(lines, limit, granted=granted).collect()]
+    assert sorted(got) == sorted(walk(arrivals, limit))
 
 
 @pytest.mark.parametrize("threshold", ["-1", "100m"])
-@pytest.mark.parametrize("one_pass", [0, 1_000_000])
-def test_every_walk_has_a_shuffle_of_its_own(spark, conf, threshold, one_pass):
+def test_every_walk_has_a_shuffle_of_its_own(spark, conf, threshold):
     conf(spark__sql__autoBroadcastJoinThreshold=threshold, spark__sql__adaptive__enabled="false")
     lines = table(spark, random_arrivals(random.Random(4), "ab", 50))
-    plan = rl.grant(lines, RateLimit(1, 10, 3), one_pass_rows=one_pass)
+    plan = rl.grant(lines, RateLimit(1, 10, 3))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("MapInArrow") == text.count("Exchange hashpartitioning(_slot") > 0
 
@@ -171,8 +168,7 @@ def test_null_and_several_key_columns(spark):
 
 
 @pytest.mark.parametrize("limit", [RateLimit(3, 10, 4), RateLimit(5, 5, 2), RateLimit(1, 7, 1)])
-@pytest.mark.parametrize("one_pass", [0, 10_000])
-def test_batches_carry_buckets(spark, monkeypatch, tmp_path, limit, one_pass):
+def test_batches_carry_buckets(spark, monkeypatch, tmp_path, limit):
     monkeypatch.setattr(rl, "CHUNK_MS", 25)
     rnd = random.Random(8)
     arrivals = sorted(random_arrivals(rnd, "ab", 150), key=lambda a: a[1])
@@ -184,7 +180,7 @@ def test_batches_carry_buckets(spark, monkeypatch, tmp_path, limit, one_pass):
         batch = spark.createDataFrame(rows[begin:end], table(spark, arrivals[:1]).schema)
         for _ in range(2 if i == 2 else 1):  # a batch that is run twice gives the same lines
             kept = rl.rate_limit_batch(
-                batch, limit, str(tmp_path), i, one_pass_rows=one_pass).collect()
+                batch, limit, str(tmp_path), i, time="event_ms").collect()
         got += [r.value for r in kept]
     ordered = []
     for begin, end in zip(cuts, cuts[1:]):
@@ -193,3 +189,34 @@ def test_batches_carry_buckets(spark, monkeypatch, tmp_path, limit, one_pass):
         ordered += sorted(arrivals[begin:end], key=lambda a: (max(a[1], clock.get(a[0], 0)), a[1]))
     assert sorted(got) == sorted(walk(ordered, limit))
     assert 0 < len(got) < len(arrivals)
+    assert {p.name for p in tmp_path.iterdir()} == {"batch=2", "batch=3", "work"}
+    assert len(list((tmp_path / "work").iterdir())) <= 3  # those of the last batch
+
+
+def test_saturated_bucket_leaves_few_pieces():
+    limit = RateLimit(1, 3_600_000, 1)
+    rows = [("a", 0, ms, 1, None, 0) for ms in range(20_000)]
+    assert len(list(rl._phase_changes(limit)(rows))) < 10
+
+
+def passed(spark, folder, i, stamps, limit, **options):
+    rows = [("a", n, f"b{i} {n}", ms) for n, ms in enumerate(stamps)]
+    batch = spark.createDataFrame(rows, "source string, position bigint, value string, event_ms bigint")
+    return [r.position for r in rl.rate_limit_batch(batch, limit, str(folder), i, **options).collect()]
+
+
+def test_stamp_far_ahead_holds_a_bucket_up_only_for_the_tolerance(spark, tmp_path):
+    limit, t = RateLimit(10, 1000, 5), 1_700_000_000_000
+    first = [t, t + 1, t + 10 ** 12]
+    assert len(passed(spark, tmp_path, 0, first, limit, time="event_ms", now_ms=t)) == 3
+    later = [t + 120_000 + 1000 * i for i in range(50)]
+    assert len(passed(spark, tmp_path, 1, later, limit, time="event_ms", now_ms=later[-1])) == 50
+
+
+def test_lines_arrive_with_their_batch_and_full_buckets_go(spark, tmp_path):
+    limit, t = RateLimit(10, 1000, 5), 1_700_000_000_000
+    assert sorted(passed(spark, tmp_path, 0, [7] * 20, limit, now_ms=t)) == list(range(5))
+    assert len(passed(spark, tmp_path, 1, [7] * 20, limit, now_ms=t + 200)) == 2
+    other = spark.createDataFrame([("b", 1, "x")], "source string, position bigint, value string")
+    assert rl.rate_limit_batch(other, limit, str(tmp_path), 2, now_ms=t + 100_000).count() == 1
+    assert [r._key for r in spark.read.parquet(str(tmp_path / "batch=2")).collect()] == ["=b"]
