@@ -86,12 +86,13 @@ def test_empty_input(spark, lines):
 
 def test_whole_configuration(lines):
     config = CollectorConfig(
-        now=NOW, filter=FilterSpec(include=(Pattern("ERROR|WARNING"),), exclude=("IGNORE",)),
+        now=NOW, filter=FilterSpec(include=(Pattern("pump|valve"),), exclude=("planned",)),
         tags={"env": "t"}, hostname="h", output_format="syslog")
-    rows = collector.collect(lines("ERROR a", "ERROR IGNORE b", "INFO c"), config).collect()
-    assert [(r.output, r.tags) for r in rows] == [(f"<131>1 {NOW} h - - - - ERROR a", {"env": "t"})]
-    counted = collector.counters(lines("ERROR a", "ERROR IGNORE b", "INFO c"), config).first()
-    assert list(counted) == [3, 27, 0, 1, len(rows[0].output) + 1]
+    raw = lines("ERROR pump a", "ERROR pump planned b", "INFO c")
+    rows = collector.collect(raw, config).collect()
+    assert [(r.output, r.tags) for r in rows] == [(f"<131>1 {NOW} h - - - - ERROR pump a", {"env": "t"})]
+    counted = collector.counters(raw, config).first()
+    assert list(counted) == [3, 38, 0, 1, len(rows[0].output) + 1]
 
 
 def test_gzip_appends(spark, entry, tmp_path):

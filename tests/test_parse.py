@@ -8,37 +8,42 @@ NOW = "2030-01-01 00:00:00"
 
 # line -> (timestamp, severity, hostname, process, pid, message)
 CASES = {
-    "2025-12-04 10:00:00 [INFO] Test message 1": ("2025-12-04 10:00:00", "INFO", "", "", "", "Test message 1"),
-    "2025-12-04 10:00:01 [ERROR] Error message": ("2025-12-04 10:00:01", "ERROR", "", "", "", "Error message"),
-    "2025-12-04 10:00:02 [WARNING] Warning message": ("2025-12-04 10:00:02", "WARNING", "", "", "", "Warning message"),
-    "2025-12-04 10:00:03 [DEBUG] Debug message": ("2025-12-04 10:00:03", "DEBUG", "", "", "", "Debug message"),
-    "2025-12-04 10:00:04 [CRITICAL] Critical error": ("2025-12-04 10:00:04", "CRITICAL", "", "", "", "Critical error"),
-    "Dec  4 10:30:45 hostname process[1234]: Test message": (
-        "Dec  4 10:30:45", "INFO", "hostname", "process", "1234", "Test message"),
-    "Dec 14 10:30:45 h kernel: a: b": ("Dec 14 10:30:45", "INFO", "h", "kernel", "", "a: b"),
-    "Dec 14 10:30:45 h a:b:c d": ("Dec 14 10:30:45", "INFO", "h", "a", "", "b:c d"),
-    "Dec 14 10:30:45 h p[x]: y": ("Dec 14 10:30:45", "INFO", "h", "p[x]", "", "y"),
+    "2031-07-09 21:14:07 [INFO] backup of volume 7 began": (
+        "2031-07-09 21:14:07", "INFO", "", "", "", "backup of volume 7 began"),
+    "2031-07-09 21:14:09 [ERROR] volume 7 refused block 88": (
+        "2031-07-09 21:14:09", "ERROR", "", "", "", "volume 7 refused block 88"),
+    "2031-07-09 21:15:30 [WARNING] 3 % of volume 7 left": (
+        "2031-07-09 21:15:30", "WARNING", "", "", "", "3 % of volume 7 left"),
+    "2031-07-09 21:15:31 [DEBUG] cache holds 41 blocks": (
+        "2031-07-09 21:15:31", "DEBUG", "", "", "", "cache holds 41 blocks"),
+    "2031-07-09 21:16:00 [CRITICAL] volume 7 gone": (
+        "2031-07-09 21:16:00", "CRITICAL", "", "", "", "volume 7 gone"),
+    "Jul  9 21:14:07 depot3 backupd[881]: volume 7 mounted": (
+        "Jul  9 21:14:07", "INFO", "depot3", "backupd", "881", "volume 7 mounted"),
+    "Aug 21 06:07:08 h kernel: a: b": ("Aug 21 06:07:08", "INFO", "h", "kernel", "", "a: b"),
+    "Aug 21 06:07:08 h a:b:c d": ("Aug 21 06:07:08", "INFO", "h", "a", "", "b:c d"),
+    "Aug 21 06:07:08 h p[x]: y": ("Aug 21 06:07:08", "INFO", "h", "p[x]", "", "y"),
     # The content decides over the level token.
-    "2025-12-04 10:00:00 [INFO] debug mode": ("2025-12-04 10:00:00", "DEBUG", "", "", "", "debug mode"),
-    "2025-12-04 10:00:00 CRIT x": ("2025-12-04 10:00:00", "CRITICAL", "", "", "", "x"),
-    "2025-12-04 10:00:00 [Crit] x": ("2025-12-04 10:00:00", "INFO", "", "", "", "x"),
+    "2031-07-09 21:14:07 [INFO] left debug shell": ("2031-07-09 21:14:07", "DEBUG", "", "", "", "left debug shell"),
+    "2031-07-09 21:14:07 CRIT x": ("2031-07-09 21:14:07", "CRITICAL", "", "", "", "x"),
+    "2031-07-09 21:14:07 [Crit] x": ("2031-07-09 21:14:07", "INFO", "", "", "", "x"),
     "file transferred": (NOW, "ERROR", "", "", "", "file transferred"),
     # A first word that is no level is used up all the same.
-    "2025-12-04 10:00:00 Hello world": ("2025-12-04 10:00:00", "INFO", "", "", "", "world"),
-    "2025-12-04 10:00:00 - text": (NOW, "INFO", "", "", "", "2025-12-04 10:00:00 - text"),
-    "2025-12-04T10:00:00 INFO x": (NOW, "INFO", "", "", "", "2025-12-04T10:00:00 INFO x"),
-    "2025-12-04 10:00:00.5 INFO x": (NOW, "INFO", "", "", "", "2025-12-04 10:00:00.5 INFO x"),
-    "2025-12-04 10:00:00 [INFO] x\r": (NOW, "INFO", "", "", "", "2025-12-04 10:00:00 [INFO] x\r"),
+    "2031-07-09 21:14:07 salut monde": ("2031-07-09 21:14:07", "INFO", "", "", "", "monde"),
+    "2031-07-09 21:14:07 - text": (NOW, "INFO", "", "", "", "2031-07-09 21:14:07 - text"),
+    "2031-07-09T21:14:07 INFO x": (NOW, "INFO", "", "", "", "2031-07-09T21:14:07 INFO x"),
+    "2031-07-09 21:14:07.5 INFO x": (NOW, "INFO", "", "", "", "2031-07-09 21:14:07.5 INFO x"),
+    "2031-07-09 21:14:07 [INFO] x\r": (NOW, "INFO", "", "", "", "2031-07-09 21:14:07 [INFO] x\r"),
     "": (NOW, "INFO", "", "", "", ""),
-    "ERROR: something failed": (NOW, "ERROR", "", "", "", "ERROR: something failed"),
-    "WARNING: low": (NOW, "WARNING", "", "", "", "WARNING: low"),
-    "a CRITICAL thing": (NOW, "CRITICAL", "", "", "", "a CRITICAL thing"),
-    "DEBUG on": (NOW, "DEBUG", "", "", "", "DEBUG on"),
-    "an emergency": (NOW, "CRITICAL", "", "", "", "an emergency"),
+    "block 5 lost, ERROR 12": (NOW, "ERROR", "", "", "", "block 5 lost, ERROR 12"),
+    "disk nearly full: WARNING": (NOW, "WARNING", "", "", "", "disk nearly full: WARNING"),
+    "pump is CRITICAL now": (NOW, "CRITICAL", "", "", "", "pump is CRITICAL now"),
+    "set DEBUG flag": (NOW, "DEBUG", "", "", "", "set DEBUG flag"),
+    "emergency stop pressed": (NOW, "CRITICAL", "", "", "", "emergency stop pressed"),
     # Letters that only look like a word's letters in other case mappings do not count.
     "crıtıcal crİtİcal": (NOW, "INFO", "", "", "", "crıtıcal crİtİcal"),
     "two\nlines": (NOW, "INFO", "", "", "", "two\nlines"),
-    "\n2025-12-04 10:00:00 INFO x": (NOW, "INFO", "", "", "", "\n2025-12-04 10:00:00 INFO x"),
+    "\n2031-07-09 21:14:07 INFO x": (NOW, "INFO", "", "", "", "\n2031-07-09 21:14:07 INFO x"),
 }
 
 
@@ -52,8 +57,8 @@ def test_lines(lines):
 
 
 def test_strip_cr(lines):
-    row = parse(lines("2025-12-04 10:00:00 [INFO] x\r"), now=NOW, strip_cr=True).first()
-    assert (row.timestamp, row.message) == ("2025-12-04 10:00:00", "x")
+    row = parse(lines("2031-07-09 21:14:07 [INFO] x\r"), now=NOW, strip_cr=True).first()
+    assert (row.timestamp, row.message) == ("2031-07-09 21:14:07", "x")
 
 
 def test_word_boundary(lines):
@@ -62,18 +67,18 @@ def test_word_boundary(lines):
 
 
 def test_long_line(lines):
-    text = "x" * 10_000 + "test" + "y" * 10_000
+    text = "lorem " * 7_000 + "end"
     assert parse(lines(text), now=NOW).first().message == text
 
 
 @pytest.mark.parametrize("stamp,year,expected", [
-    ("2025-12-04 10:00:00", None, "2025-12-04 10:00:00"),
-    ("2025-12-04   10:00:00", None, "2025-12-04 10:00:00"),
-    ("2025-13-04 10:00:00", None, None),
+    ("2031-07-09 21:14:07", None, "2031-07-09 21:14:07"),
+    ("2031-07-09   21:14:07", None, "2031-07-09 21:14:07"),
+    ("2031-13-09 21:14:07", None, None),
     ("Feb  9 01:02:03", 2024, "2024-02-09 01:02:03"),
     ("Dec 31 23:59:59", 2024, "2024-12-31 23:59:59"),
     ("Foo 31 23:59:59", 2024, None),
-    ("Feb 30 10:00:00", 2024, None),
+    ("Feb 30 21:14:07", 2024, None),
     ("Feb  9 01:02:03", None, None),
 ])
 def test_event_time(lines, stamp, year, expected):
