@@ -39,6 +39,10 @@ def csv_quote(text: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
 
 
+def csv_header(columns: tuple[str, ...] = CSV_COLUMNS) -> str:
+    return ",".join(columns)
+
+
 def to_csv(columns: tuple[str, ...] = CSV_COLUMNS) -> Column:
     """All fields quoted, quotes doubled; the line number stays bare."""
     return F.concat_ws(",", *[

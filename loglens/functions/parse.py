@@ -63,19 +63,24 @@ def event_time(timestamp: Column, year: int | None) -> Column:
     return F.try_to_timestamp(iso)
 
 
-def with_event_ms(lines: DataFrame, *, now: str, year: int | None = None) -> DataFrame:
+def _moment(now: str | None) -> Column:
+    """``now`` as text; without it the time of the query, on streams that of the micro-batch."""
+    return F.lit(now) if now else F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
+
+
+def with_event_ms(lines: DataFrame, *, now: str | None = None, year: int | None = None) -> DataFrame:
     """Raw lines with ``event_ms``, their own stamp as epoch milliseconds, else that of ``now``."""
     stamp = F.regexp_extract("value", rf"^({_ISO_STAMP}|{_NAMED_STAMP})", 1)
-    time = F.coalesce(event_time(stamp, year), F.lit(now).cast("timestamp"))
+    time = F.coalesce(event_time(stamp, year), _moment(now).cast("timestamp"))
     return lines.withColumn("event_ms", F.unix_millis(time))
 
 
-def parse(lines: DataFrame, *, now: str, year: int | None = None, strip_cr: bool = False,
+def parse(lines: DataFrame, *, now: str | None = None, year: int | None = None, strip_cr: bool = False,
           word_boundary: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Parse ``(source, line_number, value)`` rows into entries.
 
-    ``now`` stamps the lines that carry no stamp of their own and is passed in, so a retried
-    task gives the same rows. Columns named in ``keep`` travel along unchanged; ``line_number``
+    ``now`` stamps the lines that carry no stamp of their own. A fixed one gives the same rows whenever the query runs;
+    without it the query's time is used, on streams that of each micro-batch. Columns named in ``keep`` travel along unchanged; ``line_number``
     is 0 where the input has none (streams).
     """
     value = F.regexp_replace("value", r"\r\z", "") if strip_cr else F.col("value")
@@ -93,13 +98,13 @@ def parse(lines: DataFrame, *, now: str, year: int | None = None, strip_cr: bool
 
     stamped = cut.select(
         "source", "line_number", *extra,
-        F.coalesce(F.col("_f")[1], F.lit(now)).alias("timestamp"),
+        F.coalesce(F.col("_f")[1], _moment(now)).alias("timestamp"),
         sev.line_rank(F.col("_value"), field(5), word_boundary).alias("severity_rank"),
         field(2).alias("hostname"), field(3).alias("process"), field(4).alias("pid"),
         F.coalesce(F.col("_f")[6], F.col("_value")).alias("message"))
     return stamped.select(
         "timestamp",
-        F.lit(now).cast("timestamp").alias("ingest_time"),
+        _moment(now).cast("timestamp").alias("ingest_time"),
         event_time(F.col("timestamp"), year).alias("event_time"),
         sev.to_string(F.col("severity_rank")).alias("severity"), "severity_rank",
         "source", "hostname", "process", "pid", "message",

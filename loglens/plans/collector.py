@@ -18,9 +18,10 @@ from loglens.sources.shared import materialize
 
 @dataclass(frozen=True)
 class CollectorConfig:
-    """``now`` stamps lines without a stamp; ``rate_key=None`` means one bucket for all lines."""
+    """``now`` stamps lines without a stamp, ``None`` those of a stream with their batch's time; ``rate_key=None`` means
+    one bucket for all lines."""
 
-    now: str
+    now: str | None
     year: int | None = None
     rate: RateLimit | None = None
     rate_key: tuple[str, ...] | None = None

@@ -15,10 +15,20 @@ COMPRESSIONS = {
 
 def write_text(entries: DataFrame, path: str, *, output_format: str = "plain",
                compression: str = "none", mode: str = "append",
-               max_records_per_file: int = 0) -> None:
-    """Append formatted lines as text files, each of at most ``max_records_per_file`` lines."""
+               max_records_per_file: int = 0, header: str | None = None) -> None:
+    """Append formatted lines as text files, each of at most ``max_records_per_file`` lines.
+
+    ``header`` (as ``formats.csv_header()``) stands ahead of the lines in every file.
+    """
     if compression not in COMPRESSIONS:
         raise ValueError(f"unknown compression: {compression!r}")
+    if header is not None:
+        # One column that is named like the header; nothing in it is quoted or cut again.
+        (entries.select(formatted(output_format).alias(header)).write.mode(mode)
+            .options(header=True, sep="\u0001", quote="", escape="\u0002", escapeQuotes=False, emptyValue="",
+                     ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n",
+                     compression=COMPRESSIONS[compression], maxRecordsPerFile=max_records_per_file).csv(path))
+        return
     (entries.select(formatted(output_format).alias("value")).write.mode(mode)
         .option("lineSep", "\n").option("compression", COMPRESSIONS[compression])
         .option("maxRecordsPerFile", max_records_per_file).text(path))

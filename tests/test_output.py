@@ -141,3 +141,18 @@ def test_retention(spark, lines, tmp_path):
     kept, dropped = sinks.apply_retention(spark, path, 2)
     assert kept == ["2025-01-04", "2025-01-03"] and dropped == ["2025-01-02", "2025-01-01"]
     assert spark.read.parquet(path).count() == 2
+
+
+def test_csv_header_in_every_file(spark, entry, tmp_path):
+    from loglens.functions.formats import csv_header
+    texts = ['say "ERROR", then \\ stop ', " , ", 'tab\t"']
+    rows = entry(texts[0]).unionByName(entry(texts[1])).unionByName(entry(texts[2])).coalesce(1)
+    sinks.write_text(rows, str(tmp_path / "out"), output_format="csv", header=csv_header(), max_records_per_file=2)
+    sinks.write_text(rows, str(tmp_path / "bare"), output_format="csv")
+    files = [f.read_text().split("\n") for f in sorted((tmp_path / "out").glob("part-*"))]
+    assert len(files) == 2 and {f[0] for f in files} == {"timestamp,severity,source,hostname,process,message"}
+    bare = [f.read_text() for f in (tmp_path / "bare").glob("part-*")]
+    assert "".join("\n".join(f[1:]) for f in files) == "".join(bare)
+    back = spark.read.csv(str(tmp_path / "out"), header=True, escape='"', ignoreTrailingWhiteSpace=False,
+                          ignoreLeadingWhiteSpace=False)
+    assert sorted(r.message for r in back.collect()) == sorted(texts)

@@ -237,3 +237,16 @@ def test_stream_with_limit_is_refused(spark, tmp_path):
     with pytest.raises(ValueError):
         collector.collect(streams.landing(spark, str(tmp_path / "in")),
                           CollectorConfig(now=NOW, rate=RateLimit(1)))
+
+
+def test_lines_of_a_stream_are_stamped_with_their_batch(spark, tmp_path):
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    for i in range(2):
+        (folder / f"f{i}.log").write_text(f"plain {i}\n")
+        time.sleep(1.1 * i)
+        run_once(collector.collect(streams.landing(spark, str(folder)), CollectorConfig(now=None)), out, tmp_path / "cp")
+    rows = spark.read.parquet(str(out)).orderBy("message").collect()
+    assert [r.message for r in rows] == ["plain 0", "plain 1"]
+    assert NOW > rows[1].timestamp > rows[0].timestamp > "2024"
+    assert all(str(r.ingest_time) == r.timestamp for r in rows)
