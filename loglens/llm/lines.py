@@ -19,7 +19,6 @@ THRESHOLD = 1
 MIN_CHARS = 20
 PAIRED = 4
 PARTS = 8
-BROADCAST_ROWS = 500_000
 
 
 def banded_distance(a: Column, b: Column, k: int) -> Column:
@@ -98,6 +97,11 @@ def _each_line(docs: DataFrame, min_chars: int) -> DataFrame:
         F.length("line") >= min_chars)
 
 
+def _place() -> Column:
+    """What places are ordered by; the null id is the last."""
+    return F.struct(F.col("id").isNull().alias("none"), "id", "pos")
+
+
 def _named(lines: DataFrame) -> DataFrame:
     return lines.select("id", "pos", "line", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
 
@@ -113,11 +117,9 @@ def near_earlier(distinct: DataFrame, lines: DataFrame) -> DataFrame:
     live = materialize(
         keys.join(shared.select("key"), "key", "left_semi").select("h", "g").distinct()
         .join(distinct.select("h", "g", "first"), ["h", "g"]), "live-lines")
-    if live.count() <= BROADCAST_ROWS:
-        live = F.broadcast(live)
-    texts = lines.join(live, ["h", "g"]).where(
-        "first.id <=> id AND first.pos = pos").select("h", "g", "first", "line").dropDuplicates(["h", "g"])
-    texts = materialize(texts, "live-texts")
+    # the place is part of the key, so that a common line's occurrences are spread out
+    here = lines.select("h", "g", _place().alias("first"), "line")
+    texts = materialize(here.join(live, ["h", "g", "first"]).dropDuplicates(["h", "g", "first"]), "live-texts")
     own = texts.withColumns({"length": F.length("line"), "longer": F.lit(False)})
     members = own.unionByName(own.withColumns({"length": F.col("length") - 1, "longer": F.lit(True)}))
     members = members.withColumns({"lo": F.lit(0), "hi": F.col("length")})
@@ -186,10 +188,9 @@ def deduplicated(
     that share an id count as the same document, so the same line of each of them stays. All other columns stay as they are.
     """
     low = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    ordered = F.struct(F.col("id").isNull().alias("none"), "id", "pos")
     lines = _named(_each_line(low, min_chars))
     length = F.length("line")
-    keyed = lines.select("h", "g", ordered.alias("place"), length.alias("length"),
+    keyed = lines.select("h", "g", _place().alias("place"), length.alias("length"),
                          F.array(*_segments(F.col("line"), length)).alias("own"),
                          F.array(*_segments(F.col("line"), length - 1)).alias("longer"))
     distinct = materialize(keyed.groupBy("h", "g", "length", "own", "longer").agg(
@@ -201,9 +202,7 @@ def deduplicated(
     gone = lines.select("h", "g", "id", "pos").join(judged, ["h", "g"]).where(
         "near OR NOT (first.id <=> id AND first.pos = pos)").groupBy("id").agg(F.collect_set("pos").alias("gone"))
     gone = materialize(gone.select(F.col("id").alias("gone_id_"), F.col("gone").alias("gone_lines_")), "gone-lines")
-    total = gone.agg(F.coalesce(F.sum(F.size("gone_lines_") + 4), F.lit(0))).first()[0]
-    side = F.broadcast(gone) if total <= 4 * BROADCAST_ROWS else gone
-    joined = docs.join(side, F.col(id_col).cast("bigint").eqNullSafe(F.col("gone_id_")), "left")
+    joined = docs.join(gone, F.col(id_col).cast("bigint").eqNullSafe(F.col("gone_id_")), "left")
     all_lines = F.split(F.col(text_col), "\n")
     left = F.filter(F.transform(all_lines, lambda x, i: F.when(
         F.col("gone_lines_").isNull() | ~F.array_contains("gone_lines_", i), x)), lambda x: x.isNotNull())
