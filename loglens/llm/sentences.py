@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from loglens.llm.common import LOWER, NOT_WORD, WHITE, prefix_sums, span_hashes, text_chunks, words_of
 from loglens.sources.shared import materialize
 
-#: A run is the fewest sentences, from each one on, that are so many and have so many words.
-RUN, RUN_WORDS = 2, 16
+#: A run has so many sentences and words at least; one sentence of LONG words is a run by itself.
+RUN, RUN_WORDS, LONG = 2, 16, 50
 
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
@@ -36,22 +36,30 @@ def split_sentences(data: np.ndarray, offsets: np.ndarray):
     return rows[new], starts[new], span_hashes(words, new, ends), ends - new
 
 
-def runs(rows: np.ndarray, words: np.ndarray, sentences: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and end sentence of the run from each sentence that has one in its row."""
+def runs(rows: np.ndarray, words: np.ndarray, sentences: int, least: int, long: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and end sentence of the shortest run from each sentence, of that up to each sentence, and of each sentence of ``long`` words.
+
+    Those inside of it cover every run: where none from a sentence ends in it, the shortest one up to its end reaches back.
+    """
     total = np.concatenate([[0], np.cumsum(words)])
-    first = np.arange(len(rows))
-    end = np.maximum(np.searchsorted(total, total[:-1] + least), first + sentences)
+    every = np.arange(len(rows))
+    end = np.maximum(np.searchsorted(total, total[:-1] + least), every + sentences)
     own = (end <= len(rows)) & (end <= np.searchsorted(rows, rows, "right"))
-    return first[own], end[own]
+    first, end = every[own], end[own]
+    back = np.minimum(np.searchsorted(total, total[1:] - least, "right") - 1, every + 1 - sentences)
+    own = (back >= 0) & (back >= np.searchsorted(rows, rows))
+    alone = every[words >= long]
+    both = np.unique(np.stack([np.concatenate([first, back[own], alone]), np.concatenate([end, every[own] + 1, alone + 1])]), axis=1)
+    return both[0], both[1]
 
 
-def spans(docs: DataFrame, sentences: int, words: int) -> DataFrame:
+def spans(docs: DataFrame, sentences: int, words: int, long: int) -> DataFrame:
     """id, mark, pos, n (its sentences), span (its hash) of every run of docs (id, mark, text)."""
     def find(batches):
         for batch in batches:
             for row, data, offsets in text_chunks(batch.column(2)):
                 rows, _, hashes, sizes = split_sentences(data, offsets)
-                first, end = runs(rows, sizes, sentences, words)
+                first, end = runs(rows, sizes, sentences, words, long)
                 names = span_hashes(prefix_sums(hashes), first, end)
                 at = pa.array(rows[first] + row)
                 pos = first - np.searchsorted(rows, rows[first])
@@ -63,9 +71,9 @@ def spans(docs: DataFrame, sentences: int, words: int) -> DataFrame:
     return docs.mapInArrow(find, "id bigint, mark bigint, pos int, n int, span bigint")
 
 
-def repeated_sentences(docs: DataFrame, sentences: int, words: int) -> DataFrame:
+def repeated_sentences(docs: DataFrame, sentences: int, words: int, long: int) -> DataFrame:
     """id, mark, gone (numbers of sentences covered by a repeated run that isn't its first) of docs (id, mark, text)."""
-    every = materialize(spans(docs, sentences, words), "spans")
+    every = materialize(spans(docs, sentences, words, long), "spans")
     # a table of its own, so that the rows of a very common run are dealt by the join alone and can be split
     many = materialize(every.groupBy("span").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("span"), "repeated-spans")
     shared = materialize(every.join(many, "span", "left_semi"), "shared-spans")
@@ -80,18 +88,19 @@ def repeated_sentences(docs: DataFrame, sentences: int, words: int) -> DataFrame
 
 def deduplicated(
     docs: DataFrame, sentences: int = RUN, words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text",
+    long: int = LONG,
 ) -> DataFrame:
     """doc_id, n_sentences, n_removed, text (what is left) of every row.
 
-    A run is the fewest consecutive sentences, from each one on, that are ``sentences`` at least and have ``words`` words. Runs of
-    equal sentences are repeated; the first, by (id, position), stays, and each
+    A run is any number of consecutive sentences that are ``sentences`` at least and have ``words`` words, or one sentence of ``long``
+    words. Runs of equal sentences are repeated; the first, by (id, position), stays, and each
     sentence of another goes with the white space behind it. Texts too short for a run hold none. Null texts stay null, with 0 sentences;
     the null id is the last; rows with the same id and text count as one.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("plain"))
     rows = rows.select("id", F.xxhash64("plain").alias("mark"), F.col("plain").cast("binary").alias("text"))
     filled = rows.select("id", "mark", F.coalesce("text", F.lit("").cast("binary")).alias("text"))
-    gone = materialize(repeated_sentences(filled, sentences, words), "repeated-sentences")
+    gone = materialize(repeated_sentences(filled, sentences, words, long), "repeated-sentences")
     joined = rows.join(gone.withColumnsRenamed({"id": "i", "mark": "m"}),
                        F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left")
 

@@ -158,3 +158,24 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SMALL)
     assert 0 < rows.select("doc_id").distinct().count() < docs.count()
     assert rows.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+
+
+def test_every_run_of_sentences(spark):
+    rng = random.Random(8)
+    pool = [" ".join(rng.choices("abcdefgh", k=rng.choice([1, 3, 7, 9]))).capitalize() + "." for _ in range(25)]
+    pool += [" ".join(rng.choices("abcdefgh", k=n)).capitalize() + "." for n in (49, 50, 51)]
+    docs = [(i, " ".join(rng.choices(pool, k=rng.randint(0, 12)))) for i in range(80)] + [(100, None), (None, pool[0])]
+    tail = ["One two three four five six seven eight nine ten.", "One two three four five six seven.", "A b.", "C d."]
+    docs += [(200, " ".join([*tail, "Here it goes on in a way of its own."])), (201, " ".join([*tail, "There it ends in some other way."]))]
+    docs += [(300 + i, f"Own {i}. " + "word " * 59 + f"end. Mine {i}.") for i in range(2)]
+    runs, first = defaultdict(set), {}
+    for i, t in sorted(((i, t) for i, t in docs if t), key=lambda d: (d[0] is None, d[0])):
+        own = [s.lower().rstrip(".").split() for s in t.split(". ")]
+        for a in range(len(own)):
+            for e in range(a + 1, len(own) + 1):
+                if sum(map(len, own[a:e])) >= (16 if e - a >= 2 else 50):
+                    if first.setdefault(str(own[a:e]), (i, a)) != (i, a):
+                        runs[i].update(range(a, e))
+    got = {r.doc_id: r.n_removed for r in sentences.deduplicated(table(spark, docs)).collect()}
+    assert got == {i: len(runs.get(i, ())) for i, _ in docs}
+    assert got[201] == 4 and got[301] == 1
