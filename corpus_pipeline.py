@@ -28,10 +28,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates."""
-    judged = minhash.near_duplicates(docs)
-    gone = judged.where("NOT kept").select(F.col("doc_id").alias("gone_id_")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id_"), "left_anti")
+    """One row, the first by (id, hash of the text), of each group of near-duplicates; the null id is the last."""
+    each = docs.withColumn("mark_", F.xxhash64("text")).dropDuplicates(["doc_id", "mark_"])
+    # the rows' own numbers, in this order, so that rows that share an id or have none are judged one by one
+    order = each.orderBy(F.col("doc_id").isNull(), "doc_id", "mark_").drop("mark_")
+    rows = materialize(order.withColumn("row_", F.monotonically_increasing_id()), "numbered")
+    judged = minhash.near_duplicates(rows, id_col="row_")
+    gone = judged.where("NOT kept").select(F.col("doc_id").alias("gone_id_"))
+    return rows.join(gone, F.col("row_") == F.col("gone_id_"), "left_anti").drop("row_")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,18 +92,18 @@ def _segments(line: Column, length: Column) -> list[Column]:
 
 
 def _each_line(docs: DataFrame, min_chars: int) -> DataFrame:
-    """id, pos, line of the lines that are judged."""
-    return docs.select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(
+    """id, mark, pos, line of the lines that are judged."""
+    return docs.select("id", "mark", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(
         F.length("line") >= min_chars)
 
 
 def _place() -> Column:
     """What places are ordered by; the null id is the last."""
-    return F.struct(F.col("id").isNull().alias("none"), "id", "pos")
+    return F.struct(F.col("id").isNull().alias("none"), "id", "mark", "pos")
 
 
 def _named(lines: DataFrame) -> DataFrame:
-    return lines.select("id", "pos", "line", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
+    return lines.select("id", "mark", "pos", "line", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
 
 
 def near_earlier(distinct: DataFrame, lines: DataFrame) -> DataFrame:
@@ -183,11 +183,12 @@ def deduplicated(
 ) -> DataFrame:
     """``docs`` with struct column ``lines_``: n_lines, n_removed, n_left (lines with a word) and the text left.
 
-    Places are ordered by (id, line number). A line goes if an equal line or a line within one edit stands at an earlier
+    Places are ordered by (id, hash of the text, line number). A line goes if an equal line or a line within one edit stands at an earlier
     place; lines of fewer than ``min_chars`` characters stay and remove nothing. Null texts stay null and have no lines; the null id is the last; rows
-    that share an id count as the same document, so the same line of each of them stays. All other columns stay as they are.
+    with the same id and text count as one, so both keep their lines. All other columns stay as they are.
     """
-    low = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    mark = F.xxhash64(F.col(text_col))
+    low = docs.select(F.col(id_col).cast("bigint").alias("id"), mark.alias("mark"), F.col(text_col).alias("text"))
     lines = _named(_each_line(low, min_chars))
     length = F.length("line")
     keyed = lines.select("h", "g", _place().alias("place"), length.alias("length"),
@@ -199,10 +200,10 @@ def deduplicated(
     # a table of its own, so that a common line's occurrences are dealt by the join alone and can be split
     judged = materialize(distinct.join(near.withColumn("near", F.lit(True)), ["h", "g"], "left").where(
         "copies > 1 OR near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near")), "judged-lines")
-    gone = lines.select("h", "g", "id", "pos").join(judged, ["h", "g"]).where(
-        "near OR NOT (first.id <=> id AND first.pos = pos)").groupBy("id").agg(F.collect_set("pos").alias("gone"))
-    gone = materialize(gone.select(F.col("id").alias("gone_id_"), F.col("gone").alias("gone_lines_")), "gone-lines")
-    joined = docs.join(gone, F.col(id_col).cast("bigint").eqNullSafe(F.col("gone_id_")), "left")
+    gone = lines.select("h", "g", "id", "mark", "pos").join(judged, ["h", "g"]).where(
+        "near OR NOT (first.id <=> id AND first.mark = mark AND first.pos = pos)").groupBy("id", "mark").agg(F.collect_set("pos").alias("gone"))
+    gone = materialize(gone.select(F.col("id").alias("gone_id_"), F.col("mark").alias("gone_mark_"), F.col("gone").alias("gone_lines_")), "gone-lines")
+    joined = docs.join(gone, F.col(id_col).cast("bigint").eqNullSafe(F.col("gone_id_")) & (mark == F.col("gone_mark_")), "left")
     all_lines = F.split(F.col(text_col), "\n")
     left = F.filter(F.transform(all_lines, lambda x, i: F.when(
         F.col("gone_lines_").isNull() | ~F.array_contains("gone_lines_", i), x)), lambda x: x.isNotNull())
@@ -210,4 +211,4 @@ def deduplicated(
         F.coalesce(F.size(all_lines), F.lit(0)).alias("n_lines"),
         F.coalesce(F.size("gone_lines_"), F.lit(0)).alias("n_removed"),
         F.when(F.col("gone_lines_").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")).alias("text"))
-    ).drop("gone_id_", "gone_lines_")
+    ).drop("gone_id_", "gone_mark_", "gone_lines_")

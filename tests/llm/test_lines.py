@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from loglens.llm import lines
 
 SCHEMA = "doc_id bigint, text string, id string, pos int, line string, lines string"
@@ -86,6 +87,24 @@ def test_rows_that_share_an_id_keep_their_lines(spark):
     assert [r.lines_.text for r in lines.deduplicated(frame).collect()] == ["the same long line here"] * 2
 
 
+def test_rows_that_share_an_id_lose_only_their_own_lines(spark):
+    rows = [(1, "the first line of all\na second line, the same"), (None, "a line of the null id\na second line, the same"),
+            (None, "another line of its own\nclean text that stands once"), (2, "short"), (2, "some line of this row\na second line, the same"),
+            (2, "that line of this row\nunique text of the third")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.text): (r.lines_.n_removed, r.lines_.text) for r in lines.deduplicated(frame).collect()}
+    assert got == {(d, t): (1, t.split("\n")[0]) if d != 1 and "the same" in t else (0, t) for d, t in rows}
+
+
+def test_near_dedup_keeps_one_row_of_an_id_and_text(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    other, third = long.replace("w", "x"), long.replace("w", "y")
+    rows = [(1, long), (1, long), (5, long + " more"), (5, other), (None, long), (None, third), (None, third + " more")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = corpus_pipeline.near_dedup(spark, frame, "").collect()
+    assert sorted((r.doc_id or 0, r.text[0]) for r in got) == [(0, "y"), (1, "w"), (5, "x")]
+
+
 def test_banded_distance(spark):
     rng = random.Random(1)
     rows = []
