@@ -18,7 +18,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand in an earlier place; those with none of their own left go."""
-    left = lines.deduplicated(docs)
+    left = lines.deduplicated(docs, threshold=lines.QUERIED)
     bare = F.col("lines_.n_removed") > 0
     empty = F.coalesce(F.col("lines_.text"), F.lit("")).rlike(r"^\s*$")
     columns = [F.col("lines_.text").alias("text") if c == "text" else

@@ -1,24 +1,27 @@
 """Line deduplication by a segment-partition edit join, in DataFrame operations only.
 
-Threshold one: two lines are near if one edit (a character inserted, deleted or replaced) makes them equal. Cut in two segments,
-a line shares one of them, at its place from the line's start or end, with every line near it. So lines are
-indexed by each segment left out: (length, segment, what stands before it, what stands after it); a line probes the
-index of its own length and that of lines shorter by one. Groups of a few lines are verified pair by pair. The
-others are partitioned again: the segment left out is cut in parts, each left out in turn, so that a group of thousands of lines never
-becomes pairs. What is left when one character is left out are lines that are near each other by construction.
+Two lines are near if ``threshold`` edits (a character inserted, deleted or replaced) or fewer make them equal. The shorter line is the base.
+Cut in k + 1 segments for k edits, one of its segments, the one numbered j, stands unchanged in the other line with at most j edits before it and at
+most k - j behind it: with S(i) edits before segment i, take the last i with S(i) >= i. So the segment is shifted by
+j places at most, and a line probes the segments of lines of its length and of those shorter by up to k.
+
+What is before and behind the segment are gaps with budgets j and k - j, to which the same applies. Groups of more than a few lines have their
+widest gap cut again, until the groups are small; so a group of thousands of lines that share a segment doesn't become pairs. Each large
+group's first line is compared with all of it, and a group in which nothing else is open is done. Only groups whose
+gaps have no more characters than edits are verified pair by pair whatever their size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglens.sources.shared import materialize
 
-THRESHOLD = 1
+#: Edits between near lines: what the functions take by default, and what the registered queries and the pipeline use.
+THRESHOLD, QUERIED = 1, 3
 MIN_CHARS = 20
-PAIRED = 4
-PARTS = 8
+PAIRED = 8
 
 
 def banded_distance(a: Column, b: Column, k: int) -> Column:
@@ -79,16 +82,17 @@ def _bit(x: Column, at: Column, k: int) -> Column:
     return out
 
 
-def _left_out(length: Column, lo: Column, hi: Column, line: Column) -> Column:
-    """The hash of ``line`` without its characters lo to hi of a line of ``length``, and of where they stood."""
-    return F.xxhash64(length, lo, hi, F.substring(line, F.lit(1), lo),
-                      F.substring(line, F.length(line) - (length - hi) + 1, length - hi))
-
-
-def _segments(line: Column, length: Column) -> list[Column]:
-    parts = THRESHOLD + 1
-    cut = lambda j: F.floor(length * j / parts).cast("int")
-    return [_left_out(length, cut(j), cut(j + 1), line) for j in range(parts)]
+def _segments(line: Column, length: Column, k: int) -> tuple[list[Column], list[Column]]:
+    """Hashes of the k + 1 segments of ``line``, and of what it probes: segments of a line of its length or shorter by up to k."""
+    own, probes = [], []
+    for d in range(k + 1):
+        base = length - d
+        for j in range(k + 1):
+            lo, hi = (F.floor(base * x / (k + 1)).cast("int") for x in (j, j + 1))
+            for shift in range(max(-j, d - k + j), min(j, d + k - j) + 1):
+                key = F.xxhash64(base, F.lit(j), F.substring(line, lo + shift + 1, hi - lo))
+                (probes if d or shift else own).append(key)
+    return own, probes
 
 
 def _each_line(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -106,97 +110,115 @@ def _named(lines: DataFrame) -> DataFrame:
     return lines.select("id", "mark", "pos", "line", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
 
 
-def near_earlier(distinct: DataFrame, lines: DataFrame) -> DataFrame:
+def near_earlier(distinct: DataFrame, lines: DataFrame, k: int) -> DataFrame:
     """(h, g) of the distinct lines that are near one with an earlier place.
 
-    ``distinct``: h, g, first (place), length, own and longer (its keys among lines of its length, and among those shorter by one).
+    ``distinct``: h, g, first (place).
     ``lines``: h, g, line of every occurrence.
     """
-    keys = distinct.select("h", "g", F.explode(F.concat("own", "longer")).alias("key"))
-    shared = keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high")
-    live = materialize(
-        keys.join(shared.select("key"), "key", "left_semi").select("h", "g").distinct()
-        .join(distinct.select("h", "g", "first"), ["h", "g"]), "live-lines")
+    length = F.length("line")
+    own, probes = _segments(F.col("line"), length, k)
+    keys = lines.select("h", "line").distinct().select("h", F.posexplode(F.array(*own, *probes)).alias("n", "key"))
+    # one shuffle, as these rows are the most of the join
+    here = Window.partitionBy("key")
+    shared = keys.select("h", "key", F.min("h").over(here).alias("low"), F.max("h").over(here).alias("high"), F.min("n").over(here).alias("n"))
+    live = materialize(shared.where(f"low < high AND n <= {k}").select("h").distinct()
+                       .join(distinct.select("h", "g", "first"), "h").select("h", "g", "first"), "live-lines")
     # the place is part of the key, so that a common line's occurrences are spread out
     here = lines.select("h", "g", _place().alias("first"), "line")
     texts = materialize(here.join(live, ["h", "g", "first"]).dropDuplicates(["h", "g", "first"]), "live-texts")
-    own = texts.withColumns({"length": F.length("line"), "longer": F.lit(False)})
-    members = own.unionByName(own.withColumns({"length": F.col("length") - 1, "longer": F.lit(True)}))
-    members = members.withColumns({"lo": F.lit(0), "hi": F.col("length")})
-    found, parts = None, THRESHOLD + 1
+    members = texts.withColumn("d", F.explode(F.expr(f"sequence(0, least({k}, length(line)))"))).selectExpr(
+        "h", "g", "first", "line", "d", "d = 0 AS base", "xxhash64(length(line) - d) AS key",
+        f"array(struct(0 AS lo, length(line) - d AS hi, 0 AS sl, d AS sr, {k} AS b)) AS gaps")
+    near, pairs, level = None, None, 0
     while True:
-        width = F.col("hi") - F.col("lo")
-        members = members.withColumn("n", F.least(width, F.lit(parts))).withColumn(
-            "part", F.explode(F.expr("sequence(0, n - 1)")))
-        members = members.withColumns({
-            "lo": F.col("lo") + F.floor(width * F.col("part") / F.col("n")).cast("int"),
-            "hi": F.col("lo") + F.floor(width * (F.col("part") + 1) / F.col("n")).cast("int")})
-        members = members.withColumn("key", _left_out(F.col("length"), F.col("lo"), F.col("hi"), F.col("line")))
-        groups = members.groupBy("key").agg(
-            F.count(F.lit(1)).alias("size"), F.count(F.when(~F.col("longer"), 1)).alias("base")).where("size > 1 AND base > 0")
-        members = materialize(members.drop("n", "part").join(groups, "key"), "line-groups")
-        now = _verified(members.where(F.col("size") <= PAIRED)).unionByName(
-            _single(members.where((F.col("size") > PAIRED) & (F.col("hi") - F.col("lo") <= 1))))
-        found = now if found is None else found.unionByName(now)
-        members = members.where((F.col("size") > PAIRED) & (F.col("hi") - F.col("lo") > 1)).drop("key", "size", "base")
+        members = _grouped(_cut(members))
+        # at the first level a single segment is shared, which the next one sorts out cheaper than a comparison
+        whole = "NOT exists(gaps, x -> x.hi - x.lo > x.b)"
+        paired = f"({whole} OR (size <= {PAIRED} AND {level} > 0))"
+        now = _pairs(members.where(paired))
+        pairs = now if pairs is None else pairs.unionByName(now)
+        members = members.where(f"NOT {paired}")
         if members.isEmpty():
-            return found.distinct()
-        parts = PARTS
-
-
-def _verified(members: DataFrame) -> DataFrame:
-    """Later lines of the near pairs of small groups; what the pair has in common by its key isn't compared again."""
-    middle = F.expr("substring(line, lo + 1, length(line) - length + hi - lo)")
-    side = members.select("key", "h", "g", "first", "longer", middle.alias("middle"))
-    a = side.where("NOT longer").select([F.col(c).alias(f"a_{c}") for c in side.columns])
+            break
+        found = materialize(_near_first(members.where(f"size > {PAIRED}"), k), "near-first")
+        near = found if near is None else near.unionByName(found)
+        still = members.join(near.distinct().withColumn("late", F.lit(True)), ["h", "g"], "left").where(
+            "late IS NULL AND first > least").select("key").distinct()
+        members = members.join(still, "key", "left_semi").drop("size", "least")
+        level += 1
+    pairs = pairs.distinct()
+    if near is not None:
+        pairs = pairs.join(near.distinct(), ["h", "g"], "left_anti")
+    pairs = materialize(pairs, "line-pairs")
+    late = pairs.join(texts.select("h", "g", "line"), ["h", "g"]).join(
+        texts.selectExpr("h AS e_h", "g AS e_g", "line AS e_line"), ["e_h", "e_g"])
+    late = late.where(banded_distance(F.col("line"), F.col("e_line"), k) <= k).select("h", "g")
+    return (late if near is None else late.unionByName(near)).distinct()
+
+
+def _cut(members: DataFrame) -> DataFrame:
+    """Members with their widest gap cut: one row and key for each segment, at each shift, that can be unchanged.
+
+    A gap's lo, hi are places in the base, sl and sr the shifts of the line's own at its ends, and b its budget of edits.
+    """
+    gap = F.expr("array_max(transform(filter(gaps, x -> x.hi - x.lo > x.b), x -> struct(x.hi - x.lo AS w, x.lo, x.hi, x.sl, x.sr, x.b)))")
+    cut = members.withColumn("gap", F.coalesce(gap, F.expr(
+        "transform(slice(gaps, 1, 1), x -> struct(x.hi - x.lo AS w, x.lo, x.hi, x.sl, x.sr, x.b))[0]")))
+    cut = cut.selectExpr("*", "explode(sequence(0, gap.b)) AS j")
+    cut = cut.selectExpr(
+        "*", "gap.lo + CAST(floor(gap.w * j / (gap.b + 1)) AS INT) AS lo", "gap.lo + CAST(floor(gap.w * (j + 1) / (gap.b + 1)) AS INT) AS hi",
+        "explode(sequence(greatest(gap.sl - j, gap.sr - gap.b + j), least(gap.sl + j, gap.sr + gap.b - j))) AS s")
+    return cut.where("lo + s >= gap.lo + gap.sl AND hi + s <= gap.hi + gap.sr").selectExpr(
+        "h", "g", "first", "line", "d", "base AND s = 0 AS base", "xxhash64(key, j, substring(line, lo + s + 1, hi - lo)) AS key",
+        """filter(concat(filter(gaps, x -> x.lo <> gap.lo OR x.hi <> gap.hi), array(
+            struct(gap.lo AS lo, lo AS hi, gap.sl AS sl, s AS sr, j AS b),
+            struct(hi AS lo, gap.hi AS hi, s AS sl, gap.sr AS sr, gap.b - j AS b))), x -> x.b > 0) AS gaps""")
+
+
+def _grouped(members: DataFrame) -> DataFrame:
+    """Members of the keys that a base and another line share, with the group's size and first place."""
+    groups = members.groupBy("key").agg(
+        F.count(F.lit(1)).alias("size"), F.max("base").alias("based"), F.min("first").alias("least"),
+        F.max("first").alias("last")).where("based AND least < last").drop("based", "last")
+    return materialize(members.join(groups, "key"), "line-groups")
+
+
+def _pairs(members: DataFrame) -> DataFrame:
+    """h, g of the later and e_h, e_g of the earlier line of the pairs to be verified."""
+    side = members.select("key", "h", "g", "first", "d", "base")
+    a = side.where("base").select([F.col(c).alias(f"a_{c}") for c in side.columns])
     b = side.select([F.col(c).alias(f"b_{c}") for c in side.columns])
-    pairs = a.join(b, F.col("a_key") == F.col("b_key")).where(
-        "(a_h <> b_h OR a_g <> b_g) AND (b_longer OR a_first < b_first)")
-    near = pairs.where(banded_distance(F.col("a_middle"), F.col("b_middle"), THRESHOLD) <= THRESHOLD)
-    return near.select(F.expr("if(a_first < b_first, b_h, a_h)").alias("h"),
-                       F.expr("if(a_first < b_first, b_g, a_g)").alias("g")).distinct()
-
+    pairs = a.join(b, F.col("a_key") == F.col("b_key")).where("a_first <> b_first AND (b_d > 0 OR a_first < b_first)")
+    return pairs.selectExpr(
+        "if(a_first < b_first, b_h, a_h) AS h", "if(a_first < b_first, b_g, a_g) AS g",
+        "if(a_first < b_first, a_h, b_h) AS e_h", "if(a_first < b_first, a_g, b_g) AS e_g").distinct()
 
-def _single(members: DataFrame) -> DataFrame:
-    """Later lines of groups in which a single character is left out.
 
-    Lines of the same length then differ in that character. A line longer by one is near the line it becomes
-    without one of its two characters there.
-    """
-    base = members.where("NOT longer")
-    first = base.groupBy("key").agg(F.min("first").alias("least"))
-    replaced = base.join(first, "key").where("first > least").select("h", "g")
-    shorter = base.select("h", "g", "first", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"))
-    without = lambda at: F.concat(F.substring("line", F.lit(1), F.col("lo") + at),
-                                  F.expr(f"substring(line, lo + 2 + {at})"))
-    longer = members.where("longer").withColumn("less", F.explode(F.array(without(0), without(1)))).select(
-        "h", "g", "first", F.xxhash64("less").alias("k1"), F.hash("less").alias("k2"))
-    late = longer.join(shorter.groupBy("k1", "k2").agg(F.min("first").alias("least")), ["k1", "k2"]).where(
-        "first > least").select("h", "g")
-    soon = shorter.join(longer.groupBy("k1", "k2").agg(F.min("first").alias("least")), ["k1", "k2"]).where(
-        "first > least").select("h", "g")
-    return replaced.unionByName(late).unionByName(soon)
+def _near_first(members: DataFrame, k: int) -> DataFrame:
+    """Lines near the first one of a large group."""
+    first = members.where("first = least").dropDuplicates(["key"]).select("key", F.col("line").alias("earlier"))
+    near = members.where("first > least").join(first, "key").where(
+        banded_distance(F.col("line"), F.col("earlier"), k) <= k)
+    return near.select("h", "g").distinct()
 
 
 def deduplicated(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
+    threshold: int = THRESHOLD,
 ) -> DataFrame:
     """``docs`` with struct column ``lines_``: n_lines, n_removed, n_left (lines with a word) and the text left.
 
-    Places are ordered by (id, hash of the text, line number). A line goes if an equal line or a line within one edit stands at an earlier
+    Places are ordered by (id, hash of the text, line number). A line goes if an equal line or a line within ``threshold`` edits stands at an earlier
     place; lines of fewer than ``min_chars`` characters stay and remove nothing. Null texts stay null and have no lines; the null id is the last; rows
     with the same id and text count as one, so both keep their lines. All other columns stay as they are.
     """
     mark = F.xxhash64(F.col(text_col))
     low = docs.select(F.col(id_col).cast("bigint").alias("id"), mark.alias("mark"), F.col(text_col).alias("text"))
     lines = _named(_each_line(low, min_chars))
-    length = F.length("line")
-    keyed = lines.select("h", "g", _place().alias("place"), length.alias("length"),
-                         F.array(*_segments(F.col("line"), length)).alias("own"),
-                         F.array(*_segments(F.col("line"), length - 1)).alias("longer"))
-    distinct = materialize(keyed.groupBy("h", "g", "length", "own", "longer").agg(
+    distinct = materialize(lines.select("h", "g", _place().alias("place")).groupBy("h", "g").agg(
         F.min("place").alias("first"), F.count(F.lit(1)).alias("copies")), "lines")
-    near = near_earlier(distinct, lines)
+    near = near_earlier(distinct, lines, threshold)
     # a table of its own, so that a common line's occurrences are dealt by the join alone and can be split
     judged = materialize(distinct.join(near.withColumn("near", F.lit(True)), ["h", "g"], "left").where(
         "copies > 1 OR near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near")), "judged-lines")

@@ -38,7 +38,7 @@ def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.deduplicated(docs).select("doc_id", "lines_.*")
+    return lines.deduplicated(docs, threshold=lines.QUERIED).select("doc_id", "lines_.*")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,6 +82,31 @@ def test_edges(spark):
     assert run(spark, [], 20) == {}
 
 
+def distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("threshold", (2, 3))
+def test_more_edits_against_brute_force(spark, threshold):
+    rng = random.Random(threshold)
+    made = ["".join(rng.choice("abcdefghé ") for _ in range(rng.choice([12, 20, 40]))) for _ in range(4)]
+    for _ in range(110):
+        line = list(rng.choice(made[:4]))
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randrange(len(line))
+            line[at:at + rng.randint(0, 1)] = rng.choices("abcdefgh", k=rng.randint(0, 1))
+        made.append("".join(line))
+    docs = list(enumerate(rng.sample(made, len(made))))
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r[0] for r in lines.deduplicated(frame, min_chars=3, threshold=threshold).where("lines_.n_removed > 0").select("doc_id").collect()}
+    assert got == {n for n, t in docs if len(t) >= 3 and any(len(o) >= 3 and distance(t, o) <= threshold for _, o in docs[:n])}
+
+
 def test_rows_that_share_an_id_keep_their_lines(spark):
     frame = spark.createDataFrame([(1, "the same long line here")] * 2, "doc_id bigint, text string")
     assert [r.lines_.text for r in lines.deduplicated(frame).collect()] == ["the same long line here"] * 2
