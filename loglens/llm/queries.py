@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglens.llm import decontaminate, langid, lines, minhash, outliers, packing, sentences, suffix, surrogates, urls
+from loglens.llm import (
+    collocations, decontaminate, langid, lines, minhash, oracles, outliers, packing, sentences, spelling, suffix, surrogates,
+    toxicity, urls)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,8 +60,22 @@ def op10_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents")).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_language_mixture, op3_url_boosting, op4_robust_outliers, op5_surrogates,
-    op6_line_dedup, op7_decontamination, op8_sentence_spans, op9_circulant_minhash, op10_interval_expansion)}
+    op6_line_dedup, op7_decontamination, op8_sentence_spans, op9_circulant_minhash, op10_interval_expansion, op11_collocations, op12_spelling_variants,
+    op13_toxicity)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_collocations": oracles.OP11, "op12_spelling_variants": oracles.OP12}
