@@ -91,7 +91,9 @@ def parse(lines: DataFrame, *, now: str | None = None, year: int | None = None,
         "source", number.alias("line_number"), *extra, value.alias("_value"),
         F.regexp_replace(value, F.lit(_LINE), F.lit(_FIELDS)).alias("_marked"))
     matched = F.col("_marked").startswith("\n") & ~F.col("_value").contains("\n")
-    cut = split.withColumn("_f", F.when(matched, F.split("_marked", "\n")))
+    # The output of a generator is a plain column to whatever comes after: predicates on an entry's fields stay above it, where
+    # they cost a look at the field, instead of being moved below with a regular expression of their own each.
+    cut = split.select("*", F.explode(F.array(F.when(matched, F.split("_marked", "\n")))).alias("_f"))
 
     def field(position: int) -> Column:
         return F.coalesce(F.col("_f")[position], F.lit(""))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -10,7 +11,7 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loglens.functions import severity as sev
-from loglens.functions.parse import severity_rank
+from loglens.functions.parse import parse, severity_rank
 
 
 @dataclass(frozen=True)
@@ -105,3 +106,30 @@ def in_time_range(entries: DataFrame, start: str | None = None, end: str | None
     if end is not None:
         entries = entries.filter(F.col(by) <= bound(end))
     return entries
+
+
+def may_be_in_range(value: Column, start: str | None, end: str | None, now: str | None) -> Column:
+    """A test of raw lines that every line passes whose entry is ``in_time_range``, and that needs no parsing.
+
+    It compares the ten characters of a leading date. Lines that begin with one either have it in their stamp or are stamped
+    with ``now``; so where ``now`` is unknown or might be in the range, or a bound begins with no date, all lines pass.
+    """
+    day = r"\d{4}-\d{2}-\d{2}"
+    if now is None or not all(re.match(day, text) for text in (now, start or now, end or now)):
+        return F.lit(True)
+    if (start is None or now[:10] >= start[:10]) and (end is None or now[:10] <= end[:10]):
+        return F.lit(True)
+    dated = (F.substr(value, F.lit(5), F.lit(1)) == "-") & (F.substr(value, F.lit(8), F.lit(1)) == "-")
+    date, inside = F.substr(value, F.lit(1), F.lit(10)), F.lit(True)
+    if start is not None:
+        inside = inside & (date >= start[:10])
+    if end is not None:
+        inside = inside & (date <= end[:10])
+    return F.coalesce(~dated | inside, F.lit(True))
+
+
+def entries_in_range(lines: DataFrame, start: str | None = None, end: str | None = None, by: str = "timestamp", *,
+                     now: str | None = None, year: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``in_time_range`` of the entries of raw lines; lines of other days go before they are parsed."""
+    near = lines.filter(may_be_in_range(F.col("value"), start, end, now))
+    return in_time_range(parse(near, now=now, year=year, keep=keep), start, end, by)

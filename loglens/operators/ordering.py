@@ -13,9 +13,43 @@ FILE_ORDER = ("source", "line_number")
 BLOCK_LINES = 65_536
 
 
+# Up to so many first rows of every task meet in one.
+MAX_FIRST = 10_000
+
+
 def first_n(lines: DataFrame, n: int, order: tuple[str, ...] = FILE_ORDER) -> DataFrame:
-    """The first ``n`` rows in file order; 0 keeps all."""
-    return lines.orderBy(*order).limit(n) if n > 0 else lines
+    """The first ``n`` rows in file order; 0 keeps all.
+
+    Many rows are cut off where they stand: rows are dealt by ranges of the order, the counts of the ranges say
+    in which of them the n-th row is, and whole ranges ahead of it stay. The order has to be total.
+    """
+    if n <= 0:
+        return lines
+    if n <= MAX_FIRST:
+        return lines.orderBy(*order).limit(n)
+    stored, starts = _ranged(lines, order)
+    # One number per shuffle partition.
+    wanted = {part: (first, before) for part, (first, before) in starts.items() if before < n}
+    if not wanted:
+        return stored.drop("_part", "_row")
+    cut = max(wanted, key=lambda part: wanted[part][1])
+    first, before = wanted[cut]
+    kept = F.col("_part").isin([p for p in wanted if p != cut]) | (
+        (F.col("_part") == cut) & (F.col("_row") < first + n - before))
+    return stored.filter(kept).drop("_part", "_row")
+
+
+def _ranged(rows: DataFrame, order: tuple[str, ...]) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+    """Rows in stored ranges of the order, with ``_part`` and ``_row``; per range its first ``_row`` and the number of rows before it."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({
+        "_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+    stored = materialize(ranged, "ordered")
+    counts = stored.groupBy("_part").agg(F.min("_row").alias("first"), F.count(F.lit(1)).alias("n")).collect()
+    starts, before = {}, 0
+    for part in sorted(counts):
+        starts[part["_part"]] = (part["first"], before)
+        before += part["n"]
+    return stored, starts
 
 
 def top_per_group(rows: DataFrame, keys: list[str], order: list[Column], n: int,
@@ -60,18 +94,13 @@ def number_in_order(rows: DataFrame, order: tuple[str, ...], name: str) -> DataF
     Rows are range-partitioned and sorted once and kept as a table; each partition's first
     position then follows from the per-partition counts.
     """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({
-        "_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
-    stored = materialize(ranged, "ordered")
-    counts = stored.groupBy("_part").agg(
-        F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    # One row per shuffle partition: spark.sql.shuffle.partitions bounds both the unpartitioned
-    # window and the broadcast.
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        "_part", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    return stored.join(F.broadcast(starts), "_part").select(
-        (F.col("_before") + F.col("_row") - F.col("_first") + 1).alias(name), *rows.columns)
+    stored, starts = _ranged(rows, order)
+    spark = rows.sparkSession
+    # A row per shuffle partition: spark.sql.shuffle.partitions bounds the broadcast.
+    table = spark.createDataFrame(
+        [(part, before - first) for part, (first, before) in starts.items()], "_part int, _shift bigint")
+    return stored.join(F.broadcast(table), "_part").select(
+        (F.col("_row") + F.col("_shift") + 1).alias(name), *rows.columns)
 
 
 def merge(lines: DataFrame, *, now: str, sort: bool = True, by: str = "timestamp",

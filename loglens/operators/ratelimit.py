@@ -29,8 +29,9 @@ from itertools import islice
 from math import gcd
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from loglens.functions.parse import line_bytes
 from loglens.operators.ordering import top_per_group
 from loglens.sources.shared import delete, materialize, tables_in
 
@@ -67,6 +68,31 @@ class RateLimit:
         return self.burst * self.cost
 
 
+@dataclass(frozen=True)
+class ByteLimit:
+    """``max_bytes`` per ``window_ms`` with bursts of ``burst`` bytes; 0 bytes means no limit."""
+
+    max_bytes: int = 0
+    window_ms: int = 1000
+    burst: int = 1_000_000
+
+    def __post_init__(self):
+        if self.max_bytes < 0 or self.window_ms <= 0 or self.burst < 0:
+            raise ValueError(f"not a rate limit: {self}")
+
+    @property
+    def gain(self) -> int:
+        return self.max_bytes // gcd(self.max_bytes, self.window_ms)
+
+    @property
+    def cost(self) -> int:
+        return self.window_ms // gcd(self.max_bytes, self.window_ms)
+
+    @property
+    def cap(self) -> int:
+        return self.burst * self.cost
+
+
 _ARROW = {"string": pa.string(), "bigint": pa.int64()}
 
 
@@ -108,36 +134,37 @@ def _over_sorted(df: DataFrame, keys: list[str], order: list[str], columns: list
             .mapInArrow(run, schema))
 
 
-def _chunk_shapes(limit: RateLimit):
+def _chunk_shapes(counted: DataFrame, limit: RateLimit | ByteLimit) -> DataFrame:
     """Per chunk: first and last time, and the shift and clamp of ``u`` from after its first
-    arrival's wait to its end."""
-    gain, cost, cap = limit.gain, limit.cost, limit.cap
+    arrival's wait to its end.
 
-    def step(rows):
-        current, at = None, None
-        for key, chunk, ms, n in rows:
-            if chunk != at or key != current[0]:
-                if current is not None:
-                    yield (*current, first, last, low, high, shift)
-                current, at = (key, chunk), chunk
-                first, last, low, high, shift = ms, ms, 0, cap, 0
-            # The same as max(.. - waited, 0) and min(.. + added, cap), without the calls.
-            waited, added = (ms - last) * gain, n * cost
-            low = added if low < waited else low - waited + added
-            high = added if high < waited else high - waited + added
-            if low > cap:
-                low = cap
-            if high > cap:
-                high = cap
-            shift += added - waited
-            last = ms
-        if current is not None:
-            yield (*current, first, last, low, high, shift)
+    Each moment is itself a shift and clamp of three numbers, and so is a chain of them; a chunk has
+    a moment per millisecond at most, which bounds its list.
+    """
+    def long(value: int) -> Column:
+        return F.lit(value).cast("bigint")
 
-    return step
+    def after(state: Column, moment: Column) -> Column:
+        waited = (moment["_ms"] - state["last"]) * long(limit.gain)
+        added = moment["_n"] * long(limit.cost)
+
+        def end(bound: Column) -> Column:
+            return F.least(F.greatest(bound - waited, long(0)) + added, long(limit.cap))
 
+        return F.struct(
+            moment["_ms"].alias("last"), end(state["low"]).alias("low"), end(state["high"]).alias("high"),
+            (state["shift"] + added - waited).alias("shift"))
 
-def _chunk_starts(limit: RateLimit):
+    lists = counted.groupBy("_key", "_chunk").agg(F.sort_array(F.collect_list(F.struct("_ms", "_n"))).alias("moments"))
+    first = F.col("moments")[0]["_ms"]
+    begin = F.struct(first.alias("last"), long(0).alias("low"), long(limit.cap).alias("high"), long(0).alias("shift"))
+    return lists.select(
+        "_key", "_chunk", first.alias("_first"), F.aggregate("moments", begin, after).alias("_end")).select(
+        "_key", "_chunk", "_first", F.col("_end.last").alias("_last"), F.col("_end.low").alias("_low"),
+        F.col("_end.high").alias("_high"), F.col("_end.shift").alias("_shift"))
+
+
+def _chunk_starts(limit: RateLimit | ByteLimit):
     """Per chunk: time of the arrival before it (null for the first) and ``u`` after that."""
     gain = limit.gain
 
@@ -282,11 +309,10 @@ def _accepted(limit: RateLimit):
 def accepted_counts(pairs: DataFrame, limit: RateLimit, carried: DataFrame | None = None) -> DataFrame:
     """``(_key, _ms, accepted, debt)`` for the lines counted in ``pairs (_key, _ms, _n)``.
 
-    ``carried (_key, _last, _debt)`` holds buckets as an earlier batch left them; no line
-    of a key may be older than that.
+    ``pairs`` are read up to three times, so they should be stored. ``carried (_key, _last, _debt)`` holds buckets as
+    an earlier batch left them; no line of a key may be older than that.
     """
-    # The counts are small beside the lines and are used up to three times: keep them.
-    counted = materialize(pairs, "arrivals")
+    counted = pairs.select("_key", "_ms", "_n")
     if carried is not None:
         phase = F.pmod(F.col("_last") * limit.gain + F.col("_debt"), F.lit(limit.cost))
         carried = carried.select("_key", "_last", "_debt", phase.cast("bigint").alias("_clock"))
@@ -296,23 +322,26 @@ def accepted_counts(pairs: DataFrame, limit: RateLimit, carried: DataFrame | Non
         "_key string, _ms bigint, accepted bigint, debt bigint")
 
 
-def _chunks(counted: DataFrame, limit: RateLimit, carried: DataFrame | None) -> DataFrame:
-    """Counts cut by time, each chunk with the state its bucket has on entry."""
-    per_chunk, per_key = ["_key", "_chunk"], ["_key"]
-    counted = counted.withColumn("_chunk", F.floor(F.col("_ms") / CHUNK_MS))
-    shapes = _over_sorted(
-        counted, per_chunk, ["_ms"], ["_key", "_chunk", "_ms", "_n"], _chunk_shapes(limit),
-        "_key string, _chunk bigint, _first bigint, _last bigint, _low bigint, _high bigint, _shift bigint")
+def _starts(counted: DataFrame, limit: RateLimit | ByteLimit, carried: DataFrame | None) -> DataFrame:
+    """``u`` and the time before it at the start of every chunk of ``counted (_key, _chunk, _ms, _n)``."""
+    shapes = _chunk_shapes(counted, limit)
     if carried is not None:
         # A carried bucket acts like a chunk ahead of all others that ends in its debt.
         shapes = shapes.unionByName(carried.select(
             "_key", F.lit(BEFORE_ALL).alias("_chunk"), F.col("_last").alias("_first"), "_last",
             F.col("_debt").alias("_low"), F.col("_debt").alias("_high"),
             F.lit(0).cast("bigint").alias("_shift")))
-    starts = _over_sorted(
-        shapes, per_key, ["_chunk"],
+    return _over_sorted(
+        shapes, ["_key"], ["_chunk"],
         ["_key", "_chunk", "_first", "_last", "_low", "_high", "_shift"], _chunk_starts(limit),
         "_key string, _chunk bigint, _start_ms bigint, _start_u bigint")
+
+
+def _chunks(counted: DataFrame, limit: RateLimit, carried: DataFrame | None) -> DataFrame:
+    """Counts cut by time, each chunk with the state its bucket has on entry."""
+    per_chunk, per_key = ["_key", "_chunk"], ["_key"]
+    counted = counted.withColumn("_chunk", F.floor(F.col("_ms") / CHUNK_MS))
+    starts = _starts(counted, limit, carried)
     if limit.cost == 1:
         return counted.join(starts, per_chunk).withColumn("_phase", F.lit(0))
     begun = counted.join(materialize(starts, "starts"), per_chunk)
@@ -343,8 +372,23 @@ def _keyed(lines: DataFrame, key: tuple[str, ...] | None, time: Column) -> DataF
     return lines.withColumns({"_key": text, "_ms": time})
 
 
-def _arrivals(keyed: DataFrame) -> DataFrame:
-    return keyed.groupBy("_key", "_ms").agg(F.count(F.lit(1)).alias("_n"))
+def arrivals(lines: DataFrame, *, key: tuple[str, ...] | None = ("source",), time: str | Column = "event_ms",
+             by: tuple[str, ...] = ()) -> DataFrame:
+    """``(_key, _ms, *by, _n, _bytes)``: lines and bytes of every bucket and millisecond, as a stored table.
+
+    It holds all that a limit and the counters need to know of the lines that come in, so neither reads them again.
+    """
+    time = F.col(time) if isinstance(time, str) else time
+    return materialize(_arrivals(_keyed(lines, key, time), by), "arrivals")
+
+
+def _arrivals(keyed: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return keyed.groupBy("_key", "_ms", *by).agg(
+        F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum(line_bytes(F.col("value"))), F.lit(0)).alias("_bytes"))
+
+
+def _per_moment(arrived: DataFrame) -> DataFrame:
+    return arrived.groupBy("_key", "_ms").agg(F.sum("_n").alias("_n"))
 
 
 def _take(keyed: DataFrame, granted: DataFrame, limit: RateLimit, order: list[str]) -> DataFrame:
@@ -358,9 +402,17 @@ def _take(keyed: DataFrame, granted: DataFrame, limit: RateLimit, order: list[st
 
 
 def grant(lines: DataFrame, limit: RateLimit, *, key: tuple[str, ...] | None = ("source",),
-          time: str = "event_ms") -> DataFrame:
-    """``(_key, _ms, accepted)``: how many lines of each bucket and millisecond pass."""
-    return accepted_counts(_arrivals(_keyed(lines, key, F.col(time))), limit)
+          time: str = "event_ms", arrived: DataFrame | None = None) -> DataFrame:
+    """``(_key, _ms, accepted)``: how many lines of each bucket and millisecond pass.
+
+    ``arrived`` is the result of ``arrivals`` for the same key and time, if there already is one.
+    """
+    if arrived is None:
+        arrived = materialize(_keyed(lines, key, F.col(time)).groupBy("_key", "_ms").agg(
+            F.count(F.lit(1)).alias("_n")), "arrivals")
+    elif set(arrived.columns) - {"_key", "_ms", "_n", "_bytes"}:
+        arrived = materialize(_per_moment(arrived), "arrivals")
+    return accepted_counts(arrived, limit)
 
 
 def rate_limit(lines: DataFrame, limit: RateLimit, *, key: tuple[str, ...] | None = ("source",),
@@ -379,6 +431,56 @@ def rate_limit(lines: DataFrame, limit: RateLimit, *, key: tuple[str, ...] | Non
     return kept.select(*lines.columns)
 
 
+def _room(limit: ByteLimit):
+    """Per millisecond: the debt that its first line meets."""
+    gain, cost, cap = limit.gain, limit.cost, limit.cap
+
+    def step(rows):
+        current, at, u, last = None, None, 0, 0
+        for key, chunk, ms, n, start_ms, start_u in rows:
+            if chunk != at or key != current:
+                current, at = key, chunk
+                u, last = (0, ms) if start_ms is None else (start_u, start_ms)
+            u -= (ms - last) * gain
+            if u < 0:
+                u = 0
+            if u < cap:
+                yield key, ms, u
+            u += n * cost
+            if u > cap:
+                u = cap
+            last = ms
+
+    return step
+
+
+def rate_limit_bytes(lines: DataFrame, limit: ByteLimit, *, key: tuple[str, ...] | None = ("source",),
+                     time: str = "event_ms") -> DataFrame:
+    """The lines that find as many tokens as they have bytes, one bucket per ``key``.
+
+    A refused line takes what is left in the bucket, so a source that sends too much is held back until it slows down, and what a
+    moment does to a bucket depends on its bytes alone: it is a shift and a clamp. So chunks of time are replayed
+    in parallel, also those of one key. Empty lines always pass. Lines of the same key and millisecond are taken by source and line number.
+    """
+    if limit.max_bytes == 0:
+        return lines
+    keyed = _keyed(lines, key, F.col(time)).withColumn("_size", line_bytes(F.coalesce("value", F.lit(""))))
+    counted = materialize(keyed.groupBy("_key", "_ms").agg(F.sum("_size").alias("_n")), "arrivals").withColumn(
+        "_chunk", F.floor(F.col("_ms") / CHUNK_MS))
+    begun = counted.join(_starts(counted, limit, None), ["_key", "_chunk"])
+    room = _over_sorted(
+        begun, ["_key", "_chunk"], ["_ms"], ["_key", "_chunk", "_ms", "_n", "_start_ms", "_start_u"], _room(limit),
+        "_key string, _ms bigint, _debt bigint")
+    order = [F.col("source"), F.col("line_number")]
+    # No more than ``burst`` lines with bytes can pass in a millisecond, so no more are summed up.
+    filled = top_per_group(keyed.filter("_size > 0").join(room, ["_key", "_ms"]), ["_key", "_ms"], order, limit.burst,
+                           "_position", F.struct(*order))
+    upto = Window.partitionBy("_key", "_ms").orderBy("_position").rowsBetween(Window.unboundedPreceding, 0)
+    kept = filled.withColumn("_sum", F.sum("_size").over(upto)).filter(
+        F.col("_debt") + F.col("_sum") * F.lit(limit.cost).cast("bigint") <= F.lit(limit.cap).cast("bigint"))
+    return kept.select(*lines.columns).unionByName(keyed.filter("_size = 0").select(*lines.columns))
+
+
 def rate_limit_batch(batch: DataFrame, limit: RateLimit, state_dir: str, batch_id: int, *,
                      key: tuple[str, ...] | None = ("source",), time: str | None = None,
                      now_ms: int | None = None, tolerance_ms: int = TOLERANCE_MS) -> DataFrame:
@@ -395,6 +497,14 @@ def rate_limit_batch(batch: DataFrame, limit: RateLimit, state_dir: str, batch_i
     """
     if limit.max_lines == 0:
         return batch
+    return limited_batch(batch, limit, state_dir, batch_id, key=key, time=time, now_ms=now_ms,
+                         tolerance_ms=tolerance_ms)[0]
+
+
+def limited_batch(batch: DataFrame, limit: RateLimit, state_dir: str, batch_id: int, *,
+                  key: tuple[str, ...] | None = ("source",), time: str | None = None, now_ms: int | None = None,
+                  tolerance_ms: int = TOLERANCE_MS, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The lines that ``rate_limit_batch`` lets through, with the tables of arrivals (also ``by`` further columns) and of accepted counts."""
     spark = batch.sparkSession
     now_ms = int(clock.time() * 1000) if now_ms is None else now_ms
     own = F.lit(now_ms).cast("bigint") if time is None else F.least(
@@ -409,7 +519,9 @@ def rate_limit_batch(batch: DataFrame, limit: RateLimit, state_dir: str, batch_i
             "_ms", F.greatest("_ms", "_last")).drop("_last", "_debt")
     delete(spark, f"{state_dir}/work")
     with tables_in(f"{state_dir}/work"):
-        granted = materialize(accepted_counts(_arrivals(keyed), limit, carried), "granted")
+        arrived = materialize(_arrivals(keyed, by), "arrivals")
+        moments = materialize(_per_moment(arrived), "moments") if by else arrived
+        granted = materialize(accepted_counts(moments, limit, carried), "granted")
     after = granted.groupBy("_key").agg(
         F.max("_ms").alias("_last"), F.max_by("debt", "_ms").alias("_debt"))
     if carried is not None:
@@ -422,7 +534,7 @@ def rate_limit_batch(batch: DataFrame, limit: RateLimit, state_dir: str, batch_i
     for old in sorted(earlier)[:-1]:
         delete(spark, f"{state_dir}/batch={old}")
     order = ["_own_ms", *[c for c in ("source", "line_number", "position", "value") if c in batch.columns]]
-    return _take(keyed, granted, limit, order).select(*batch.columns)
+    return _take(keyed, granted, limit, order).select(*batch.columns), arrived, granted
 
 
 def _state_batches(spark: SparkSession, state_dir: str) -> list[int]:

@@ -32,21 +32,50 @@ def search_entries(lines: DataFrame, pattern: str, *, now: str, ignore_case: boo
     return parse(search(lines, pattern, ignore_case=ignore_case), now=now)
 
 
-def search_context(lines: DataFrame, pattern: str, *, context: int = 2, **options) -> DataFrame:
+def _block_lines(context: int) -> int:
+    """Lines per block, such that a block has few ranges and a range few blocks."""
+    return max(64, 4 * (context + 1))
+
+
+def context_ranges(hits: DataFrame, context: int) -> DataFrame:
+    """``(source, _block, _ranges)``: what to show of every block of lines, as ranges of line numbers.
+
+    Matches of a block of a source become ranges; those that touch are one. A range that reaches into the block before or after is
+    handed to it. A block has at most a match per line, so no list grows with the input, and a hot source
+    is as many groups as it has blocks with matches.
+    """
+    size = _block_lines(context)
+    block = F.floor((F.col("line_number") - 1) / size)
+    lists = hits.groupBy("source", block.alias("_own")).agg(F.sort_array(F.collect_set("line_number")).alias("at"))
+    apart = 2 * context + 1
+    first = F.filter("at", lambda x, i: (i == 0) | (x - F.get("at", i - 1) > apart))
+    last = F.filter("at", lambda x, i: (i == F.size("at") - 1) | (F.get("at", i + 1) - x > apart))
+    ranges = lists.select("source", F.explode(F.arrays_zip(first.alias("first"), last.alias("last"))).alias("r")).select(
+        "source", F.greatest(F.col("r.first") - context, F.lit(1)).alias("from"), (F.col("r.last") + context).alias("to"))
+    reached = F.sequence(F.floor((F.col("from") - 1) / size), F.floor((F.col("to") - 1) / size))
+    return ranges.select("source", F.explode(reached).alias("_block"), F.struct("from", "to").alias("range")).groupBy(
+        "source", "_block").agg(F.collect_list("range").alias("_ranges"))
+
+
+def search_context(lines: DataFrame, pattern: str, *, context: int = 2, max_count: int = 0, **options) -> DataFrame:
     """Matches with ``context`` lines around them, each once; ``is_match`` marks the matches.
 
-    The positions to show are kept as a table, whose size then decides how it is joined: few
-    matches are broadcast and no line moves, many are joined by shuffle on the unique
-    (source, line number).
+    What to show is kept as a table of ranges by blocks of lines. Its size decides how it is joined: few ranges are broadcast and no line
+    moves, many are joined by shuffle on the block, of which every line belongs to one. Whether a shown line is a match is
+    looked up in the line itself.
     """
-    hits = search(lines, pattern, **options).select(*_KEY)
-    around = F.sequence(
-        F.greatest(F.col("line_number") - context, F.lit(1)), F.col("line_number") + context)
-    near = (
-        hits.select("source", F.col("line_number").alias("_hit"),
-                    F.explode(around).alias("line_number"))
-        .groupBy(*_KEY).agg(F.max(F.col("line_number") == F.col("_hit")).alias("is_match")))
-    return lines.join(materialize(near, "context"), _KEY).select(*lines.columns, "is_match")
+    matches = line_condition(F.col("value"), pattern, **options)
+    found = lines.filter(matches).select(*_KEY)
+    if max_count > 0:
+        found = materialize(first_n(found, max_count), "matches")
+        until = found.agg(F.max(F.struct(*_KEY)).alias("last")).select("last.*").first()
+        matches = matches & (F.struct(*_KEY) <= F.struct(
+            F.lit(until["source"]).alias("source"), F.lit(until["line_number"]).cast("bigint").alias("line_number")))
+    near = materialize(context_ranges(found, context), "context")
+    block = F.floor((F.col("line_number") - 1) / _block_lines(context))
+    shown = F.exists("_ranges", lambda r: F.col("line_number").between(r["from"], r["to"]))
+    return lines.withColumn("_block", block).join(near, ["source", "_block"]).filter(shown).select(
+        *lines.columns, F.coalesce(matches, F.lit(False)).alias("is_match"))
 
 
 def search_csv(found: DataFrame) -> DataFrame:

@@ -153,6 +153,50 @@ FROM (
   SELECT time_bucket(INTERVAL '{_SPAN}', ts, TIMESTAMP '1970-01-01') AS start, count(*) AS lines,
     sum(strlen(value)) AS bytes FROM logs GROUP BY 1)"""
 
+# Lines a bucket of bytes keeps; a refused line takes what is left in it.
+def _byte_bucket(key: str, max_bytes: int, window: int, burst: int) -> str:
+    cap = window * burst
+    now = f"least({cap}, w.tokens + (s.event_ms - w.event_ms) * {max_bytes})"
+    return f""",
+queued AS (
+  SELECT *, {key} AS bucket, row_number() OVER (
+    PARTITION BY {key} ORDER BY event_ms, source, line_number) AS turn FROM logs),
+slim AS MATERIALIZED (SELECT bucket, turn, event_ms, strlen(value) * {window} AS need FROM queued),
+walk AS (
+  SELECT bucket, turn, event_ms, greatest({cap}::BIGINT - need, 0) AS tokens, need <= {cap} AS kept FROM slim WHERE turn = 1
+  UNION ALL
+  SELECT s.bucket, s.turn, s.event_ms, greatest({now} - s.need, 0), {now} >= s.need
+  FROM walk w JOIN slim s ON s.bucket = w.bucket AND s.turn = w.turn + 1),
+limited AS (SELECT q.* FROM queued q JOIN walk w USING (bucket, turn) WHERE w.kept)"""
+
+
+_TOTALS = ("total_lines", "bytes_processed", "dropped_lines", "filtered_lines", "bytes_written")
+
+
+def _groups(name: str, group: str, kept: str, written: str, text: str) -> str:
+    """The five totals of every group of lines; ``kept`` are the lines past the limit, ``written`` those that come through."""
+    return f"""{name} AS (
+  SELECT {group} AS g, count(*) AS total_lines, sum(strlen(value))::BIGINT AS bytes_processed FROM logs GROUP BY 1),
+{name}_kept AS (SELECT {group} AS g, count(*) AS n FROM {kept} GROUP BY 1),
+{name}_written AS (
+  SELECT {group} AS g, count(*) AS n, sum(strlen({text}) + 1)::BIGINT AS bytes FROM {written} GROUP BY 1),
+totals AS (
+  SELECT g, total_lines, bytes_processed, total_lines - coalesce(k.n, 0) AS dropped_lines,
+    coalesce(w.n, 0) AS filtered_lines, coalesce(w.bytes, 0) AS bytes_written
+  FROM {name} LEFT JOIN {name}_kept k USING (g) LEFT JOIN {name}_written w USING (g))"""
+
+
+_SPANS = f"time_bucket(INTERVAL '{_SPAN}', ts, TIMESTAMP '1970-01-01')"
+_RUNNING = ", ".join(f"(sum({n}) OVER (ORDER BY g))::BIGINT AS {{prefix}}{n}" for n in _TOTALS)
+_INTERVAL_TOTALS = f"""
+SELECT strftime(g, '%Y-%m-%d %H:%M:%S') AS interval_start, total_lines AS lines, {_RUNNING.format(prefix="")} FROM totals"""
+_SLICES = "CASE WHEN ts < TIMESTAMP '2024-01-08' THEN 0 WHEN ts < TIMESTAMP '2024-01-16' THEN 1 WHEN ts < TIMESTAMP '2024-01-23' THEN 2 ELSE 3 END"
+
+
+def _collector_totals(group: str, select: str) -> str:
+    return _collector(select).replace("\n" + select, ",\n" + _groups("grouped", group, "limited", "collected", _COLLECT_JSON) + "\n" + select)
+
+
 _HITS_TO_LINES = """,
 near AS (
   SELECT DISTINCT h.source, h.line_number + d.delta AS line_number
@@ -328,7 +372,12 @@ SELECT '{{"total_lines":' || (SELECT count(*) FROM logs)
   || {_LEVEL_JSON.replace("FROM_TABLE", "collected")}
   || ',"source_counts":' || (SELECT '{{' || string_agg('"' || source || '":' || n, ',' ORDER BY source) || '}}'
     FROM (SELECT source, count(*) AS n FROM logs GROUP BY 1)) || '}}' AS json"""),
-    "interval_stats": _logs(_INTERVALS),
+    "interval_lines": _logs(_INTERVALS),
+    "interval_stats": _collector_totals(_SPANS, _INTERVAL_TOTALS),
+    "interval_stats_unlimited": _logs(_INTERVAL_TOTALS, """,
+passing AS (SELECT * FROM logs WHERE event_id % 5 <> 0 AND event_type IN ('click', 'purchase') AND rank >= 2),
+""" + _groups("grouped", _SPANS, "logs", "passing", _PLAIN)),
+    "rate_limit_bytes": f"WITH RECURSIVE {_LOGS}{_byte_bucket('source', 100, 3_600_000, 400)}\nSELECT {_LINE} FROM limited",
     "rate_limit": _limited(f"SELECT {_LINE} FROM limited", *_PER_SOURCE),
     "rate_limit_window": _limited("SELECT source, line_number, event_type FROM limited", *_PER_TYPE),
     "rate_limit_global": _limited(f"SELECT {_LINE} FROM limited", *_GLOBAL),
@@ -386,5 +435,8 @@ WHERE ts >= TIMESTAMP '2024-01-16' OR back <= 25"""),
 SELECT source, severity, {_PLAIN} AS output FROM logs
 WHERE event_id % 5 <> 0 AND event_type IN ('click', 'purchase') AND rank >= 2"""),
     "stream_rate_limit": _limited(f"SELECT {_LINE} FROM limited", *_PER_SOURCE),
-    "stream_stats": _logs(_INTERVALS),
+    "stream_stats": _collector_totals(_SPANS, _INTERVAL_TOTALS),
+    "stream_interval_lines": _logs(_INTERVALS),
+    "stream_counters": _collector_totals(_SLICES, f"""
+SELECT g::BIGINT AS batch, {", ".join(_TOTALS)}, {_RUNNING.format(prefix="all_")} FROM totals"""),
 }

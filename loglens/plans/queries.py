@@ -11,14 +11,14 @@ from loglens.functions.parse import parse, severity_rank
 from loglens.functions.tags import add_global_tags, override_hostname, parse_tag_items, parse_tags
 from loglens.operators import filters, ordering, search, stats
 from loglens.operators.filters import FilterSpec, Pattern
-from loglens.operators.ratelimit import RateLimit, rate_limit, rate_limit_batch
+from loglens.operators.ratelimit import ByteLimit, RateLimit, rate_limit, rate_limit_batch, rate_limit_bytes
 from loglens.plans import collector
 from loglens.plans.collector import CollectorConfig
 from loglens.plans.fixtures import (
     NOW, doc_lines, original_position, raw_logs, replace_files, write_log_files)
 from loglens.sources import lines as source, sinks
 from loglens.sources.shared import new_path
-from loglens.streaming import streams
+from loglens.streaming import monitor, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,6 +26,8 @@ QUERIES: dict[str, Query] = {}
 PER_SOURCE = RateLimit(max_lines=1, window_ms=3_600_000, burst=3)
 PER_TYPE = RateLimit(max_lines=3, window_ms=7_200_000, burst=2)
 GLOBAL = RateLimit(max_lines=2, window_ms=1_800_000, burst=5)
+BYTES = ByteLimit(max_bytes=100, window_ms=3_600_000, burst=400)
+SPAN_MS = 6 * 3_600_000
 COLLECTOR = CollectorConfig(
     now=NOW, rate=GLOBAL,
     filter=FilterSpec(
@@ -349,9 +351,19 @@ def stats_json(spark, sf):
     return collector.stats_json(raw_logs(spark, sf), COLLECTOR, start_time=NOW, last_update=NOW)
 
 
+@query
+def interval_lines(spark, sf):
+    return _interval_text(stats.interval_stats(raw_logs(spark, sf), "ts", SPAN_MS))
+
+
 @query
 def interval_stats(spark, sf):
-    return _interval_text(stats.interval_stats(raw_logs(spark, sf), "ts", "6 hours"))
+    return _interval_text(collector.interval_stats(raw_logs(spark, sf), COLLECTOR, SPAN_MS))
+
+
+@query
+def interval_stats_unlimited(spark, sf):
+    return _interval_text(collector.interval_stats(raw_logs(spark, sf), STREAM, SPAN_MS))
 
 
 def _interval_text(rows: DataFrame) -> DataFrame:
@@ -376,6 +388,11 @@ def rate_limit_global(spark, sf):
     return _named(rate_limit(raw_logs(spark, sf), GLOBAL, key=None))
 
 
+@query
+def q_rate_limit_bytes(spark, sf):
+    return _named(rate_limit_bytes(raw_logs(spark, sf), BYTES))
+
+
 @query
 def collector_batch(spark, sf):
     return collector.collect(raw_logs(spark, sf), COLLECTOR).select(
@@ -406,20 +423,20 @@ def hostname_override(spark, sf):
 
 @query
 def export_range(spark, sf):
-    return filters.in_time_range(
-        _entries(spark, sf), "2024-01-05", "2024-01-09 12:00:00").select(
+    return filters.entries_in_range(
+        raw_logs(spark, sf), "2024-01-05", "2024-01-09 12:00:00", now=NOW, year=2024).select(
         "source", "line_number", "timestamp", "message")
 
 
 @query
 def export_range_by_time(spark, sf):
-    return filters.in_time_range(
-        _entries(spark, sf), "2024-01-05", "2024-01-09 12:00:00", by="event_time").select(
+    return filters.entries_in_range(
+        raw_logs(spark, sf), "2024-01-05", "2024-01-09 12:00:00", by="event_time", now=NOW, year=2024).select(
         "source", "line_number", "timestamp", "message")
 
 
 def _export(spark, sf, output_format: str) -> DataFrame:
-    ranged = filters.in_time_range(_entries(spark, sf), end="2024-01-20")
+    ranged = filters.entries_in_range(raw_logs(spark, sf), end="2024-01-20", now=NOW, year=2024)
     return ordering.first_n(ranged, 500).select(
         "source", "line_number", formats.formatted(output_format).alias("text"))
 
@@ -574,8 +591,31 @@ def stream_collector_limited(spark, sf):
         out).drop("batch")
 
 
+@query
+def stream_counters(spark, sf):
+    """The five totals of every micro-batch of the limited collector, and those up to it."""
+    out = new_path(spark, "counted")
+    write = streams.parquet_sink(out)
+    _replay(spark, sf, out, sink=monitor.counted_sink(
+        COLLECTOR, lambda rows, i: write(rows.select("output"), i), f"{out}-buckets", f"{out}-counters"))
+    return monitor.counter_totals(spark, f"{out}-counters")
+
+
 @query
 def stream_stats(spark, sf):
+    """The five totals by intervals of the lines' time; every micro-batch adds what it changes."""
+    out = new_path(spark, "totals")
+    write = streams.parquet_sink(out)
+    _replay(spark, sf, out, sink=lambda batch, i: write(collector.interval_deltas(
+        batch, COLLECTOR, SPAN_MS, state_dir=f"{out}-buckets", batch_id=i), i))
+    deltas = spark.read.schema(
+        "interval_start timestamp, " + ", ".join(f"{n} bigint" for n in collector.TOTALS)).parquet(out)
+    summed = deltas.groupBy("interval_start").agg(*[F.sum(n).alias(n) for n in collector.TOTALS])
+    return _interval_text(stats.cumulative(summed, SPAN_MS, collector.TOTALS))
+
+
+@query
+def stream_interval_lines(spark, sf):
     out = new_path(spark, "totals")
     _replay(spark, sf, out, lambda lines: streams.interval_totals(
         lines.withColumn("time", F.col("ts").cast("timestamp")), "time", "6 hours",
@@ -585,5 +625,5 @@ def stream_stats(spark, sf):
         "interval_start timestamp, lines bigint, bytes bigint, batch bigint").parquet(out)
     latest = updates.groupBy("interval_start").agg(
         F.max_by(F.struct("lines", "bytes"), "batch").alias("last")).select(
-        "interval_start", "last.lines", "last.bytes")
-    return _interval_text(stats.cumulative(latest))
+        "interval_start", F.col("last.lines").alias("total_lines"), F.col("last.bytes").alias("bytes_processed"))
+    return _interval_text(stats.cumulative(latest, SPAN_MS, ("total_lines", "bytes_processed")))

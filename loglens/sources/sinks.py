@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loglens.functions.formats import formatted
 from loglens.operators.ordering import running_total
+from loglens.sources.shared import materialize
 
 # Hadoop codecs. The one for zstd needs Hadoop's native library on the executors;
 # without it the write fails, nothing is silently left uncompressed.
@@ -34,10 +35,24 @@ def write_text(entries: DataFrame, path: str, *, output_format: str = "plain",
         .option("maxRecordsPerFile", max_records_per_file).text(path))
 
 
-def write_table(entries: DataFrame, path: str, *, mode: str = "append") -> None:
-    """Write typed entries as parquet, one folder per day of ``event_time``."""
-    dated = entries.withColumn("date", F.to_date("event_time"))
-    dated.write.mode(mode).partitionBy("date").parquet(path)
+#: Folder of entries without a time.
+UNDATED = "undated"
+
+
+def write_table(entries: DataFrame, path: str, *, mode: str = "append", rows_per_file: int = 5_000_000) -> None:
+    """Write typed entries as parquet, one folder per day of ``event_time`` and one for entries without.
+
+    Days are counted first, and each is dealt to as many tasks as it has files of ``rows_per_file`` rows: so a day has few files, however many
+    tasks read the input, and a hot day is written by many.
+    """
+    dated = entries.withColumn("date", F.coalesce(F.to_date("event_time").cast("string"), F.lit(UNDATED)))
+    counts = materialize(dated.groupBy("date").agg(
+        F.ceil(F.count(F.lit(1)) / rows_per_file).cast("int").alias("_files")), "days")
+    files = counts.agg(F.sum("_files")).first()[0] or 1
+    # One row per day; its size is known, as it is stored. The file follows from the row, so a task that runs again deals alike.
+    salted = dated.join(counts, "date").withColumn(
+        "_file", F.pmod(F.xxhash64("source", "line_number", "message"), F.col("_files")))
+    salted.repartition(files, "date", "_file").drop("_files", "_file").write.mode(mode).partitionBy("date").parquet(path)
 
 
 def size_buckets(rows: DataFrame, max_bytes: int, text: str = "value") -> DataFrame:
@@ -67,7 +82,7 @@ def apply_retention(spark: SparkSession, path: str, keep: int, date: str = "date
     folders = sorted(
         (s.getPath() for s in system.listStatus(root)
          if s.isDirectory() and s.getPath().getName().startswith(prefix)
-         and not s.getPath().getName().endswith("__HIVE_DEFAULT_PARTITION__")),
+         and not s.getPath().getName().endswith(("__HIVE_DEFAULT_PARTITION__", f"={UNDATED}"))),
         key=lambda p: p.getName(), reverse=True)
     for folder in folders[keep:]:
         system.delete(folder, True)

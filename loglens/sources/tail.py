@@ -67,6 +67,27 @@ def _complete_size(source: pa.NativeFile, size: int, floor: int) -> int:
     return floor
 
 
+def _infos(paths: list[str]) -> dict[str, fs.FileInfo]:
+    """The paths that are files, asked for in one call per file system."""
+    found = {}
+    systems: dict[tuple[str, str], tuple[fs.FileSystem, list]] = {}
+    for path in paths:
+        system, name = _locate(path)
+        store = path.split("/", 3)[2] if "://" in path and not path.startswith("file:") else ""
+        systems.setdefault((system.type_name, store), (system, []))[1].append((path, name))
+    for system, names in systems.values():
+        for (path, _), info in zip(names, system.get_file_info([n for _, n in names])):
+            if info.type == fs.FileType.File:
+                found[path] = info
+    return found
+
+
+def missing(paths: list[str]) -> list[str]:
+    """The paths that are no files just now."""
+    found = _infos(paths)
+    return [path for path in paths if path not in found]
+
+
 class TailReader(DataSourceStreamReader):
     """Offset: per path the position behind the last whole line seen and a fingerprint of what is before it.
 
@@ -96,15 +117,7 @@ class TailReader(DataSourceStreamReader):
         self._whole: dict[str, tuple[int, int]] = {}
 
     def _files(self) -> dict[str, fs.FileInfo]:
-        found = {}
-        systems: dict[str, tuple[fs.FileSystem, list]] = {}
-        for path in self.paths:
-            system, name = _locate(path)
-            systems.setdefault(str(system.type_name), (system, []))[1].append((path, name))
-        for system, names in systems.values():
-            for (path, _), info in zip(names, system.get_file_info([n for _, n in names])):
-                if info.type == fs.FileType.File:
-                    found[path] = info
+        found = _infos(self.paths)
         if self.directory:
             system, name = _locate(self.directory)
             # Regular files of the folder itself, not of folders below it.

@@ -101,12 +101,13 @@ def interval_totals(lines: DataFrame, time: str, interval: str, late: str) -> Da
 
 
 def run(rows: DataFrame, checkpoint: str, hooks: list[Hook], *, once: bool = True,
-        every: str = "1 second", output_mode: str = "append") -> StreamingQuery:
+        every: str = "1 second", output_mode: str = "append", name: str | None = None,
+        on_hook_error: Callable[[str], None] | None = None) -> StreamingQuery:
     """Start a query that hands every micro-batch to the hooks.
 
-    The first hook is the sink: its errors stop the query, so the batch is tried again. Errors
-    of the others are logged and do not disturb the stream. ``once`` handles what is there and
-    ends.
+    The first hook is the sink: its errors stop the query, so the batch is tried again; ``monitor.ErrorListener``
+    hears of that. Errors of the others are logged, told to ``on_hook_error`` and do not disturb the stream. ``once``
+    handles what is there and ends.
     """
     sink, others = hooks[0], hooks[1:]
 
@@ -117,13 +118,17 @@ def run(rows: DataFrame, checkpoint: str, hooks: list[Hook], *, once: bool = Tru
         for hook in others:
             try:
                 hook(batch, batch_id)
-            except Exception:
+            except Exception as error:
                 log.exception("a hook failed on batch %s", batch_id)
+                if on_hook_error:
+                    on_hook_error(f"batch {batch_id}: {error!r}")
         if others:
             batch.unpersist()
 
     writer = (rows.writeStream.foreachBatch(on_batch).outputMode(output_mode)
               .option("checkpointLocation", checkpoint))
+    if name:
+        writer = writer.queryName(name)
     if once:
         return writer.trigger(availableNow=True).start()
     return writer.trigger(processingTime=every).start()

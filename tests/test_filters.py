@@ -83,3 +83,57 @@ def test_search_entries(lines):
 def test_match_position_is_of_the_match(lines):
     row = search.match_position(lines("concat cat"), r"\bcat").first()
     assert (row.match_start, row.match_length, row.match_text) == (8, 3, "cat")
+
+
+RANGES = [("2025-01-02", "2025-01-04"), ("2025-01-02 10:00:00", None), (None, "2025-01-03"), ("2025-01-03 00:00:00", "2025-01-03 00:00:00"),
+          ("2024", "2026"), ("Jan", None)]
+
+
+@pytest.mark.parametrize("by", ["timestamp", "event_time"])
+@pytest.mark.parametrize("now", ["2030-01-01 00:00:00", "2025-01-03 12:00:00", None])
+@pytest.mark.parametrize("start, end", RANGES)
+def test_raw_test_of_a_range_lets_every_entry_of_it_through(lines, by, now, start, end):
+    if by == "event_time" and (start in ("2024", "Jan") or now is None):
+        pytest.skip("no time point, or one that changes between two queries")
+    rows = lines(*[f"2025-01-0{d} {h}:00:00 {w} x" for d in range(1, 6) for h in ("00", "10") for w in ("INFO", "[ERROR]")],
+                 "2025-01-03", "2025-01-03 00:00:00", "2024-99-99 00:00:00 INFO x", "Jan  3 10:00:00 host app: m", "....-..-.", "", "plain")
+    slow = filters.in_time_range(parse(rows, now=now, year=2025), start, end, by)
+    fast = filters.entries_in_range(rows, start, end, by, now=now, year=2025)
+    key = lambda df: sorted((r.line_number, r.message) for r in df.collect())
+    assert key(fast) == key(slow)
+
+
+def test_range_that_holds_now_keeps_lines_that_begin_with_a_date(lines):
+    # no level word, so the line is stamped with now
+    rows = lines("2025-01-01", "2025-01-03 00:00:00 INFO x")
+    found = filters.entries_in_range(rows, "2025-01-03", "2025-01-05", now="2025-01-04 00:00:00")
+    assert sorted(r.line_number for r in found.collect()) == [1, 2]
+
+
+def parses(df):
+    """How often the regular expression of a line stands in the plan."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(r"^(?:(\w{3}")
+
+
+@pytest.mark.parametrize("name", ["export_range", "export_range_by_time", "collector_batch", "export_json"])
+def test_lines_are_parsed_once(spark, name):
+    from loglens.plans.queries import QUERIES
+    assert parses(QUERIES[name](spark, "/root/testdata/sf0.001")) == 1
+
+
+def test_intervals_read_and_parse_lines_once(lines):
+    from loglens.plans import collector
+    rows = lines("a").withColumn("event_ms", F.lit(5).cast("bigint"))
+    assert parses(collector.interval_deltas(rows, collector.CollectorConfig(now=NOW, filter=FilterSpec(min_severity="INFO")), 10)) == 1
+
+
+def test_severity_sets_are_looked_up_in_the_entry(lines):
+    from loglens.plans import collector
+    config = collector.CollectorConfig(now="2030-01-01 00:00:00", filter=FilterSpec(
+        include=(Pattern("a"),), exclude=("b",), severities=("ERROR",), min_severity="WARNING"))
+    rows = lines("a ERROR", "b ERROR", "ERROR", "a INFO", "a WARN", "WARN", "ab ERROR")
+    entries = collector.collect(rows, config)
+    assert parses(entries) == 1
+    old = rows.filter(config.filter.condition(F.col("value"))).join(
+        parse(rows, now=config.now).filter("severity_rank >= 2").select("line_number"), "line_number")
+    assert sorted(r.line_number for r in entries.collect()) == sorted(r.line_number for r in old.collect()) != []

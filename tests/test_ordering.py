@@ -139,3 +139,37 @@ def test_context_counts_only_first_matches(lines):
         (1, True), (2, False), (3, True), (4, False)]
     csv = search.search_csv(search.search_context(lines('say "x"'), "x")).first().csv
     assert csv == '1,"say ""x""",1'
+
+
+@pytest.mark.parametrize("context", [2, 200])
+def test_dense_context_makes_no_row_per_shown_line(spark, lines, context):
+    rows = lines(**{"s": [f"hit {i}" if i % 3 else f"no {i}" for i in range(3000)], "t": ["no"] * 500 + ["hit"] + ["no"] * 500})
+    hits = rows.filter(F.col("value").startswith("hit")).select("source", "line_number")
+    ranges = search.context_ranges(hits, context)
+    assert ranges.count() <= 3000 / search._block_lines(context) + 8
+    assert ranges.agg(F.max(F.size("_ranges"))).first()[0] <= 2 * search._block_lines(context) // (2 * context + 1) + 4
+    got = search.search_context(rows, "^hit", context=context)
+    assert got.filter("source = 't.log'").count() == 2 * context + 1
+    assert got.filter("source = 's.log'").count() == 3000
+    assert got.filter("is_match").count() == 2001
+
+
+def test_context_without_matches_and_with_null_lines(spark):
+    rows = spark.createDataFrame([("a", 1, None), ("a", 2, "hit"), ("a", 3, None)], "source string, line_number bigint, value string")
+    assert search.search_context(rows, "none", context=3).count() == 0
+    assert search.search_context(rows, "none", context=3, max_count=2).count() == 0
+    assert [(r.line_number, r.is_match) for r in search.search_context(rows, "hit", context=1).orderBy("line_number").collect()] == [
+        (1, False), (2, True), (3, False)]
+
+
+def test_first_n_beyond_one_task(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "MAX_FIRST", 10)
+    rows = spark.range(0, 2000, 1, 7).select(
+        (F.col("id") % 3).cast("string").alias("source"), (F.col("id") * 7 % 2003).alias("line_number"), F.col("id").alias("value"))
+    every = sorted((r.source, r.line_number) for r in rows.collect())
+    for n in (11, 700, 1999, 2000, 5000):
+        got = ordering.first_n(rows, n)
+        assert sorted((r.source, r.line_number) for r in got.collect()) == every[:n]
+        assert got.columns == rows.columns
+        assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    assert ordering.first_n(rows.limit(0), 100).count() == 0

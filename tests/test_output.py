@@ -156,3 +156,21 @@ def test_csv_header_in_every_file(spark, entry, tmp_path):
     back = spark.read.csv(str(tmp_path / "out"), header=True, escape='"', ignoreTrailingWhiteSpace=False,
                           ignoreLeadingWhiteSpace=False)
     assert sorted(r.message for r in back.collect()) == sorted(texts)
+
+
+def test_days_have_few_files_and_a_hot_day_many_writers(spark, lines, tmp_path):
+    path = tmp_path / "table"
+    texts = [f"2025-01-01 00:00:{i % 60:02d} INFO hot {i}" for i in range(400)] + [
+        f"2025-01-0{d} 00:00:00 INFO x{d}" for d in (2, 3, 4) for _ in range(5)] + ["Jan  1 00:00:00 h app: no year"] * 3
+    rows = parse(lines(*texts).repartition(16), now=NOW)
+    sinks.write_table(rows, str(path), rows_per_file=50)
+    files = {f.name.split("=")[1]: len(list(f.glob("part-*.parquet"))) for f in path.glob("date=*")}
+    assert set(files) == {"2025-01-01", "2025-01-02", "2025-01-03", "2025-01-04", sinks.UNDATED}
+    assert 2 <= files.pop("2025-01-01") <= 8 and set(files.values()) == {1}
+    back = spark.read.parquet(str(path))
+    assert back.count() == len(texts)
+    assert back.where(F.col("date") == sinks.UNDATED).count() == 3
+    # what has no time is no day, so retention leaves it
+    kept, dropped = sinks.apply_retention(spark, str(path), 1)
+    assert kept == ["2025-01-04"] and len(dropped) == 3 and (path / f"date={sinks.UNDATED}").exists()
+    sinks.write_table(rows.limit(0), str(tmp_path / "none"))

@@ -1,9 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loglens.operators import ratelimit as rl
-from loglens.operators.ratelimit import RateLimit
+from loglens.operators.ratelimit import ByteLimit, RateLimit
 
 
 def walk(arrivals, limit):
@@ -36,11 +37,24 @@ def random_arrivals(rnd, keys, count):
     return arrivals
 
 
+def shapes(counted, limit):
+    """Per chunk: first and last time, what an empty and a full bucket come to, and the unclamped sum."""
+    chunks = {}
+    for key, chunk, ms, n in counted:
+        chunks.setdefault((key, chunk), []).append((ms, n))
+    for (key, chunk), moments in sorted(chunks.items()):
+        low, high, shift, last = 0, limit.cap, 0, moments[0][0]
+        for ms, n in moments:
+            waited, added = (ms - last) * limit.gain, n * limit.cost
+            low, high = (min(max(x - waited, 0) + added, limit.cap) for x in (low, high))
+            shift, last = shift + added - waited, ms
+        yield key, chunk, moments[0][0], last, low, high, shift
+
+
 def in_chunks(pairs, limit, chunk):
     """The chunk steps put together in plain Python."""
     counted = sorted((k, ms // chunk, ms, n) for k, ms, n in pairs)
-    starts = {(k, c): (ms, u) for k, c, ms, u in rl._chunk_starts(limit)(
-        iter(sorted(rl._chunk_shapes(limit)(iter(counted)))))}
+    starts = {(k, c): (ms, u) for k, c, ms, u in rl._chunk_starts(limit)(shapes(counted, limit))}
     begun = [(*row, *starts[row[:2]]) for row in counted]
     phases = {}
     if limit.cost > 1:
@@ -86,6 +100,69 @@ def test_phase_pieces_equal_trying_every_phase():
             assert hits == [phase] or (not hits and phase == entry)
 
 
+def test_chunk_shapes_on_the_jvm(spark):
+    rnd = random.Random(6)
+    for _ in range(4):
+        limit = random_limit(rnd)
+        counts = {}
+        for key, ms, _name in random_arrivals(rnd, "abc", 200):
+            counts[key, ms // 20, ms] = counts.get((key, ms // 20, ms), 0) + 1
+        counted = [(*k, n) for k, n in sorted(counts.items())]
+        rows = spark.createDataFrame(counted, "_key string, _chunk bigint, _ms bigint, _n bigint").repartition(3)
+        assert sorted(map(tuple, rl._chunk_shapes(rows, limit).collect())) == list(shapes(counted, limit))
+
+
+def byte_walk(rows, limit):
+    """Lines kept by one bucket of bytes per key, refused lines charging too; rows are (key, number, size, ms)."""
+    cap, tokens, clock, kept = limit.burst * limit.window_ms, {}, {}, []
+    for key, number, size, ms in rows:
+        held = min(cap, tokens.get(key, cap) + (ms - clock.get(key, ms)) * limit.max_bytes)
+        if held >= size * limit.window_ms:
+            kept.append((key, number))
+        tokens[key], clock[key] = max(held - size * limit.window_ms, 0), ms
+    return kept
+
+
+@pytest.mark.parametrize("limit", [ByteLimit(7, 10, 40), ByteLimit(100, 7, 300), ByteLimit(1, 3, 9), ByteLimit(5, 5, 0)])
+def test_rate_limit_bytes(spark, monkeypatch, limit):
+    monkeypatch.setattr(rl, "CHUNK_MS", 25)
+    rnd = random.Random(8)
+    arrivals = random_arrivals(rnd, "a", 500) + random_arrivals(rnd, "bc", 40)
+    rows, numbers = [], {}
+    for key, ms, _name in arrivals:
+        numbers[key] = numbers.get(key, 0) + 1
+        rows.append((key, numbers[key], "x" * rnd.choice([0, 1, 3, 9, 50]), ms))
+    lines = spark.createDataFrame(rows, "source string, line_number bigint, value string, event_ms bigint").repartition(5)
+    got = sorted((r.source, r.line_number) for r in rl.rate_limit_bytes(lines, limit).collect())
+    sized = [(k, i, len(v), ms) for k, i, v, ms in rows]
+    assert got == sorted(byte_walk(sized, limit))
+    one = sorted(sized, key=lambda r: (r[3], r[0], r[1]))
+    got = sorted((r.source, r.line_number) for r in rl.rate_limit_bytes(lines, limit, key=None).collect())
+    kept = byte_walk([("all", n, r[2], r[3]) for n, r in enumerate(one)], limit)
+    wanted = [(one[n][0], one[n][1]) for _, n in kept]
+    assert got == sorted(wanted)
+
+
+def test_byte_limit_edges(spark):
+    lines = table(spark, [("a", 1, "xyz"), ("a", 1, "")]).unionByName(
+        spark.createDataFrame([("a", 9, None, 1)], "source string, line_number bigint, value string, event_ms bigint"))
+    assert rl.rate_limit_bytes(lines, ByteLimit(0)).count() == 3
+    assert sorted(r.line_number for r in rl.rate_limit_bytes(lines, ByteLimit(1, 1, 2)).collect()) == [2, 9]
+    assert rl.rate_limit_bytes(lines.limit(0), ByteLimit(1, 1, 2)).count() == 0
+    with pytest.raises(ValueError):
+        ByteLimit(1, 0)
+
+
+def test_one_hot_key_of_bytes_is_replayed_in_parallel(spark, conf, monkeypatch):
+    monkeypatch.setattr(rl, "CHUNK_MS", 50)
+    conf(spark__sql__adaptive__enabled="false")
+    lines = table(spark, random_arrivals(random.Random(9), "a", 5_000))
+    tasks = rl._over_sorted(
+        rl.arrivals(lines).withColumn("_chunk", F.floor(F.col("_ms") / 50)), ["_key", "_chunk"], ["_ms"], ["_key", "_chunk", "_ms", "_n"],
+        lambda rows: ((key, chunk) for key, chunk, _, _ in rows), "_key string, _chunk bigint")
+    assert tasks.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def table(spark, arrivals):
     rows, numbers = [], {}
     for key, ms, name in arrivals:
