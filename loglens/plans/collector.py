@@ -13,6 +13,7 @@ from loglens.functions.parse import line_bytes, parse
 from loglens.functions.tags import add_global_tags, override_hostname
 from loglens.operators.filters import FilterSpec
 from loglens.operators import stats
+from loglens.operators.ordering import number_in_order
 from loglens.operators.ratelimit import RateLimit, arrivals, grant, limited_batch, rate_limit, rate_limit_batch
 from loglens.sources.shared import materialize
 
@@ -252,3 +253,44 @@ def stats_json(lines: DataFrame, config: CollectorConfig, *, start_time: str, la
         F.lit(start_time).alias("start_time"), F.lit(last_update).alias("last_update"),
         by_level.alias("severity_counts"),
         F.map_from_entries("sources").alias("source_counts"))).alias("json"))
+
+
+def _without_brace(json: Column) -> Column:
+    """A JSON object without its last character."""
+    return F.regexp_replace(json, r"\}\z", "")
+
+
+def stats_json_parts(lines: DataFrame, config: CollectorConfig, *, start_time: str, last_update: str,
+                     per_part: int = 1000) -> DataFrame:
+    """``part, json``: the text of ``stats_json`` in parts, which make the object when put together in their order.
+
+    The first part has the totals and counts by level, each of those that follow the counts of ``per_part`` sources,
+    the last closes the object. So no row grows with the number of sources.
+    """
+    read, accepted, written = _stage_rows(lines, config)
+    read = materialize(read, "read")
+    level = F.when(F.col("severity").isNotNull(), F.struct(
+        F.array_position(F.array(*[F.lit(name) for name in sev.LEVELS]), F.col("severity")), "severity", "filtered_lines"))
+    dropped = F.coalesce(F.sum(F.col("total_lines") - F.col("accepted")), F.lit(0))
+    # sources are summed up first, so the list has a row per level
+    sums = read.agg(F.sum("total_lines").alias("total_lines"), F.sum("bytes_processed").alias("bytes_processed"))
+    row = _totals((sums, accepted, written)).agg(
+        _total("total_lines"), _total("filtered_lines"), dropped.alias("dropped_lines"), _total("bytes_processed"),
+        _total("bytes_written"), F.array_sort(F.collect_list(level)).alias("levels"))
+    head = F.to_json(F.struct(
+        "total_lines", "filtered_lines", "dropped_lines", "bytes_processed", "bytes_written",
+        F.lit(start_time).alias("start_time"), F.lit(last_update).alias("last_update"),
+        F.map_from_entries(F.transform("levels", lambda x: F.struct(x["severity"], x["filtered_lines"]))).alias("severity_counts")))
+    first = row.select(F.lit(0).cast("bigint").alias("part"), F.concat(
+        _without_brace(head), F.lit(',"source_counts":{')).alias("json"))
+    numbered = number_in_order(read.filter("source IS NOT NULL").select("source", "total_lines"), ("source",), "place")
+    pair = F.to_json(F.create_map(F.col("source"), F.col("total_lines")))
+    pairs = numbered.select(
+        "place", F.floor((F.col("place") - 1) / per_part).alias("group"),
+        _without_brace(F.ltrim(pair, F.lit("{"))).alias("text"))
+    grouped = pairs.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("pairs"))
+    middle = grouped.select((F.col("group") + 1).cast("bigint").alias("part"), F.concat(
+        F.when(F.col("group") > 0, ",").otherwise(""),
+        F.array_join(F.transform("pairs", lambda x: x["text"]), ",")).alias("json"))
+    last = lines.sparkSession.createDataFrame([((1 << 62), "}}")], "part bigint, json string")
+    return first.unionByName(middle).unionByName(last)

@@ -372,6 +372,19 @@ SELECT '{{"total_lines":' || (SELECT count(*) FROM logs)
   || {_LEVEL_JSON.replace("FROM_TABLE", "collected")}
   || ',"source_counts":' || (SELECT '{{' || string_agg('"' || source || '":' || n, ',' ORDER BY source) || '}}'
     FROM (SELECT source, count(*) AS n FROM logs GROUP BY 1)) || '}}' AS json"""),
+    "stats_json_parts": _collector(f"""
+SELECT 0::BIGINT AS part, '{{"total_lines":' || (SELECT count(*) FROM logs)
+  || ',"filtered_lines":' || (SELECT count(*) FROM collected)
+  || ',"dropped_lines":' || ((SELECT count(*) FROM logs) - (SELECT count(*) FROM limited))
+  || ',"bytes_processed":' || (SELECT sum(strlen(value)) FROM logs)
+  || ',"bytes_written":' || (SELECT {_written('collected')} FROM collected)
+  || ',"start_time":"{NOW}","last_update":"{NOW}","severity_counts":'
+  || {_LEVEL_JSON.replace("FROM_TABLE", "collected")} || ',"source_counts":{{' AS json
+UNION ALL
+SELECT 1 + (place - 1) // 2, CASE WHEN place > 2 THEN ',' ELSE '' END || string_agg('"' || source || '":' || n, ',' ORDER BY source)
+FROM (SELECT source, n, place, (place - 1) // 2 AS g FROM (
+  SELECT source, count(*) AS n, row_number() OVER (ORDER BY source) AS place FROM logs GROUP BY 1)) GROUP BY g, 1 + (place - 1) // 2, place > 2
+UNION ALL SELECT 1::BIGINT << 62, '}}}}'"""),
     "interval_lines": _logs(_INTERVALS),
     "interval_stats": _collector_totals(_SPANS, _INTERVAL_TOTALS),
     "interval_stats_unlimited": _logs(_INTERVAL_TOTALS, """,

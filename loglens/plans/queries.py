@@ -351,6 +351,12 @@ def stats_json(spark, sf):
     return collector.stats_json(raw_logs(spark, sf), COLLECTOR, start_time=NOW, last_update=NOW)
 
 
+@query
+def stats_json_parts(spark, sf):
+    return collector.stats_json_parts(
+        raw_logs(spark, sf), COLLECTOR, start_time=NOW, last_update=NOW, per_part=2)
+
+
 @query
 def interval_lines(spark, sf):
     return _interval_text(stats.interval_stats(raw_logs(spark, sf), "ts", SPAN_MS))

@@ -9,49 +9,45 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 MAX_BROADCAST_SPLITS = 250_000
 
 
-def _statuses(spark: SparkSession, path: str) -> list:
+def _matches(spark: SparkSession, path: str):
+    """What is at a path or matches a glob: a list in the JVM, of which nothing but its length need come here."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    return list(system.globStatus(target) or [])
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target) or ()
 
 
-def _text_of(status) -> str:
-    uri = status.getPath().toUri()
-    return uri.getPath() if uri.getScheme() == "file" else status.getPath().toString()
+def listed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``path`` of the files that paths stand for, one row for each time; Spark lists them, many folders as a job."""
+    # The content of files that only their names are asked of is never read.
+    return spark.read.format("binaryFile").load(paths).select("path")
 
 
 def expand(spark: SparkSession, path: str) -> list[str]:
-    """Files a path stands for: glob matches, and the visible files of a folder."""
-    files = []
-    for status in _statuses(spark, path):
-        if status.isDirectory():
-            inside = _statuses(spark, f"{status.getPath().toString()}/*")
-            files += [_text_of(s) for s in inside
-                      if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
-        else:
-            files.append(_text_of(status))
-    return files
+    """Files a path stands for, in order of their names: glob matches, and the visible files of a folder."""
+    if not len(_matches(spark, path)):
+        return []
+    name = F.regexp_replace("path", "^file:/+", "/")
+    return [r[0] for r in listed(spark, [path]).select(name.alias("path")).orderBy("path").collect()]
 
 
 def split_missing(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[str]]:
     """Paths of the list, duplicates dropped, as (those that exist, those that do not)."""
     unique = list(dict.fromkeys(paths))
-    found = {p: bool(_statuses(spark, p)) for p in unique}
+    found = {p: len(_matches(spark, p)) > 0 for p in unique}
     return [p for p in unique if found[p]], [p for p in unique if not found[p]]
 
 
 def _distinct(spark: SparkSession, paths: list[str]) -> list[str]:
-    """The list with no file in it twice, be it by name, by glob or within a listed folder."""
+    """The list with no file in it twice, be it by name, by glob or within a listed folder.
+
+    Mostly no file is, which Spark finds out; only else the names come here.
+    """
     unique = list(dict.fromkeys(paths))
-    if len(unique) == 1:
+    if len(unique) == 1 or any(not len(_matches(spark, p)) for p in unique):
         return unique
-    found = dict.fromkeys(_text_of(s) for p in unique for s in _statuses(spark, p))
-
-    def covered(path: str) -> bool:
-        parts = path.split("/")
-        return any("/".join(parts[:i]) in found for i in range(1, len(parts)))
-
-    return [p for p in found if not covered(p)] or unique
+    files = listed(spark, unique)
+    if files.groupBy("path").count().where("count > 1").isEmpty():
+        return unique
+    return [r[0] for r in files.distinct().orderBy("path").collect()]
 
 
 def plain_path(uri: Column) -> Column:
@@ -76,7 +72,8 @@ def _max_splits(text: DataFrame) -> int:
     parallel = max(spark.sparkContext.defaultParallelism, 1)
     split_bytes = min(
         conf.filesMaxPartitionBytes(), max(conf.filesOpenCostInBytes(), total // parallel))
-    return total // max(split_bytes, 1) + len(text.inputFiles())
+    # the names stay in the JVM
+    return total // max(split_bytes, 1) + len(text._jdf.inputFiles())
 
 
 def read_unnumbered(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import fnmatch
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import quote
 
 import numpy as np
@@ -18,6 +19,9 @@ from pyspark.sql.types import StructType
 CHUNK_BYTES = 8 * 1024 * 1024
 BLOCK_BYTES = 1024 * 1024
 PRINT_BYTES = 256
+# Files that the driver looks into at the same time.
+OPEN_FILES = 32
+_GONE = object()
 START = {"pos": 0, "print": ""}
 
 
@@ -82,6 +86,21 @@ def _infos(paths: list[str]) -> dict[str, fs.FileInfo]:
     return found
 
 
+def _each(paths: Iterable[str], look: Callable[[pa.NativeFile, str], object]) -> dict[str, object]:
+    """What ``look`` finds in each file, many opened at a time; files that are gone since they were listed are left out."""
+    def one(path: str) -> object:
+        system, name = _locate(path)
+        try:
+            with system.open_input_file(name) as source:
+                return look(source, path)
+        except FileNotFoundError:
+            return _GONE
+
+    with ThreadPoolExecutor(OPEN_FILES) as pool:
+        found = dict(zip(paths, pool.map(one, paths)))
+    return {path: x for path, x in found.items() if x is not _GONE}
+
+
 def missing(paths: list[str]) -> list[str]:
     """The paths that are no files just now."""
     found = _infos(paths)
@@ -140,15 +159,13 @@ class TailReader(DataSourceStreamReader):
         changed = {p: i for p, i in files.items() if self._whole.get(p) != (i.size, i.mtime_ns)}
         share = max(self.most // len(changed), 1) if self.most and changed and self._given is not None else None
         offset = {**self._away, **(self._given or {})}
-        for path, info in changed.items():
-            system, name = _locate(path)
-            try:
-                with system.open_input_file(name) as source:
-                    offset[path], whole = self._reached(source, info.size, offset.get(path, START), share)
-            except FileNotFoundError:  # gone since it was listed
-                continue
+        before = dict(offset)
+        reached = _each(changed, lambda source, path: self._reached(
+            source, changed[path].size, before.get(path, START), share))
+        for path, (place, whole) in reached.items():
+            offset[path] = place
             if whole:
-                self._whole[path] = (info.size, info.mtime_ns)
+                self._whole[path] = (changed[path].size, changed[path].mtime_ns)
         self._given = offset
         return offset
 
@@ -163,19 +180,13 @@ class TailReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[ByteRange]:
         self._away.update({p: old for p, old in start.items() if p not in end})
+        before = {path: start.get(path) or self._away.get(path) or START for path in end}
+        moved = [path for path, new in end.items() if before[path] != new]
+        goes_on = _each(moved, lambda source, path: _continues(source, before[path], end[path]["pos"]))
         ranges = []
-        for path, new in end.items():
-            old, stop = start.get(path) or self._away.get(path) or START, new["pos"]
-            if old == new:
-                continue
-            begin = 0
-            system, name = _locate(path)
-            try:
-                with system.open_input_file(name) as source:
-                    if _continues(source, old, stop):
-                        begin = old["pos"]
-            except FileNotFoundError:
-                continue
+        for path, same in goes_on.items():
+            new, stop = end[path], end[path]["pos"]
+            begin = before[path]["pos"] if same else 0
             for at in range(begin, stop, self.chunk):
                 ranges.append(ByteRange(path, at, min(at + self.chunk, stop), stop, at == begin, new["print"]))
         return ranges

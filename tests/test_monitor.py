@@ -1,3 +1,4 @@
+import json
 import time
 
 import pytest
@@ -208,3 +209,13 @@ def test_running_sums_against_a_plain_sum(spark):
         got = stats.running_sums(rows, F.col("at"), ("a", "b"), group).orderBy("at").collect()
         assert [r.before_b for r in got] == list(range(len(numbers)))
         assert [r.before_a for r in got] == [sum(x % 7 + 1 for x in numbers[:i]) for i in range(len(numbers))]
+
+
+@pytest.mark.parametrize("config", [CONFIG, LIMITED])
+def test_statistics_in_parts_make_one_object(spark, config):
+    rows = stamped(spark, [*some(60), ('o"d}', 1, "keep WARN", 5), (None, 2, "keep", 5)]).repartition(3)
+    whole = collector.stats_json(rows, config, start_time="a", last_update="b").first().json
+    parts = collector.stats_json_parts(rows, config, start_time="a", last_update="b", per_part=2).orderBy("part").collect()
+    assert json.loads("".join(r.json for r in parts)) == json.loads(whole) and len(parts) == 4
+    empty = collector.stats_json_parts(rows.limit(0), config, start_time="a", last_update="b").orderBy("part").collect()
+    assert json.loads("".join(r.json for r in empty))["source_counts"] == {}

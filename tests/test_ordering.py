@@ -173,3 +173,33 @@ def test_first_n_beyond_one_task(spark, monkeypatch):
         assert got.columns == rows.columns
         assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
     assert ordering.first_n(rows.limit(0), 100).count() == 0
+
+
+def test_listing_asks_the_jvm_as_often_for_many_files_as_for_few(spark, tmp_path, monkeypatch):
+    client = spark.sparkContext._gateway._gateway_client
+    calls, send = [0], client.send_command
+
+    def counted(*args, **kwargs):
+        calls[0] += 1
+        return send(*args, **kwargs)
+
+    monkeypatch.setattr(client, "send_command", counted)
+    asked = []
+    for n in (2, 25):
+        folders = [tmp_path / f"{part}{n}" for part in "ab"]
+        for folder in folders:
+            folder.mkdir()
+            for i in range(n):
+                (folder / f"{i:02d}.log").write_text("x\n")
+        calls[0] = 0
+        source.read_lines(spark, [str(f) for f in folders])
+        assert source.expand(spark, str(folders[0])) == [str(folders[0] / f"{i:02d}.log") for i in range(n)]
+        asked.append(calls[0])
+    assert abs(asked[1] - asked[0]) < 20
+
+
+def test_a_file_listed_twice_is_read_once(spark, tmp_path):
+    for n in "ab":
+        (tmp_path / f"{n}.log").write_text("x\ny\n")
+    paths = [str(tmp_path), str(tmp_path / "a.log"), str(tmp_path / "*.log")]
+    assert sorted(r.source for r in source.read_lines(spark, paths).collect()) == sorted(2 * [str(tmp_path / "a.log"), str(tmp_path / "b.log")])
