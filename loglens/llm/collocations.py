@@ -25,7 +25,7 @@ DEPTH = 5
 MIN_COUNT, TOP = 100, 2000
 #: Suffixes of a group; grows with the input so that never more than MOST_HOT prefixes are over it.
 BUDGET, MOST_HOT = 1 << 20, 1 << 16
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 #: A piece ends at . , ; : ! ? and \x0A-\x0D; words end there and at blanks and tabs.
 _BREAK = np.zeros(256, bool)

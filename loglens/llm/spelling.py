@@ -22,7 +22,7 @@ from loglens.sources.shared import materialize
 MIN_LENGTH, MIN_COUNT = 5, 3
 #: Every so manieth run, by its checksum, loses a letter.
 SLIP = 97
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: The fewest symbols of the reduced alphabet, and words per reduced word of the shortest length.
 SYMBOLS, PER_REDUCED = 6, 8
 #: Words per block of the neighbourhood's arrays.
