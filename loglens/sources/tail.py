@@ -117,19 +117,20 @@ class TailReader(DataSourceStreamReader):
     """
 
     def __init__(self, options: dict[str, str]):
+        options = {name.lower(): value for name, value in options.items()}  # as Spark hands them over
         self.paths = json.loads(options["paths"]) if "paths" in options else []
         self.directory = options.get("directory")
         self.pattern = options.get("pattern", "*.log")
         self.start = options.get("start", "latest")
-        self.chunk = int(options.get("chunkBytes", CHUNK_BYTES))
-        self.most = int(options.get("maxBytesPerTrigger", 0))
-        self.last_line = options.get("lastLine", "false").lower() == "true"
+        self.chunk = int(options.get("chunkbytes", CHUNK_BYTES))
+        self.most = int(options.get("maxbytespertrigger", 0))
+        self.last_line = options.get("lastline", "false").lower() == "true"
         if self.start not in ("latest", "earliest") and not self.start.startswith("{"):
             raise ValueError(f"start is latest, earliest or an offset, not {self.start!r}")
         if not self.paths and not self.directory:
             raise ValueError("give paths or a directory to follow")
-        # The last offset given out; none before the first, which after a restart is not known here.
-        self._given: dict[str, dict] | None = None
+        # The last offset given out. None before the first: after a restart Spark doesn't tell it, so who starts the query may.
+        self._given: dict[str, dict] | None = json.loads(options["resume"]) if "resume" in options else None
         # Places in a checkpoint's offset of files that were away at the restart.
         self._away: dict[str, dict] = {}
         # Size and time of files that were seen whole: these need not be opened again.
@@ -154,7 +155,7 @@ class TailReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         """The ends of all files, or of as much as ``maxBytesPerTrigger`` allows, dealt evenly to the files that
-        changed. The first offset of a reader that goes on from a checkpoint isn't bounded."""
+        changed. The first offset of a reader that goes on from a checkpoint is bounded only with ``resume``."""
         files = self._files()
         changed = {p: i for p, i in files.items() if self._whole.get(p) != (i.size, i.mtime_ns)}
         share = max(self.most // len(changed), 1) if self.most and changed and self._given is not None else None
@@ -264,7 +265,8 @@ class TailSource(DataSource):
     Options: ``paths`` (JSON list) or ``directory`` with ``pattern`` (default ``*.log``);
     ``start``: ``latest`` (default) begins at the end of the files present at the start and at
     the beginning of later ones, ``earliest`` at the beginning of all, a JSON offset where it says; ``chunkBytes``: size
-    of a read task; ``maxBytesPerTrigger``: bound of a micro-batch, none by default;
+    of a read task; ``maxBytesPerTrigger``: bound of a micro-batch, none by default; ``resume``: the last offset of the checkpoint that
+    the query goes on from, which bounds its first micro-batch too;
     ``lastLine``: ``true`` also takes a last line without newline, for finished files. ``position`` is the line's first
     byte in its file. As a batch source it reads up to the offset ``until``.
     """

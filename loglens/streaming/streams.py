@@ -6,6 +6,7 @@ import json
 import logging
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,7 +14,7 @@ from loglens.operators.filters import line_condition
 from loglens.operators.ordering import tail_n
 from loglens.operators.stats import interval_counts
 from loglens.sources import tail
-from loglens.sources.lines import base_name, plain_path
+from loglens.sources.lines import base_name, listed, plain_path
 
 log = logging.getLogger(__name__)
 
@@ -33,6 +34,20 @@ def _tail(spark: SparkSession, reader, paths: list[str], **options) -> DataFrame
         **{k: v for k, v in options.items() if v is not None}).load()
 
 
+def last_offset(spark: SparkSession, checkpoint: str) -> str | None:
+    """The offset of the last micro-batch that a query of one tail source planned, as its checkpoint has it; none before the first."""
+    try:
+        files = listed(spark, [f"{checkpoint}/offsets"]).collect()
+    except AnalysisException:  # no such folder yet
+        return None
+    numbers = {int(name): r[0] for r in files if (name := r[0].rsplit("/", 1)[-1]).isdigit()}
+    if not numbers:
+        return None
+    text = spark.read.text(numbers[max(numbers)], wholetext=True).first()[0]
+    offsets = text.rstrip("\n").split("\n")[2:]  # behind a version and the batch's settings
+    return offsets[0] if len(offsets) == 1 else None
+
+
 def _followed(spark: SparkSession, paths: list[str]) -> list[str]:
     found = {path: _qualified(spark, path) for path in dict.fromkeys(paths)}
     for path, (_, there) in found.items():
@@ -43,14 +58,16 @@ def _followed(spark: SparkSession, paths: list[str]) -> list[str]:
 
 def follow(spark: SparkSession, paths: list[str], *, start: str = "latest",
            pattern: str | None = None, min_severity: str | None = None,
-           max_bytes: int | None = None, last_line: bool = False) -> DataFrame:
+           max_bytes: int | None = None, last_line: bool = False, checkpoint: str | None = None) -> DataFrame:
     """Lines appended to the given files, ``(source, position, value)``; the pattern ignores case.
 
     A path that isn't there yet is reported in the log and followed from its beginning once it is. ``max_bytes``
-    bounds a micro-batch of a running query. ``last_line`` also takes a last line without newline, for finished files.
+    bounds a micro-batch of a running query, with ``checkpoint`` also the first one of a query that goes on from
+    there after a long outage. ``last_line`` also takes a last line without newline, for finished files.
     """
     lines = _tail(spark, spark.readStream, _followed(spark, paths), start=start,
-                  maxBytesPerTrigger=max_bytes, lastLine=last_line)
+                  maxBytesPerTrigger=max_bytes, lastLine=last_line,
+                  resume=last_offset(spark, checkpoint) if checkpoint else None)
     return lines.filter(line_condition(
         F.col("value"), pattern, ignore_case=True, min_severity=min_severity))
 
@@ -70,7 +87,7 @@ def tail_then_follow(spark: SparkSession, paths: list[str], n: int = 10, *, patt
 
 def watch(spark: SparkSession, directory: str, *, files: str = "*.log", start: str = "latest",
           pattern: str | None = None, min_severity: str | None = None,
-          max_bytes: int | None = None, last_line: bool = False) -> DataFrame:
+          max_bytes: int | None = None, last_line: bool = False, checkpoint: str | None = None) -> DataFrame:
     """Lines appended to the matching files of a folder, new files included, with ``filename``.
 
     A folder that does not exist is an error. The other options are those of ``follow``.
@@ -83,6 +100,8 @@ def watch(spark: SparkSession, directory: str, *, files: str = "*.log", start: s
              .option("pattern", files).option("start", start).option("lastLine", last_line))
     if max_bytes is not None:
         lines = lines.option("maxBytesPerTrigger", max_bytes)
+    if checkpoint is not None and (resume := last_offset(spark, checkpoint)):
+        lines = lines.option("resume", resume)
     found = lines.load().filter(line_condition(
         F.col("value"), pattern, ignore_case=True, min_severity=min_severity))
     return found.withColumn("filename", base_name(F.col("source")))

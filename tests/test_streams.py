@@ -1,3 +1,4 @@
+import json
 import time
 
 import pytest
@@ -250,3 +251,29 @@ def test_lines_of_a_stream_are_stamped_with_their_batch(spark, tmp_path):
     assert [r.message for r in rows] == ["plain 0", "plain 1"]
     assert NOW > rows[1].timestamp > rows[0].timestamp > "2024"
     assert all(str(r.ingest_time) == r.timestamp for r in rows)
+
+
+def test_first_batch_after_an_outage_is_bounded(spark, tmp_path):
+    log, out, checkpoint = tmp_path / "a.log", tmp_path / "out", str(tmp_path / "cp")
+    log.write_text("one\ntwo\n")
+    follow = lambda: streams.follow(spark, [str(log)], start="earliest", max_bytes=40, checkpoint=checkpoint)
+    assert streams.last_offset(spark, checkpoint) is None
+    run_once(follow(), out, checkpoint)
+    offset = streams.last_offset(spark, checkpoint)
+    assert [place["pos"] for place in json.loads(offset).values()] == [8]
+    with log.open("a") as f:
+        f.writelines(f"line {i:03d}\n" for i in range(100))
+    paths = json.dumps([next(iter(json.loads(offset)))])
+    unbounded = TailReader({"paths": paths, "maxBytesPerTrigger": "40"})
+    bounded = TailReader({"paths": paths, "maxBytesPerTrigger": "40", "resume": offset})
+    assert [p["pos"] for p in unbounded.latestOffset().values()] == [908]
+    assert [p["pos"] for p in bounded.latestOffset().values()] == [44]
+    query = streams.run(follow(), checkpoint, [streams.parquet_sink(str(out))], once=False, every="100 milliseconds")
+    try:
+        deadline = time.time() + 60
+        while time.time() < deadline and spark.read.parquet(str(out)).count() < 102:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    rows = spark.read.parquet(str(out)).groupBy("batch").count().collect()
+    assert sum(r["count"] for r in rows) == 102 and max(r["count"] for r in rows) <= 5
