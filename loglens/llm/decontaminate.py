@@ -1,24 +1,25 @@
-"""Benchmark decontamination by spaced seeds and substitution-tolerant verification."""
+"""Benchmark decontamination by spaced seeds and substitution-tolerant verification.
 
-from __future__ import annotations
+Seeds of fixed masks are hashed from every place of the texts and of the benchmark's items, and joined. A joined pair says which text, which
+item and how far they are shifted against each other; there the aligned words are compared. Texts are known by two hashes, so copies are
+compared once. Seeds that (probably) no item has are left out by a bitmap of bounded size before anything is shuffled.
+"""
 
-import math
-from collections.abc import Iterator
+from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loglens.llm.bits import bitmap
 from loglens.llm.common import NOT_WORD, mix64, prefix_sums, span_hashes, text_chunks, words_of
+from loglens.sources.shared import materialize
 
 #: Places of a window that a seed compares; the places between them may differ. Any 13 words of which 11 agree
 #: hold at least one of them in agreement (checked by a test).
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 5, 6), (0, 2, 3, 4, 7), (0, 1, 4, 6, 7))
 WINDOW, AGREEING = 13, 11
-BLOCK_WORDS = 1_000_000
-HIT = "array<struct<item_id: bigint, first_word: bigint, n_words: bigint, n_agreeing: bigint>>"
-_TYPE = pa.list_(pa.struct([(n, pa.int64()) for n in ("item_id", "first_word", "n_words", "n_agreeing")]))
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -35,123 +36,115 @@ def _seeds(words: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray:
     return out
 
 
-class Block:
-    """Words and seeds of some benchmark items; at most about BLOCK_WORDS words."""
-
-    def __init__(self, items: list[tuple[int, bytes]]) -> None:
-        texts = [t for _, t in items]
-        offsets = np.cumsum([0] + [len(t) for t in texts])
-        self.ids = np.array([i for i, _ in items], np.int64)
-        self.words, bounds = _words(np.frombuffer(b"".join(texts), np.uint8), offsets)
-        self.starts, self.ends = bounds[:-1], bounds[1:]
-        seeds, items_, places = [], [], []
-        for n, (a, b) in enumerate(zip(self.starts, self.ends)):
-            for number, mask in enumerate(MASKS):
-                found = _seeds(self.words[a:b], mask, number) if b - a >= WINDOW else np.zeros(0, np.uint64)
-                seeds.append(found)
-                items_.append(np.full(len(found), n))
-                places.append(np.arange(len(found)))
-        seeds = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
-        order = np.argsort(seeds, kind="stable")
-        self.seeds = seeds[order]
-        self.items = np.concatenate(items_)[order] if items_ else np.zeros(0, np.int64)
-        self.places = np.concatenate(places)[order] if places else np.zeros(0, np.int64)
-
-    def hits(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(row, item, first word, words, agreeing words) of each overlap, ordered by row."""
-        found = set()
-        if not len(self.seeds):
-            return
-        for number, mask in enumerate(MASKS):
-            seeds = _seeds(words, mask, number)
-            low = np.searchsorted(self.seeds, seeds)
-            at = np.flatnonzero(self.seeds[np.minimum(low, len(self.seeds) - 1)] == seeds)
-            rows = np.searchsorted(bounds, at, "right") - 1
-            for place, first, row in zip(at, low[at], rows):
-                n = int(first)
-                while n < len(self.seeds) and self.seeds[n] == seeds[place]:
-                    found.add((int(row), int(self.items[n]), int(place - bounds[row]) - int(self.places[n])))
-                    n += 1
-        for row, item, shift in sorted(found):
-            text = words[bounds[row]:bounds[row + 1]]
-            own = self.words[self.starts[item]:self.ends[item]]
-            begin, end = max(0, -shift), min(len(own), len(text) - shift)
-            if end - begin < WINDOW:
-                continue
-            same = own[begin:end] == text[begin + shift:end + shift]
-            sums = np.concatenate([[0], np.cumsum(same)])
-            good = np.flatnonzero(sums[WINDOW:] - sums[:-WINDOW] >= AGREEING)
-            if len(good):
-                first, last = int(good[0]), int(good[-1]) + WINDOW
-                yield row, int(self.ids[item]), begin + shift + first, last - first, int(sums[last] - sums[first])
-
-
-def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[list]:
-    """The benchmark, lower-cased, in blocks of about BLOCK_WORDS words each."""
-    items = benchmark.select(
-        F.col(item_col).cast("bigint").alias("item"), F.lower(F.col(text_col)).alias("body")).where(
-            "item IS NOT NULL AND body IS NOT NULL").distinct()
-    size = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    count = max(1, math.ceil(size / (6 * BLOCK_WORDS)))
-    for n in range(count):
-        part = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(count)) == n)
-        yield [(r[0], bytes(r[1])) for r in part.select("item", F.encode("body", "UTF-8")).collect()]
-
-
-def overlaps(spark, text: "F.Column", benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text"):
-    """A column: the overlaps of ``text`` with items of ``benchmark``, as an array of HIT structs.
-
-    Words are runs of letters and digits, lower-cased. Seeds of fixed masks are looked up in the sorted seeds of the benchmark; around a hit
-    the aligned words of text and item are compared, and an overlap is where 13 words of the item stand
-    with at most two substituted. It runs from the first such window to the last. The benchmark goes to the executors
-    in blocks of bounded size, one pass over the text for each, so it may be of any size.
-    Null or empty texts have none; items of fewer than 13 words, null items and null item texts match nothing.
+def _named(text: "F.Column", prefix: str) -> list["F.Column"]:
+    return [F.xxhash64(text).alias(f"{prefix}h"), F.hash(text).alias(f"{prefix}g")]
+
+
+def _bodies(rows: DataFrame, text_col: str, prefix: str) -> DataFrame:
+    """Hashes and lower-cased bytes of the texts; null and empty ones have no words."""
+    text = F.col(text_col)
+    return rows.where(F.length(text) > 0).select(*_named(text, prefix), F.encode(F.lower(text), "UTF-8").alias(f"{prefix}body"))
+
+
+def _seed_rows(bodies: DataFrame, prefix: str, known=None) -> DataFrame:
+    """h, g, place, seed of every place and mask of texts that have a window; with ``known`` of the seeds it (probably) holds."""
+    names = [f"{prefix}h", f"{prefix}g", f"{prefix}place", "seed"]
+
+    def run(batches):
+        for batch in batches:
+            keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)]
+            for row, data, offsets in text_chunks(batch.column(2)):
+                words, bounds = _words(data, offsets)
+                lengths = np.diff(bounds)
+                for number, mask in enumerate(MASKS):
+                    seeds = _seeds(words, mask, number)
+                    own = np.searchsorted(bounds, np.arange(len(seeds)), "right") - 1
+                    inside = (np.arange(len(seeds)) + mask[-1] < bounds[own + 1]) & (lengths[own] >= WINDOW)
+                    if known is not None:
+                        inside &= known.value.has(seeds)
+                    at = np.flatnonzero(inside)
+                    yield pa.RecordBatch.from_arrays(
+                        [*[pa.array(k[row + own[at]]) for k in keys], pa.array(at - bounds[own[at]]), pa.array(seeds[at].view(np.int64))],
+                        names)
+
+    schema = f"{prefix}h bigint, {prefix}g int, {prefix}place bigint, seed bigint"
+    return bodies.mapInArrow(run, schema)
+
+
+def _aligned(own: np.ndarray, text: np.ndarray, shift: int) -> tuple[int, int, int] | None:
+    """First word in ``text``, words and agreeing words of the overlap at this shift, from its first good window to its last."""
+    begin, end = max(0, -shift), min(len(own), len(text) - shift)
+    if end - begin < WINDOW:
+        return None
+    sums = np.concatenate([[0], np.cumsum(own[begin:end] == text[begin + shift:end + shift])])
+    good = np.flatnonzero(sums[WINDOW:] - sums[:-WINDOW] >= AGREEING)
+    if not len(good):
+        return None
+    first, last = int(good[0]), int(good[-1]) + WINDOW
+    return begin + shift + first, last - first, int(sums[last] - sums[first])
+
+
+def _verify(batches):
+    for batch in batches:
+        out = [[] for _ in range(6)]
+        # pairs of a text follow each other more often than not
+        seen: dict[bytes, np.ndarray] = {}
+
+        def hashed(text: bytes) -> np.ndarray:
+            if text not in seen:
+                if len(seen) > 64:
+                    seen.clear()
+                seen[text] = _words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+            return seen[text]
+
+        for h, g, item, text, own, shifts in zip(*[c.to_pylist() for c in batch.columns]):
+            for shift in sorted(shifts):
+                if found := _aligned(hashed(own), hashed(text), shift):
+                    for column, value in zip(out, (h, g, item, *found)):
+                        column.append(value)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *[pa.array(c, pa.int64()) for c in out[2:]]],
+            ["h", "g", "item_id", "first_word", "n_words", "n_agreeing"])
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+             item_text_col: str = "text") -> DataFrame:
+    """h, g (hashes of the text), item_id, first_word, n_words, n_agreeing of the overlaps of the distinct texts of ``docs``.
+
+    Words are runs of letters and digits, lower-cased. An overlap is where 13 words of the item stand
+    with at most two substituted; it runs from the first such window at a shift to the last. Null or empty texts have none;
+    items of fewer than 13 words, null items and null item texts match nothing.
     """
-    columns = []
-    for items in blocks(benchmark, item_col, text_col):
-        find = _finder(spark.sparkContext.broadcast(items))
-        columns.append(F.arrow_udf(find, HIT)(F.encode(F.lower(F.coalesce(text, F.lit(""))), "UTF-8")))
-    return columns[0] if len(columns) == 1 else F.concat(*columns)
-
-
-def _finder(shared):
-    def find(column: pa.Array) -> pa.Array:
-        block = _block(shared)
-        out, places = [[] for _ in range(4)], [0]
-        for _, data, offsets in text_chunks(column):
-            words, bounds = _words(data, offsets)
-            per_row = np.zeros(len(offsets) - 1, np.int64)
-            for hit in block.hits(words, bounds):
-                per_row[hit[0]] += 1
-                for values, value in zip(out, hit[1:]):
-                    values.append(value)
-            places.extend((places[-1] + np.cumsum(per_row)).tolist())
-        structs = pa.StructArray.from_arrays([pa.array(v, pa.int64()) for v in out], fields=list(_TYPE.value_type))
-        return pa.ListArray.from_arrays(pa.array(places, pa.int32()), structs)
-
-    return find
-
-
-#: By the broadcast list, which stays referenced here: a worker prepares a block once.
-_blocks: dict[int, tuple[list, Block]] = {}
-
-
-def _block(shared) -> Block:
-    items = shared.value
-    if id(items) not in _blocks:
-        _blocks.clear()
-        _blocks[id(items)] = items, Block(items)
-    return _blocks[id(items)][1]
+    context = docs.sparkSession.sparkContext
+    items = materialize(benchmark.where(F.col(item_col).isNotNull()).select(
+        F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text_col).alias("item_text")).distinct(), "benchmark")
+    item_bodies = _bodies(items.select("item_text").distinct(), "item_text", "i_")
+    seeds = materialize(_seed_rows(item_bodies, "i_"), "item-seeds")
+    known = context.broadcast(bitmap(seeds.select("seed").distinct()))
+    bodies = _bodies(docs.select(F.col(text_col).alias("text")), "text", "")
+    met = _seed_rows(bodies, "", known).distinct().join(seeds, "seed").select(
+        "h", "g", "i_h", "i_g", (F.col("place") - F.col("i_place")).alias("shift")).distinct()
+    pairs = materialize(met.groupBy("h", "g", "i_h", "i_g").agg(F.collect_list("shift").alias("shifts")), "seed-pairs")
+    texts = bodies.join(pairs.select("h", "g").distinct(), ["h", "g"], "left_semi").dropDuplicates(["h", "g"])
+    named = _bodies(items, "item_text", "i_").distinct()
+    numbers = items.select("item_id", *_named(F.col("item_text"), "i_"))
+    sides = pairs.join(texts, ["h", "g"]).join(named, ["i_h", "i_g"]).join(numbers, ["i_h", "i_g"]).select(
+        "h", "g", "item_id", "body", "i_body", "shifts")
+    schema = "h bigint, g int, item_id bigint, first_word bigint, n_words bigint, n_agreeing bigint"
+    return materialize(sides.mapInArrow(_verify, schema), "overlaps")
 
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """doc_id, item_id, first_word, n_words, n_agreeing of every overlap; repeated rows repeat theirs."""
-    hits = overlaps(docs.sparkSession, F.col(text_col), benchmark)
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(hits).alias("hit")).select("doc_id", "hit.*")
+    found = overlaps(docs, benchmark, text_col)
+    return docs.select(F.col(id_col).alias("doc_id"), *_named(F.col(text_col), "")).join(found, ["h", "g"]).drop("h", "g")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without any overlap, all columns as they are."""
-    return docs.where(F.size(overlaps(docs.sparkSession, F.col(text_col), benchmark)) == 0)
+    found = overlaps(docs, benchmark, text_col).select("h", "g").distinct()
+    # the columns travel as one, so none of them can clash with the hashes
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), *_named(F.col(text_col), ""))
+    return whole.join(found, ["h", "g"], "left_anti").select("document.*")
