@@ -26,6 +26,8 @@ FLOOR = np.array([0.05, 0.2, 0.05, 0.2, 0.1, 0.05, 0.05])
 SHARE = 0.75
 STEPS = 3
 MIN_ROWS = 100
+#: The group of all rows; names of the others are JSON objects.
+ALL_ROWS = "all"
 REJECT = 1 - 1e-6
 _BINS, _PER_DOUBLING = 256, 8
 
@@ -259,22 +261,32 @@ def judged(
 ) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance of every row.
 
-    A row is kept unless it fails the base rules or lies beyond its group's limit. Groups are languages and sources; those
-    of fewer than MIN_ROWS rows past the base rules are pooled by language, and where the pool is as small, nothing is known and rows are kept. Null
+    A row is kept unless it fails the base rules or lies beyond its group's limit. Groups are languages and sources; rows of those
+    of fewer than MIN_ROWS rows past the base rules are judged by the estimate over all rows of their language, and where that has as few,
+    by the one over all rows. So every row past the base rules is judged, however rare its language. Null
     languages and sources are values of their own, null texts have no words, repeated rows count as often as they occur.
     """
     counted = statistics(docs, id_col, text_col, lang_col, source_col)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stored = materialize(counted.withColumn("base_failed", failed), "statistics")
     sizes = stored.where("NOT base_failed").groupBy("lang", "source").count()
-    small = sizes.where(F.col("count") < MIN_ROWS).groupBy("lang").agg(F.sum("count").alias("pool"))
-    named = materialize(sizes.join(small.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left").select(
-        F.col("lang").alias("g_lang"), F.col("source").alias("g_source"),
-        F.when(F.col("count") >= MIN_ROWS, F.to_json(F.struct("lang", "source"))).when(
-            F.col("pool") >= MIN_ROWS, F.to_json(F.struct("lang"))).alias("grp")), "groups")
+    pools = sizes.groupBy("lang").agg(F.sum("count").alias("pool")).withColumnRenamed("lang", "l")
+    own, of_lang = F.to_json(F.struct("lang", "source")), F.to_json(F.struct("lang"))
+    named = materialize(sizes.join(pools, F.col("lang").eqNullSafe(F.col("l"))).select(
+        F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.when(F.col("count") >= MIN_ROWS, own).when(
+            F.col("pool") >= MIN_ROWS, of_lang).otherwise(F.lit(ALL_ROWS)).alias("grp")), "groups")
     placed = materialize(stored.join(named, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(
-        F.col("g_source")), "left").drop("g_lang", "g_source", "lang", "source"), "grouped")
-    fits = estimates(placed.where("grp IS NOT NULL AND NOT base_failed").select("grp", "vector"))
+        F.col("g_source")), "left").drop("g_lang", "g_source"), "grouped")
+    # a row stands for its own group, and for the wider ones that rare groups are judged by
+    wide = named.where(F.col("grp") == F.to_json(F.struct(F.col("g_lang").alias("lang")))).select(
+        F.col("grp").alias("w_grp"), F.col("g_lang").alias("w_lang")).distinct()
+    usable = placed.where("NOT base_failed")
+    narrow = usable.where(F.col("grp") == own).select("grp", "vector")
+    by_lang = usable.join(wide, F.col("lang").eqNullSafe(F.col("w_lang"))).select(F.col("w_grp").alias("grp"), "vector")
+    rows = narrow.unionByName(by_lang)
+    if not named.where(F.col("grp") == ALL_ROWS).isEmpty():
+        rows = rows.unionByName(usable.select(F.lit(ALL_ROWS).alias("grp"), "vector"))
+    fits = estimates(materialize(rows, "mcd-rows"))
     d = [F.col("vector")[i] - F.col("centres")[i] for i in range(Fits.width)]
     squared = sum(d[i] * d[j] * F.col("inverses")[i * Fits.width + j] for i in range(Fits.width) for j in range(Fits.width))
     scored = placed.join(fits.select("grp", "centres", "inverses", F.col("limits")[0].alias("limit")), "grp", "left")
