@@ -109,9 +109,9 @@ class Filter:
 
 
 def fit(labelled: DataFrame) -> Filter:
-    """Learn from URLs (url, host, path, label 0 or 1) of about SAMPLE_URLS rows.
+    """Learn from URLs (url, host, path, label 0 or 1); the trees see about SAMPLE_URLS rows of them.
 
-    Suffix and domain statistics of a training row come from the other half of the rows, those of other rows from all.
+    Suffixes and domains are counted over all labelled rows: for a training row over the other half of them, for other rows over all.
     With labels of one kind only the filter gives all URLs that label; with none it blocks nothing.
     """
     size = labelled.groupBy("label").count().collect()
@@ -120,10 +120,12 @@ def fit(labelled: DataFrame) -> Filter:
         return Filter(None, {}, float(next(iter(counts), 0)))
     share = min(1.0, SAMPLE_URLS / sum(counts.values()))
     chance = F.pmod(F.xxhash64("url", "row_"), F.lit(1_000_003))
-    sample = lexical(labelled.where(chance < share * 1_000_003)).withColumn("fold", F.pmod(F.hash("row_", "url"), F.lit(2)))
+    folded = labelled.withColumn("fold", F.pmod(F.hash("row_", "url"), F.lit(2)))
+    sample = lexical(folded.where(chance < share * 1_000_003))
     own = [f for f in FEATURES if not f.startswith(("suffix_", "domain_"))]
     sample = materialize(sample.select("label", "fold", "suffix", "domain", *own), "labelled-urls")
-    rates = {c: materialize(_rates(sample, c), f"{c}-rates") for c in ("suffix", "domain")}
+    places = folded.select("fold", "label", *[F.substring_index("host", ".", -n).alias(c) for n, c in ((1, "suffix"), (2, "domain"))])
+    rates = {c: materialize(_rates(places, c), f"{c}-rates") for c in ("suffix", "domain")}
     train = _with_rates(sample, rates).select("features", F.col("label").cast("double").alias("label"))
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, checkpointInterval=-1, cacheNodeIds=False).fit(train)
     return Filter(model, rates, 0.0)
