@@ -71,6 +71,12 @@ class Model:
         return chosen
 
 
+    def surplus(self, slots: np.ndarray, mixture: list[tuple[int, float]]) -> float:
+        """By how much an n-gram is likelier under the mixture than by chance: the mean of the logarithms."""
+        langs, shares = (np.array(x) for x in zip(*mixture))
+        return float(np.log(self.probs[slots][:, langs] @ shares).mean() + np.log(SLOTS))
+
+
 def _em(probs: np.ndarray, weights: np.ndarray, shares: np.ndarray, steps: int) -> np.ndarray:
     total = weights.sum()
     shares = np.maximum(shares, 1e-12)
@@ -156,6 +162,27 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", out_c
     return docs.withColumn(out_col, mixtures(docs.sparkSession, F.col(text_col), model))
 
 
+def recognised(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text is in languages that the model knows.
+
+    Of those with a letter, texts go whose n-grams are no likelier under their own mixture than by chance. If there was
+    nothing to learn from, all with a letter stay. Texts that are null or have no letter go.
+    """
+    lettered = docs.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    if model is None:
+        return lettered
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def known(column: pa.Array) -> pa.Array:
+        out = []
+        for _, data, offsets in text_chunks(column):
+            for slots in _grams(data, offsets):
+                out.append(len(slots) == 0 or shared.value.surplus(slots, shared.value.mixture(slots)) > 0)
+        return pa.array(out, pa.bool_())
+
+    return lettered.where(F.arrow_udf(known, "boolean")(_plain(F.col(text_col))))
+
+
 def predictions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score, languages of every row.
 
