@@ -21,7 +21,11 @@ from loglens.sources.shared import materialize
 #: Edits between near lines: what the functions take by default, and what the registered queries and the pipeline use.
 THRESHOLD, QUERIED = 1, 3
 MIN_CHARS = 20
-PAIRED = 8
+PAIRED = 32
+#: Rows of a broadcast at most; and copies of a line that no one minds.
+BROADCAST_ROWS, SELDOM = 200_000, 16
+#: Pairs that a task verifies.
+PAIRS_A_TASK = 20_000
 
 
 def banded_distance(a: Column, b: Column, k: int) -> Column:
@@ -82,17 +86,33 @@ def _bit(x: Column, at: Column, k: int) -> Column:
     return out
 
 
-def _segments(line: Column, length: Column, k: int) -> tuple[list[Column], list[Column]]:
-    """Hashes of the k + 1 segments of ``line``, and of what it probes: segments of a line of its length or shorter by up to k."""
-    own, probes = [], []
-    for d in range(k + 1):
-        base = length - d
-        for j in range(k + 1):
-            lo, hi = (F.floor(base * x / (k + 1)).cast("int") for x in (j, j + 1))
-            for shift in range(max(-j, d - k + j), min(j, d + k - j) + 1):
-                key = F.xxhash64(base, F.lit(j), F.substring(line, lo + shift + 1, hi - lo))
-                (probes if d or shift else own).append(key)
-    return own, probes
+def _places(k: int) -> list[tuple[int, int, int, bool]]:
+    """(d, j, s, own) of the segments that a line offers and probes, the ones it offers first.
+
+    It probes segment j, shifted by s, of lines shorter by d; its own segments are those at d = s = 0.
+    """
+    out = [(d, j, s, d == 0 and s == 0) for d in range(k + 1) for j in range(k + 1)
+           for s in range(max(-j, d - k + j), min(j, d + k - j) + 1)]
+    return sorted(out, key=lambda x: not x[3])
+
+
+def _keys(lines: DataFrame, k: int) -> DataFrame:
+    """h, n, key: hashes of all segments that the lines (h, line) offer and probe; n counts ``_places``.
+
+    Places become rows before segments are cut, and four bytes a character make a cut a copy, wherever in the line it is.
+    """
+    places = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(d).alias("d"), F.lit(j).alias("j"), F.lit(s).alias("s"))
+                       for n, (d, j, s, _) in enumerate(_places(k))])
+    wide = lines.select("h", F.length("line").alias("length"), F.encode("line", "UTF-32").alias("wide"))
+    each = wide.select("h", "length", "wide", F.explode(places).alias("at")).selectExpr(
+        "h", "wide", "at.n AS n", "at.j AS j", "at.s AS s", "length - at.d AS base")
+    cut = each.selectExpr("h", "wide", "n", "j", "s", "base", f"CAST(base * j div {k + 1} AS INT) AS lo", f"CAST(base * (j + 1) div {k + 1} AS INT) AS hi")
+    return cut.where("base >= 0").selectExpr("h", "n", f"xxhash64(base, j, {_wide_part('lo + s', 'hi - lo')}) AS key")
+
+
+def _wide_part(start: str, size: str) -> str:
+    """Characters of a line that has four bytes for each; ``start`` counts from 0, what is ahead of the line is nothing."""
+    return f"substring(wide, 4 * greatest({start}, 0) + 1, 4 * ({size} + least({start}, 0)))"
 
 
 def _each_line(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -116,61 +136,100 @@ def near_earlier(distinct: DataFrame, lines: DataFrame, k: int) -> DataFrame:
     ``distinct``: h, g, first (place).
     ``lines``: h, g, line of every occurrence.
     """
-    length = F.length("line")
-    own, probes = _segments(F.col("line"), length, k)
-    keys = lines.select("h", "line").distinct().select("h", F.posexplode(F.array(*own, *probes)).alias("n", "key"))
-    # one shuffle, as these rows are the most of the join
+    # one shuffle of numbers alone, as these rows are the most of the join
     here = Window.partitionBy("key")
-    shared = keys.select("h", "key", F.min("h").over(here).alias("low"), F.max("h").over(here).alias("high"), F.min("n").over(here).alias("n"))
-    live = materialize(shared.where(f"low < high AND n <= {k}").select("h").distinct()
-                       .join(distinct.select("h", "g", "first"), "h").select("h", "g", "first"), "live-lines")
+    keys = _keys(_seldom_or_first(distinct, lines), k)
+    shared = keys.select("h", "key", "n", F.min("h").over(here).alias("low"), F.max("h").over(here).alias("high"),
+                         F.min("n").over(here).alias("own"))
+    shared = materialize(shared.where(f"low < high AND own <= {k}").select("h", "n", "key").distinct(), "shared-segments")
+    live = materialize(shared.select("h").distinct().join(distinct.select("h", "g", "first"), "h").select("h", "g", "first"), "live-lines")
+    if live.count() <= BROADCAST_ROWS:
+        live = F.broadcast(live)
     # the place is part of the key, so that a common line's occurrences are spread out
     here = lines.select("h", "g", _place().alias("first"), "line")
     texts = materialize(here.join(live, ["h", "g", "first"]).dropDuplicates(["h", "g", "first"]), "live-texts")
-    members = texts.withColumn("d", F.explode(F.expr(f"sequence(0, least({k}, length(line)))"))).selectExpr(
-        "h", "g", "first", "line", "d", "d = 0 AS base", "xxhash64(length(line) - d) AS key",
-        f"array(struct(0 AS lo, length(line) - d AS hi, 0 AS sl, d AS sr, {k} AS b)) AS gaps")
-    near, pairs, level = None, None, 0
+    members = _first_members(shared, texts, k)
+    near, pairs, judged = None, None, None
     while True:
-        members = _grouped(_cut(members))
-        # at the first level a single segment is shared, which the next one sorts out cheaper than a comparison
-        whole = "NOT exists(gaps, x -> x.hi - x.lo > x.b)"
-        paired = f"({whole} OR (size <= {PAIRED} AND {level} > 0))"
+        members = _grouped(members)
+        paired = f"(size <= {PAIRED} OR NOT exists(gaps, x -> x.hi - x.lo > x.b))"
         now = _pairs(members.where(paired))
         pairs = now if pairs is None else pairs.unionByName(now)
         members = members.where(f"NOT {paired}")
         if members.isEmpty():
             break
-        found = materialize(_near_first(members.where(f"size > {PAIRED}"), k), "near-first")
+        asked = _with_first(members)
+        if judged is not None:
+            asked = asked.join(judged, asked.columns, "left_anti")
+        asked = materialize(asked, "first-pairs")
+        judged = asked if judged is None else judged.unionByName(asked)
+        found = materialize(_verified(asked, texts, k), "near-first")
         near = found if near is None else near.unionByName(found)
         still = members.join(near.distinct().withColumn("late", F.lit(True)), ["h", "g"], "left").where(
             "late IS NULL AND first > least").select("key").distinct()
-        members = members.join(still, "key", "left_semi").drop("size", "least")
-        level += 1
+        members = _cut(members.join(still, "key", "left_semi").drop("size", "least"), texts)
     pairs = pairs.distinct()
     if near is not None:
         pairs = pairs.join(near.distinct(), ["h", "g"], "left_anti")
-    pairs = materialize(pairs, "line-pairs")
-    late = pairs.join(texts.select("h", "g", "line"), ["h", "g"]).join(
-        texts.selectExpr("h AS e_h", "g AS e_g", "line AS e_line"), ["e_h", "e_g"])
-    late = late.where(banded_distance(F.col("line"), F.col("e_line"), k) <= k).select("h", "g")
+    late = _verified(materialize(pairs, "line-pairs"), texts, k)
     return (late if near is None else late.unionByName(near)).distinct()
 
 
-def _cut(members: DataFrame) -> DataFrame:
+def _seldom_or_first(distinct: DataFrame, lines: DataFrame) -> DataFrame:
+    """h, line of all occurrences but those after the first of common lines.
+
+    Common is what has more than one in BROADCAST_ROWS of all occurrences, so there are no more than BROADCAST_ROWS common lines, however
+    many lines there are; the others' few copies are kept, as the join sorts them out cheaper than a shuffle of all texts.
+    """
+    total = distinct.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    common = distinct.where(F.col("copies") > max(SELDOM, total // BROADCAST_ROWS)).select(
+        "h", "g", F.col("first").alias("common"))
+    return lines.join(F.broadcast(common), ["h", "g"], "left").where(
+        F.col("common").isNull() | (F.col("common") == _place())).select("h", "line")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(h, g) of the pairs (h, g, e_h, e_g) of lines that are near.
+
+    A built-in distance, which stops at the threshold, lets few others through to the bit-parallel one. Pairs are dealt by their number,
+    as their texts say little of the work.
+    """
+    tasks = pairs.count() // PAIRS_A_TASK + 1
+    sides = pairs.join(texts.select("h", "g", "line"), ["h", "g"]).join(
+        texts.selectExpr("h AS e_h", "g AS e_g", "line AS e_line"), ["e_h", "e_g"]).repartition(tasks, "h", "g", "e_h", "e_g")
+    close = sides.where(F.abs(F.length("line") - F.length("e_line")) <= k).where(
+        F.levenshtein("line", "e_line", k).between(0, k))
+    return close.where(banded_distance(F.col("line"), F.col("e_line"), k) <= k).select("h", "g").distinct()
+
+
+def _first_members(shared: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """Members of the first groups: a line, the segment it has in common, and the gaps before and behind it."""
+    places = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(j).alias("j"), F.lit(s).alias("s")) for d, j, s, _ in _places(k)])
+    rows = shared.join(texts.select("h", "g", "first", F.length("line").alias("length")), "h").withColumn("at", F.get(places, "n"))
+    rows = rows.selectExpr("h", "g", "first", "key", "n", "at.d AS d", "at.j AS j", "at.s AS s", "length - at.d AS base")
+    rows = rows.selectExpr("*", f"CAST(base * j div {k + 1} AS INT) AS lo", f"CAST(base * (j + 1) div {k + 1} AS INT) AS hi")
+    return rows.where("lo + s >= 0 AND hi + s <= base + d").selectExpr(
+        "h", "g", "first", "d", f"n <= {k} AS base", "key",
+        f"""filter(array(struct(0 AS lo, lo AS hi, 0 AS sl, s AS sr, j AS b),
+            struct(hi AS lo, base AS hi, s AS sl, d AS sr, {k} - j AS b)), x -> x.b > 0) AS gaps""")
+
+
+def _cut(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Members with their widest gap cut: one row and key for each segment, at each shift, that can be unchanged.
 
     A gap's lo, hi are places in the base, sl and sr the shifts of the line's own at its ends, and b its budget of edits.
+    Texts come in for the cut alone.
     """
     gap = F.expr("array_max(transform(filter(gaps, x -> x.hi - x.lo > x.b), x -> struct(x.hi - x.lo AS w, x.lo, x.hi, x.sl, x.sr, x.b)))")
     cut = members.withColumn("gap", F.coalesce(gap, F.expr(
         "transform(slice(gaps, 1, 1), x -> struct(x.hi - x.lo AS w, x.lo, x.hi, x.sl, x.sr, x.b))[0]")))
+    cut = cut.join(texts.select("h", "g", F.encode("line", "UTF-32").alias("wide")), ["h", "g"])
     cut = cut.selectExpr("*", "explode(sequence(0, gap.b)) AS j")
     cut = cut.selectExpr(
         "*", "gap.lo + CAST(floor(gap.w * j / (gap.b + 1)) AS INT) AS lo", "gap.lo + CAST(floor(gap.w * (j + 1) / (gap.b + 1)) AS INT) AS hi",
         "explode(sequence(greatest(gap.sl - j, gap.sr - gap.b + j), least(gap.sl + j, gap.sr + gap.b - j))) AS s")
     return cut.where("lo + s >= gap.lo + gap.sl AND hi + s <= gap.hi + gap.sr").selectExpr(
-        "h", "g", "first", "line", "d", "base AND s = 0 AS base", "xxhash64(key, j, substring(line, lo + s + 1, hi - lo)) AS key",
+        "h", "g", "first", "d", "base AND s = 0 AS base", f"xxhash64(key, j, {_wide_part('lo + s', 'hi - lo')}) AS key",
         """filter(concat(filter(gaps, x -> x.lo <> gap.lo OR x.hi <> gap.hi), array(
             struct(gap.lo AS lo, lo AS hi, gap.sl AS sl, s AS sr, j AS b),
             struct(hi AS lo, gap.hi AS hi, s AS sl, gap.sr AS sr, gap.b - j AS b))), x -> x.b > 0) AS gaps""")
@@ -195,19 +254,17 @@ def _pairs(members: DataFrame) -> DataFrame:
         "if(a_first < b_first, a_h, b_h) AS e_h", "if(a_first < b_first, a_g, b_g) AS e_g").distinct()
 
 
-def _near_first(members: DataFrame, k: int) -> DataFrame:
-    """Lines near the first one of a large group."""
-    first = members.where("first = least").dropDuplicates(["key"]).select("key", F.col("line").alias("earlier"))
-    near = members.where("first > least").join(first, "key").where(
-        banded_distance(F.col("line"), F.col("earlier"), k) <= k)
-    return near.select("h", "g").distinct()
+def _with_first(members: DataFrame) -> DataFrame:
+    """Pairs of every line of a large group and the group's first one."""
+    first = members.where("first = least").select("key", F.col("h").alias("e_h"), F.col("g").alias("e_g")).dropDuplicates(["key"])
+    return members.where("first > least").join(first, "key").select("h", "g", "e_h", "e_g").distinct()
 
 
 def deduplicated(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
-    threshold: int = THRESHOLD,
+    threshold: int = THRESHOLD, out_col: str = "lines_",
 ) -> DataFrame:
-    """``docs`` with struct column ``lines_``: n_lines, n_removed, n_left (lines with a word) and the text left.
+    """``docs`` with struct column ``out_col`` (in the place of one of that name): n_lines, n_removed, n_left (lines with a word) and the text left.
 
     Places are ordered by (id, hash of the text, line number). A line goes if an equal line or a line within ``threshold`` edits stands at an earlier
     place; lines of fewer than ``min_chars`` characters stay and remove nothing. Null texts stay null and have no lines; the null id is the last; rows
@@ -224,13 +281,16 @@ def deduplicated(
         "copies > 1 OR near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near")), "judged-lines")
     gone = lines.select("h", "g", "id", "mark", "pos").join(judged, ["h", "g"]).where(
         "near OR NOT (first.id <=> id AND first.mark = mark AND first.pos = pos)").groupBy("id", "mark").agg(F.collect_set("pos").alias("gone"))
-    gone = materialize(gone.select(F.col("id").alias("gone_id_"), F.col("mark").alias("gone_mark_"), F.col("gone").alias("gone_lines_")), "gone-lines")
-    joined = docs.join(gone, F.col(id_col).cast("bigint").eqNullSafe(F.col("gone_id_")) & (mark == F.col("gone_mark_")), "left")
-    all_lines = F.split(F.col(text_col), "\n")
+    gone = materialize(gone.select(F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark"), "gone"), "gone-lines")
+    # the columns travel as one, so none of them can clash with those made here
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
+    text = F.col("document")[text_col]
+    joined = whole.join(gone, F.col("document")[id_col].cast("bigint").eqNullSafe(F.col("gone_id")) & (
+        F.xxhash64(text) == F.col("gone_mark")), "left")
+    all_lines = F.split(text, "\n")
     left = F.filter(F.transform(all_lines, lambda x, i: F.when(
-        F.col("gone_lines_").isNull() | ~F.array_contains("gone_lines_", i), x)), lambda x: x.isNotNull())
-    return joined.withColumn("lines_", F.struct(
+        F.col("gone").isNull() | ~F.array_contains("gone", i), x)), lambda x: x.isNotNull())
+    return joined.select(*[F.col("document")[c].alias(c) for c in docs.columns if c != out_col], F.struct(
         F.coalesce(F.size(all_lines), F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size("gone_lines_"), F.lit(0)).alias("n_removed"),
-        F.when(F.col("gone_lines_").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")).alias("text"))
-    ).drop("gone_id_", "gone_mark_", "gone_lines_")
+        F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"),
+        F.when(F.col("gone").isNull(), text).otherwise(F.array_join(left, "\n")).alias("text")).alias(out_col))
