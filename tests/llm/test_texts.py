@@ -72,6 +72,37 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(table(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_decontamination_against_all_windows(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(7)]
+    items = [(i % 9, " ".join(rng.choices(words, k=rng.randint(10, 25)))) for i in range(12)] + [(50, "w0 " * 20), (51, "w0 " * 20)]
+    docs = []
+    for i in range(80):
+        text = rng.choices(words, k=rng.randint(0, 30))
+        for _ in range(rng.randint(0, 2)):
+            part = rng.choice(items)[1].split()
+            part = [rng.choice(words) if rng.random() < 0.1 else w for w in part[rng.randint(0, 4):]]
+            at = rng.randint(0, len(text))
+            text[at:at] = part
+        docs.append((i, " ".join(text)))
+    docs += [docs[3], (200, "W0 " * 40), (None, docs[5][1])]
+    wanted = Counter()
+    for doc, text in docs:
+        own = text.lower().split()
+        for item, body in set(items):
+            b = body.split()
+            for shift in range(-len(b), len(own)):
+                good = [j for j in range(len(b) - 12) if j + shift >= 0 and j + shift + 13 <= len(own)
+                        and sum(x == y for x, y in zip(b[j:j + 13], own[j + shift:j + shift + 13])) >= 11]
+                if good:
+                    first, last = good[0], good[-1] + 13
+                    same = sum(b[j] == own[j + shift] for j in range(first, last))
+                    wanted[doc, item, first + shift, last - first, same] += 1
+    got = Counter(tuple(r) for r in decontaminate.contaminated(
+        table(spark, docs).repartition(3), spark.createDataFrame(items, "item_id bigint, text string")).collect())
+    assert got == wanted and len(wanted) > 60
+
+
 def test_sentences(spark):
     rng = random.Random(3)
     pool = [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 9))).capitalize() + "." for _ in range(25)]
@@ -120,6 +151,51 @@ def test_outliers(spark):
     assert not any(rows[i].kept for i in range(2000, 2004))
 
 
+def test_outliers_of_a_rare_language(spark):
+    """A language of 30 rows is judged by all rows, and a rare source by its language."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 8)))
+    prose = lambda: "\n".join(" ".join(word() for _ in range(20)) for _ in range(rng.randint(4, 9)))
+    odd = lambda: " ".join(word() + "$$$" for _ in range(90))
+    docs = [(i, prose(), "en", "web") for i in range(300)] + [(1000 + i, prose(), "is", "web") for i in range(30)]
+    docs += [(2000 + i, prose(), "en", "rare") for i in range(10)] + [(3000 + i, prose(), None, None) for i in range(3)]
+    docs += [(5000, odd(), "is", "web"), (5001, odd(), "en", "rare"), (5002, odd(), None, None), (5003, odd(), "en", "web")]
+    frame = spark.createDataFrame([(*d, "x", 1) for d in docs], EXTRA)
+    rows = {r.doc_id: r for r in outliers.judged(frame).collect()}
+    assert all(r.kept and r.distance is not None for i, r in rows.items() if i < 5000)
+    assert not any(rows[i].kept for i in range(5000, 5004))
+    tiny = {r.doc_id: r.kept for r in outliers.judged(frame.where("doc_id BETWEEN 1000 AND 1020 OR doc_id = 5000")).collect()}
+    assert not tiny.pop(5000) and all(tiny.values())
+    assert outliers.judged(frame.limit(0)).count() == 0
+
+
+def test_estimate_against_a_direct_one(spark):
+    """The subset of smallest determinant, found directly by many random starts, gives about the same centre and distances."""
+    rng = np.random.default_rng(3)
+    width = outliers.Fits.width
+    mix = rng.normal(size=(width, width)) * 0.3 + np.eye(width)
+    good, bad = rng.normal(size=(400, width)) @ mix, rng.normal(size=(60, width)) * 0.2 + 12
+    data = np.concatenate([good, bad])
+    frame = spark.createDataFrame([("g", x.tolist()) for x in data], "grp string, vector array<double>")
+    fit = outliers.estimates(frame).first()
+    centre, inverse = np.array(fit.centres), np.array(fit.inverses).reshape(width, width)
+    best = None
+    for _ in range(60):
+        own = data[rng.choice(len(data), width + 2, replace=False)]
+        for _ in range(20):
+            mean, cov = own.mean(axis=0), np.cov(own.T) + np.diag(outliers.FLOOR ** 2)
+            away = np.einsum("ni,ij,nj->n", data - mean, np.linalg.inv(cov), data - mean)
+            own = data[np.argsort(away)[:int(0.75 * len(data))]]
+        det = np.linalg.slogdet(np.cov(own.T))[1]
+        if best is None or det < best[0]:
+            best = (det, own.mean(axis=0), np.cov(own.T))
+    assert np.abs(centre - best[1]).max() < 0.3
+    mine = np.einsum("ni,ij,nj->n", data - centre, inverse, data - centre)
+    direct = np.einsum("ni,ij,nj->n", data - best[1], np.linalg.inv(best[2]), data - best[1])
+    assert np.corrcoef(mine[:400], direct[:400])[0, 1] > 0.97
+    assert mine[400:].min() > fit.limits[0] > mine[:400].max() * 0.7
+
+
 def test_surrogates(spark):
     text = "Mail Ann.Lee@mail.example.com or ann.lee@mail.example.com, +1 (645) 555-3345, 1 645 555 3345, card 4216797744748693, 10.2.33.144."
     docs = [(1, text), (2, "Mrs. Sophia met Mr. Petrov. Sophia left."), (3, None), (4, "nothing here"), (5, text)] + [
@@ -139,6 +215,36 @@ def test_surrogates(spark):
     assert len(set(made)) == 300 and not set(made) & {f"a{i}@b.example.org" for i in range(300)}
 
 
+def test_names_of_people(spark):
+    docs = [(1, "Dr John Smith came. Mr Smith left. Later John Smith and Smith, O'Smith, Smithson."),
+            (2, "Mr Petrov and Mrs Petrov met Frau Anna Klein; Anna spoke."), (3, "Mrs Smith, Monsieur Jean-Luc Roux. Jean-Luc!"),
+            (4, "Госпожа Анна Иванова и Господин Иван Орлов. Орлов, Анна."), (5, "John Smith without a title"),
+            (6, "Mr An. An An Ant."), (7, "SSN 123-45-6789 and 123-45-6789, IBAN DE89 3704 0044 0532 0130 00.")]
+    docs += [(100 + i, f"Mr X{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(200)]
+    rows = {r.doc_id: r for r in surrogates.replaced(table(spark, docs)).collect()}
+    john, smith = re.match(r"Dr (\w+) (\w+) came", rows[1].text).groups()
+    assert rows[1].text == f"Dr {john} {smith} came. Mr {smith} left. Later {john} {smith} and {smith}, O'Smith, Smithson."
+    assert john != smith and {john, smith}.isdisjoint({"John", "Smith"})
+    petrov, anna, klein = re.match(r"Mr (\w+) and Mrs \1 met Frau (\w+) (\w+);", rows[2].text).groups()
+    assert rows[2].text.endswith(f"; {anna} spoke.") and anna.endswith("a") and "Anna" not in rows[2].text
+    # a surname of a man and a woman has no gender of its own
+    assert rows[3].text.startswith(f"Mrs {smith}, Monsieur ")
+    first = re.search(r"Monsieur (\S+) ", rows[3].text)[1]
+    assert rows[3].text.endswith(f" {first}!") and first[4] == "-" and first[-1] not in "aeiou"
+    female, of_woman, male, of_man = re.match(r"Госпожа (\w+) (\w+) и Господин (\w+) (\w+)\. \4, \1\.$", rows[4].text).groups()
+    assert female[-1] == of_woman[-1] == "а" and male[-1] not in "аеиоуя" and of_man[-1] not in "аеиоуя"
+    assert rows[5].text == docs[4][1]
+    an = re.match(r"Mr (\w+)\. \1 \1 Ant\.$", rows[6].text)[1]
+    assert an != "An"
+    ssn, iban = re.match(r"SSN ([\d-]+) and \1, IBAN (DE.*)\.$", rows[7].text).groups()
+    assert ssn != "123-45-6789" and re.fullmatch(r"\d{3}-\d{2}-\d{4}", ssn) and re.fullmatch(r"DE\d{2}( \d{4}){4} \d{2}", iban)
+    plain = iban.replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1 and plain != "DE89370400440532013000"
+    made = [rows[100 + i].text for i in range(200)]
+    assert len(set(made)) == 200 and not set(made) & {t for _, t in docs}
+    assert surrogates.replaced(table(spark, docs).limit(0)).count() == 0
+
+
 def test_urls(spark):
     rules = {"org/": "allow", "example.org/es/": "block", "com/de/": "block"}
     pages = [(1, "HTTP://WWW.Example.ORG/es/1?x=1"), (2, "http://a.com/de/x"), (3, "http://a.com#/de/"), (4, None), (5, "no host"),
@@ -153,6 +259,34 @@ def test_urls(spark):
     assert {r.verdict for r in rows} <= {"allow", "block"} and urls.judged(frame.limit(0), rules).count() == 0
 
 
+def urls_with_labels(spark, n, seed):
+    """Blocked URLs are long, deep, full of digits, and mostly of one suffix."""
+    rng = random.Random(seed)
+    letters = lambda k: "".join(rng.choices("abcdefghijklmnop", k=k))
+    rows = []
+    for i in range(n):
+        bad = i % 2
+        host = f"{letters(5)}{rng.randrange(100, 999) if bad else ''}.{'biz' if bad == (rng.random() < 0.9) else 'edu'}"
+        path = "/".join(letters(6) + (str(rng.randrange(10**6)) if bad else "") for _ in range(rng.randint(3, 6) if bad else rng.randint(1, 2)))
+        query = "?" + "&".join(f"{letters(2)}={rng.randrange(10**5)}" for _ in range(rng.randint(2, 5))) if bad else ""
+        rows.append((f"http://{host}/{path}{query}", host, "/" + path, i, bad))
+    return spark.createDataFrame(rows, "url string, host string, path string, row_ long, label int")
+
+
+def test_trees_on_held_out_urls(spark):
+    model = urls.fit(urls_with_labels(spark, 400, 1))
+    held = model.scored(urls_with_labels(spark, 200, 2)).collect()
+    assert sum((r.score >= 0.5) == bool(r.label) for r in held) >= 190
+
+
+def test_domains_are_counted_over_all_labels(spark, monkeypatch):
+    monkeypatch.setattr(urls, "SAMPLE_URLS", 60)
+    labelled = urls_with_labels(spark, 400, 3)
+    counts = {r.suffix: r.n for r in labelled.groupBy(F.substring_index("host", ".", -1).alias("suffix")).agg(F.count("*").alias("n")).collect()}
+    rates = urls.fit(labelled).rates["suffix"].where("fold = 2").collect()
+    assert {r.suffix: round(np.expm1(r.suffix_count)) for r in rates} == counts
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = corpus_pipeline.run(spark, SMALL)
