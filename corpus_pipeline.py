@@ -10,32 +10,40 @@ from loglens.sources.shared import materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; the others, without text or letters, go."""
+    """Documents in the languages that the others teach; those without text or letters go, and those in none of them.
+
+    If no document has both a text and a language, all with a letter stay.
+    """
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
-    kept = langid.identify(docs.select("*", F.col("text").alias("text_")), model, "text_", "languages_")
-    return kept.where(F.size("languages_") > 0).drop("text_", "languages_")
+    return langid.recognised(docs, model)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand in an earlier place; those with none of their own left go."""
-    left = lines.deduplicated(docs, threshold=lines.QUERIED)
-    bare = F.col("lines_.n_removed") > 0
-    empty = F.coalesce(F.col("lines_.text"), F.lit("")).rlike(r"^\s*$")
-    columns = [F.col("lines_.text").alias("text") if c == "text" else
-               F.when(bare, F.length("lines_.text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c)
-               if c == "n_chars" else F.col(c) for c in docs.columns]
-    return left.where(~(bare & empty)).select(*columns)
+    made = "lines"
+    while made in docs.columns:
+        made += "_"
+    left = lines.deduplicated(docs, threshold=lines.QUERIED, out_col=made)
+    bare = F.col(made)["n_removed"] > 0
+    text = F.col(made)["text"]
+    columns = [text.alias("text") if c == "text" else
+               F.when(bare, F.length(text)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c)
+               if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    return left.where(~(bare & F.coalesce(text, F.lit("")).rlike(r"^\s*$"))).select(*columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, the first by (id, hash of the text), of each group of near-duplicates; the null id is the last."""
-    each = docs.withColumn("mark_", F.xxhash64("text")).dropDuplicates(["doc_id", "mark_"])
+    # the columns travel as one, so none of them can clash with those made here
+    name, row, mark = "document", "row", "mark"
+    each = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name), F.col("doc_id").alias("id"),
+                       F.xxhash64("text").alias(mark)).dropDuplicates(["id", mark]).drop("id")
     # the rows' own numbers, in this order, so that rows that share an id or have none are judged one by one
-    order = each.orderBy(F.col("doc_id").isNull(), "doc_id", "mark_").drop("mark_")
-    rows = materialize(order.withColumn("row_", F.monotonically_increasing_id()), "numbered")
-    judged = minhash.near_duplicates(rows, id_col="row_")
-    gone = judged.where("NOT kept").select(F.col("doc_id").alias("gone_id_"))
-    return rows.join(gone, F.col("row_") == F.col("gone_id_"), "left_anti").drop("row_")
+    order = each.orderBy(F.col(name).getField("doc_id").isNull(), F.col(name)["doc_id"], mark).drop(mark)
+    rows = materialize(order.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    judged = minhash.near_duplicates(rows.select(row, F.col(name)["text"].alias("text")), id_col=row)
+    gone = judged.where("NOT kept").select(F.col("doc_id").alias(name + "gone"))
+    return rows.join(gone, F.col(row) == F.col(name + "gone"), "left_anti").select(f"{name}.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +65,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Mixture inference, MinHash components and packing are not SQL; tests hold each stage against a brute-force version.
+#: Mixture inference, MinHash components and packing are not SQL; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
