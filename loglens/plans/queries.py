@@ -576,12 +576,17 @@ def _replay(spark, sf, out: str, build: Callable[[DataFrame], DataFrame] | None
         _finish(build(stream) if build else stream, out, sink, output_mode)
 
 
+def _replayed_ms(batch: DataFrame) -> int | None:
+    """The time by which a replayed slice has arrived: its last stamp, whatever this machine's clock says."""
+    return batch.agg(F.max("event_ms")).first()[0]
+
+
 @query
 def stream_rate_limit(spark, sf):
     out = new_path(spark, "limited")
     write = streams.parquet_sink(out)
     _replay(spark, sf, out, sink=lambda batch, i: write(
-        _named(rate_limit_batch(batch, PER_SOURCE, f"{out}-buckets", i, time="event_ms")), i))
+        _named(rate_limit_batch(batch, PER_SOURCE, f"{out}-buckets", i, time="event_ms", now_ms=_replayed_ms(batch))), i))
     return spark.read.schema("source string, line_number bigint, value string").parquet(
         out).drop("batch")
 
