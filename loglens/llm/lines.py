@@ -5,9 +5,13 @@ Cut in k + 1 segments for k edits, one of its segments, the one numbered j, stan
 most k - j behind it: with S(i) edits before segment i, take the last i with S(i) >= i. So the segment is shifted by
 j places at most, and a line probes the segments of lines of its length and of those shorter by up to k.
 
-What is before and behind the segment are gaps with budgets j and k - j, to which the same applies. Groups of more than a few lines have their
-widest gap cut again, until the groups are small; so a group of thousands of lines that share a segment doesn't become pairs. Each large
-group's first line is compared with all of it, and a group in which nothing else is open is done. Only groups whose
+Segments need not cover the line, so lines of about one length are cut at the same places, behind which a rest is left. One key of a line then
+stands for bases of several lengths, and the few keys that are shared are told apart by the length.
+
+What is before and behind the segment are gaps with budgets j and k - j, to which the same applies. Groups of up to a few thousand lines
+are told apart by sketches: parities of counts of characters and of their pairs, of which an edit changes a few, so that two lines with too many
+different ones are no pair. Larger groups have their widest gap cut again, until the groups are small. The
+first line of every group is compared with all of it before, and what is near it needs no other pair. Only groups whose
 gaps have no more characters than edits are verified pair by pair whatever their size.
 """
 
@@ -21,7 +25,10 @@ from loglens.sources.shared import materialize
 #: Edits between near lines: what the functions take by default, and what the registered queries and the pipeline use.
 THRESHOLD, QUERIED = 1, 3
 MIN_CHARS = 20
-PAIRED = 32
+#: Lines of a group that are paired, and of one that is paired without sketches. A line meets no more than PAIRED others of a group.
+PAIRED, FEW = 4096, 4
+#: Bases of a group that one task pairs.
+SLICE = 256
 #: Rows of a broadcast at most; and copies of a line that no one minds.
 BROADCAST_ROWS, SELDOM = 200_000, 16
 #: Pairs that a task verifies.
@@ -86,14 +93,33 @@ def _bit(x: Column, at: Column, k: int) -> Column:
     return out
 
 
-def _places(k: int) -> list[tuple[int, int, int, bool]]:
-    """(d, j, s, own) of the segments that a line offers and probes, the ones it offers first.
+def _places(k: int) -> list[tuple[int, int, int]]:
+    """(d, j, s) of the segments that a line offers and probes, the ones it offers first.
 
-    It probes segment j, shifted by s, of lines shorter by d; its own segments are those at d = s = 0.
+    It probes segment j, shifted by s, of lines cut like those that are shorter by d, its own segments are those at d = s = 0.
     """
-    out = [(d, j, s, d == 0 and s == 0) for d in range(k + 1) for j in range(k + 1)
-           for s in range(max(-j, d - k + j), min(j, d + k - j) + 1)]
-    return sorted(out, key=lambda x: not x[3])
+    out = [(d, j, s) for d in range(k + 1) for j in range(k + 1) for s in range(-j, j + 1) if s + k - j >= d and s - k + j <= k]
+    return sorted(out, key=lambda x: (x[0] != 0 or x[2] != 0, x))
+
+
+def _cut_length(length: str) -> str:
+    """The length that lines of this length are cut by: one of 16 to 32 for each doubling."""
+    return f"if({length} < 0, -1, {length} - {length} % shiftleft(1, greatest(length(bin({length})) - 5, 0)))"
+
+
+def _cut_lengths(k: int) -> str:
+    """The lengths that lines shorter by 0 to k than ``length`` are cut by."""
+    return f"array({', '.join(_cut_length(f'(length - {d})') for d in range(k + 1))}) AS cuts"
+
+
+def _ends(k: int) -> list[str]:
+    """Ends of segment j of lines that are cut by the length ``by``."""
+    return [f"CAST(CAST(by AS BIGINT) * (j + {i}) div {k + 1} AS INT) AS {name}" for i, name in enumerate(("lo", "hi"))]
+
+
+def _widest(k: int) -> str:
+    """The largest d for which lines are cut by that length."""
+    return f"greatest({', '.join(f'if(cuts[{d}] = by, {d}, -1)' for d in range(k + 1))}, -1) AS last"
 
 
 def _keys(lines: DataFrame, k: int) -> DataFrame:
@@ -101,13 +127,19 @@ def _keys(lines: DataFrame, k: int) -> DataFrame:
 
     Places become rows before segments are cut, and four bytes a character make a cut a copy, wherever in the line it is.
     """
-    places = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(d).alias("d"), F.lit(j).alias("j"), F.lit(s).alias("s"))
-                       for n, (d, j, s, _) in enumerate(_places(k))])
-    wide = lines.select("h", F.length("line").alias("length"), F.encode("line", "UTF-32").alias("wide"))
-    each = wide.select("h", "length", "wide", F.explode(places).alias("at")).selectExpr(
-        "h", "wide", "at.n AS n", "at.j AS j", "at.s AS s", "length - at.d AS base")
-    cut = each.selectExpr("h", "wide", "n", "j", "s", "base", f"CAST(base * j div {k + 1} AS INT) AS lo", f"CAST(base * (j + 1) div {k + 1} AS INT) AS hi")
-    return cut.where("base >= 0").selectExpr("h", "n", f"xxhash64(base, j, {_wide_part('lo + s', 'hi - lo')}) AS key")
+    def rows(of):
+        return F.array(*[F.struct(F.lit(n).alias("n"), F.lit(d).alias("d"), F.lit(j).alias("j"), F.lit(s).alias("s"))
+                         for n, (d, j, s) in enumerate(_places(k)) if of(d)])
+
+    wide = lines.select("h", F.length("line").alias("length"), F.encode("line", "UTF-32").alias("wide")).selectExpr(
+        "h", "length", "wide", _cut_lengths(k))
+    # most lines are cut as all those that they probe
+    places = F.when(F.col("cuts")[0] == F.col("cuts")[k], rows(lambda d: d == 0)).otherwise(rows(lambda d: True))
+    each = wide.select("h", "length", "wide", "cuts", F.explode(places).alias("at")).selectExpr(
+        "h", "length", "wide", "cuts", "at.n AS n", "at.d AS d", "at.j AS j", "at.s AS s", "cuts[at.d] AS by")
+    each = each.where("by >= 0 AND (d = 0 OR by <> cuts[d - 1])").selectExpr("*", _widest(k), *_ends(k))
+    return each.where(f"s - {k} + j <= last AND lo + s >= 0 AND hi + s <= length").selectExpr(
+        "h", "n", f"xxhash64(by, j, {_wide_part('lo + s', 'hi - lo')}) AS key")
 
 
 def _wide_part(start: str, size: str) -> str:
@@ -152,10 +184,9 @@ def near_earlier(distinct: DataFrame, lines: DataFrame, k: int) -> DataFrame:
     near, pairs, judged = None, None, None
     while True:
         members = _grouped(members)
-        paired = f"(size <= {PAIRED} OR NOT exists(gaps, x -> x.hi - x.lo > x.b))"
-        now = _pairs(members.where(paired))
+        now = _pairs(members.where(f"size <= {FEW}"))
         pairs = now if pairs is None else pairs.unionByName(now)
-        members = members.where(f"NOT {paired}")
+        members = members.where(f"size > {FEW}")
         if members.isEmpty():
             break
         asked = _with_first(members)
@@ -165,9 +196,12 @@ def near_earlier(distinct: DataFrame, lines: DataFrame, k: int) -> DataFrame:
         judged = asked if judged is None else judged.unionByName(asked)
         found = materialize(_verified(asked, texts, k), "near-first")
         near = found if near is None else near.unionByName(found)
-        still = members.join(near.distinct().withColumn("late", F.lit(True)), ["h", "g"], "left").where(
-            "late IS NULL AND first > least").select("key").distinct()
-        members = _cut(members.join(still, "key", "left_semi").drop("size", "least"), texts)
+        members = members.join(near.distinct().withColumn("late", F.lit(True)), ["h", "g"], "left")
+        paired = f"(size <= {PAIRED} OR NOT exists(gaps, x -> x.hi - x.lo > x.b))"
+        pairs = pairs.unionByName(_pairs(_sketched(members.where(paired), texts), k))
+        members = members.where(f"NOT {paired}")
+        still = members.where("late IS NULL AND first > least").select("key").distinct()
+        members = _cut(members.join(still, "key", "left_semi").drop("size", "least", "late"), texts)
     pairs = pairs.distinct()
     if near is not None:
         pairs = pairs.join(near.distinct(), ["h", "g"], "left_anti")
@@ -204,12 +238,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
 def _first_members(shared: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """Members of the first groups: a line, the segment it has in common, and the gaps before and behind it."""
-    places = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(j).alias("j"), F.lit(s).alias("s")) for d, j, s, _ in _places(k)])
+    places = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(j).alias("j"), F.lit(s).alias("s")) for d, j, s in _places(k)])
     rows = shared.join(texts.select("h", "g", "first", F.length("line").alias("length")), "h").withColumn("at", F.get(places, "n"))
-    rows = rows.selectExpr("h", "g", "first", "key", "n", "at.d AS d", "at.j AS j", "at.s AS s", "length - at.d AS base")
-    rows = rows.selectExpr("*", f"CAST(base * j div {k + 1} AS INT) AS lo", f"CAST(base * (j + 1) div {k + 1} AS INT) AS hi")
+    rows = rows.selectExpr("h", "g", "first", "key", "length", "at.d AS least", "at.j AS j", "at.s AS s", _cut_lengths(k))
+    rows = rows.selectExpr("*", "cuts[least] AS by").selectExpr("*", _widest(k), *_ends(k))
+    # from here on by the base's own length
+    rows = rows.selectExpr("*", "explode(sequence(least, last)) AS d").where(f"abs(d - s) <= {k} - j").selectExpr(
+        "h", "g", "first", "xxhash64(key, length - d) AS key", "d", "j", "s", "length - d AS base", "lo", "hi")
     return rows.where("lo + s >= 0 AND hi + s <= base + d").selectExpr(
-        "h", "g", "first", "d", f"n <= {k} AS base", "key",
+        "h", "g", "first", "d", "d = 0 AND s = 0 AS base", "key",
         f"""filter(array(struct(0 AS lo, lo AS hi, 0 AS sl, s AS sr, j AS b),
             struct(hi AS lo, base AS hi, s AS sl, d AS sr, {k} - j AS b)), x -> x.b > 0) AS gaps""")
 
@@ -243,12 +280,33 @@ def _grouped(members: DataFrame) -> DataFrame:
     return materialize(members.join(groups, "key"), "line-groups")
 
 
-def _pairs(members: DataFrame) -> DataFrame:
-    """h, g of the later and e_h, e_g of the earlier line of the pairs to be verified."""
-    side = members.select("key", "h", "g", "first", "d", "base")
-    a = side.where("base").select([F.col(c).alias(f"a_{c}") for c in side.columns])
-    b = side.select([F.col(c).alias(f"b_{c}") for c in side.columns])
-    pairs = a.join(b, F.col("a_key") == F.col("b_key")).where("a_first <> b_first AND (b_d > 0 OR a_first < b_first)")
+def _sketched(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Members with all keys of their line, those of their own segments, and x, y, z: parities of the counts of pairs of neighbouring characters, in 128 classes, and of characters, in 64."""
+    wide = texts.join(members.select("h", "g").distinct(), ["h", "g"], "left_semi").select(
+        "h", "g", "line", F.encode("line", "UTF-32").alias("wide"))
+    grams = "if(length(line) < 2, array(), transform(sequence(0, length(line) - 2), i -> hash(substring(wide, 4 * i + 1, 8))))"
+    bits = wide.selectExpr("h", "g", f"""transform(array({grams}), q -> struct(
+        aggregate(q, 0L, (a, c) -> a ^ if(c & 64 = 0, shiftleft(1L, c & 63), 0L)) AS x,
+        aggregate(q, 0L, (a, c) -> a ^ if(c & 64 = 0, 0L, shiftleft(1L, c & 63))) AS y))[0] AS bits""",
+                           "aggregate(split(line, ''), 0L, (a, c) -> a ^ shiftleft(1L, hash(c) & 63)) AS z")
+    keys = members.groupBy("h", "g").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("base"), F.col("key"))).alias("own"))
+    return members.join(bits.select("h", "g", "bits.x", "bits.y", "z"), ["h", "g"]).join(keys, ["h", "g"])
+
+
+def _pairs(members: DataFrame, k: int | None = None) -> DataFrame:
+    """h, g of the later and e_h, e_g of the earlier line of the pairs to be verified; for ``k`` edits at most if members have sketches.
+    Then only lines not found late so far are later ones. An edit changes up to four pairs of neighbouring characters, and two characters.
+    """
+    marks = [] if k is None else ["late", "x", "y", "z", "keys", "own"]
+    # the bases of a group are dealt to slices, so no task pairs a whole group
+    slices = "CAST(ceil(size / %d) AS INT)" % SLICE
+    side = members.select("key", "h", "g", "first", "d", "base", "size", *marks)
+    a = side.where("base").selectExpr(*[f"{c} AS a_{c}" for c in side.columns], f"CAST(pmod(h, {slices}) AS INT) AS a_slice")
+    b = side.selectExpr(*[f"{c} AS b_{c}" for c in side.columns], f"explode(sequence(0, {slices} - 1)) AS b_slice")
+    alike = "" if k is None else f"bit_count(a_x ^ b_x) + bit_count(a_y ^ b_y) <= {4 * k} AND bit_count(a_z ^ b_z) <= {2 * k} AND if(a_first < b_first, b_late, a_late) IS NULL AND "
+    # once, however many keys two lines share
+    close = "" if k is None else f" AND a_key = array_min(array_intersect(a_own, b_keys))"
+    pairs = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_slice") == F.col("b_slice"))).where(alike + "a_first <> b_first AND (b_d > 0 OR a_first < b_first)" + close)
     return pairs.selectExpr(
         "if(a_first < b_first, b_h, a_h) AS h", "if(a_first < b_first, b_g, a_g) AS g",
         "if(a_first < b_first, a_h, b_h) AS e_h", "if(a_first < b_first, a_g, b_g) AS e_g").distinct()

@@ -146,3 +146,22 @@ def test_banded_distance(spark):
                            lines.banded_distance(F.col("a"), F.col("b"), k).alias("got")).collect()
         wrong = [r for r in got if (r.true <= k) != (r.got <= k) or (r.true <= k and r.true != r.got)]
         assert wrong == []
+
+
+@pytest.mark.parametrize("paired", (lines.PAIRED, 8))
+def test_family_of_changed_words_takes_one_round(spark, monkeypatch, paired):
+    # long enough to be cut like shorter lines, and most of them too far from each other
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(16)]
+    made = []
+    for _ in range(90):
+        own = list(words)
+        own[rng.randrange(len(own))] = "".join(rng.choices("klmnop", k=rng.choice([2, 5, 8])))
+        made.append(" ".join(own))
+    monkeypatch.setattr(lines, "PAIRED", paired)
+    names, old = [], lines.materialize
+    monkeypatch.setattr(lines, "materialize", lambda df, name: (names.append(name), old(df, name))[1])
+    frame = spark.createDataFrame(list(enumerate(made)), "doc_id bigint, text string")
+    got = {r[0] for r in lines.deduplicated(frame, threshold=3).where("lines_.n_removed > 0").select("doc_id").collect()}
+    assert got == {n for n, t in enumerate(made) if any(abs(len(t) - len(o)) <= 3 and distance(t, o) <= 3 for o in made[:n])}
+    assert got and (paired < 90 or names.count("line-groups") <= 2)
