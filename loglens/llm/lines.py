@@ -282,15 +282,15 @@ def _grouped(members: DataFrame) -> DataFrame:
 
 def _sketched(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Members with all keys of their line, those of their own segments, and x, y, z: parities of the counts of pairs of neighbouring characters, in 128 classes, and of characters, in 64."""
-    wide = texts.join(members.select("h", "g").distinct(), ["h", "g"], "left_semi").select(
-        "h", "g", "line", F.encode("line", "UTF-32").alias("wide"))
-    grams = "if(length(line) < 2, array(), transform(sequence(0, length(line) - 2), i -> hash(substring(wide, 4 * i + 1, 8))))"
-    bits = wide.selectExpr("h", "g", f"""transform(array({grams}), q -> struct(
+    keys = members.groupBy("h", "g").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("base"), F.col("key"))).alias("own"))
+    # arrays of one hold what is used for each character, so that it is made once
+    grams = """transform(array(encode(line, 'UTF-32')), w -> if(length(line) < 2, array(),
+        transform(sequence(0, length(line) - 2), i -> hash(substring(w, 4 * i + 1, 8)))))"""
+    bits = texts.join(keys, ["h", "g"]).selectExpr("h", "g", "keys", "own", f"""transform({grams}, q -> struct(
         aggregate(q, 0L, (a, c) -> a ^ if(c & 64 = 0, shiftleft(1L, c & 63), 0L)) AS x,
         aggregate(q, 0L, (a, c) -> a ^ if(c & 64 = 0, 0L, shiftleft(1L, c & 63))) AS y))[0] AS bits""",
-                           "aggregate(split(line, ''), 0L, (a, c) -> a ^ shiftleft(1L, hash(c) & 63)) AS z")
-    keys = members.groupBy("h", "g").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("base"), F.col("key"))).alias("own"))
-    return members.join(bits.select("h", "g", "bits.x", "bits.y", "z"), ["h", "g"]).join(keys, ["h", "g"])
+                                                   "aggregate(split(line, ''), 0L, (a, c) -> a ^ shiftleft(1L, hash(c) & 63)) AS z")
+    return members.join(bits.select("h", "g", "keys", "own", "bits.x", "bits.y", "z"), ["h", "g"])
 
 
 def _pairs(members: DataFrame, k: int | None = None) -> DataFrame:
