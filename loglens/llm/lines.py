@@ -13,6 +13,11 @@ are told apart by sketches: parities of counts of characters and of their pairs,
 different ones are no pair. Larger groups have their widest gap cut again, until the groups are small. The
 first line of every group is compared with all of it before, and what is near it needs no other pair. Only groups whose
 gaps have no more characters than edits are verified pair by pair whatever their size.
+
+In a group of more than a few dozen lines that comparison also tells which lines can meet. Let f(x) be the fewest edits between the
+first x characters of the group's first line and any prefix of another line: it never falls, and for two near lines it differs by k at most
+everywhere. So where one line first leaves the group's first, the other has not needed k + 1 edits: their spans between these two places
+overlap, and so do those taken from the right. Copies of one line that were each changed elsewhere don't meet then, however many they are.
 """
 
 from __future__ import annotations
@@ -29,6 +34,11 @@ MIN_CHARS = 20
 PAIRED, FEW = 4096, 4
 #: Bases of a group that one task pairs.
 SLICE = 256
+#: Lines of a group that meet whatever their spans, and steps of a line by which the spans of a larger one are dealt.
+MEETING, STEPS = 64, 16
+#: A line's spans beside another one: places in the other one, those on the right counted from its end.
+_SPAN = ["left", "left_end", "right", "right_end"]
+_MEMBER = ["key", "h", "g", "first", "d", "base", "size"]
 #: Rows of a broadcast at most; and copies of a line that no one minds.
 BROADCAST_ROWS, SELDOM = 200_000, 16
 #: Pairs that a task verifies.
@@ -189,19 +199,24 @@ def near_earlier(distinct: DataFrame, lines: DataFrame, k: int) -> DataFrame:
         members = members.where(f"size > {FEW}")
         if members.isEmpty():
             break
-        asked = _with_first(members)
+        paired = f"(size <= {PAIRED} OR NOT exists(gaps, x -> x.hi - x.lo > x.b))"
+        many = f"({paired} AND size > {MEETING})"
+        spans = materialize(_spans(_with_first(members.where(many)), texts, k), "line-spans")
+        asked = _with_first(members.where(f"NOT {many}")).join(spans, ["h", "g", "e_h", "e_g"], "left_anti")
         if judged is not None:
             asked = asked.join(judged, asked.columns, "left_anti")
         asked = materialize(asked, "first-pairs")
         judged = asked if judged is None else judged.unionByName(asked)
-        found = materialize(_verified(asked, texts, k), "near-first")
+        found = materialize(_verified(asked, texts, k).unionByName(spans.where("close").select("h", "g")).distinct(), "near-first")
         near = found if near is None else near.unionByName(found)
         members = members.join(near.distinct().withColumn("late", F.lit(True)), ["h", "g"], "left")
-        paired = f"(size <= {PAIRED} OR NOT exists(gaps, x -> x.hi - x.lo > x.b))"
-        pairs = pairs.unionByName(_pairs(_sketched(members.where(paired), texts), k))
+        meeting = members.where(f"{paired} AND NOT {many}").selectExpr(
+            *_MEMBER, "late", "false AS close", *[f"0 AS {c}" for c in _SPAN], "array(0) AS cells")
+        meeting = meeting.unionByName(_cells(members.where(many), spans))
+        pairs = pairs.unionByName(_pairs(materialize(_sketched(meeting, texts), "line-sketches"), k))
         members = members.where(f"NOT {paired}")
         still = members.where("late IS NULL AND first > least").select("key").distinct()
-        members = _cut(members.join(still, "key", "left_semi").drop("size", "least", "late"), texts)
+        members = _cut(members.join(still, "key", "left_semi").drop("size", "least", "late", "e_h", "e_g"), texts)
     pairs = pairs.distinct()
     if near is not None:
         pairs = pairs.join(near.distinct(), ["h", "g"], "left_anti")
@@ -273,10 +288,11 @@ def _cut(members: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _grouped(members: DataFrame) -> DataFrame:
-    """Members of the keys that a base and another line share, with the group's size and first place."""
+    """Members of the keys that a base and another line share, with the group's size, first place, and the line there as e_h, e_g."""
     groups = members.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"), F.max("base").alias("based"), F.min("first").alias("least"),
-        F.max("first").alias("last")).where("based AND least < last").drop("based", "last")
+        F.count(F.lit(1)).alias("size"), F.max("base").alias("based"), F.min(F.struct("first", "h", "g")).alias("low"),
+        F.max("first").alias("last")).where("based AND low.first < last").selectExpr(
+        "key", "size", "low.first AS least", "low.h AS e_h", "low.g AS e_g")
     return materialize(members.join(groups, "key"), "line-groups")
 
 
@@ -297,16 +313,22 @@ def _pairs(members: DataFrame, k: int | None = None) -> DataFrame:
     """h, g of the later and e_h, e_g of the earlier line of the pairs to be verified; for ``k`` edits at most if members have sketches.
     Then only lines not found late so far are later ones. An edit changes up to four pairs of neighbouring characters, and two characters.
     """
-    marks = [] if k is None else ["late", "x", "y", "z", "keys", "own"]
-    # the bases of a group are dealt to slices, so no task pairs a whole group
-    slices = "CAST(ceil(size / %d) AS INT)" % SLICE
-    side = members.select("key", "h", "g", "first", "d", "base", "size", *marks)
+    marks = [] if k is None else ["late", "x", "y", "z", "keys", "own", *_SPAN, "close", "cells"]
+    # the bases of a group are dealt to slices, so no task pairs a whole group; cells of a group are smaller
+    slices = f"CAST(ceil(size / if(size <= {MEETING}, {SLICE}, {4 * SLICE})) AS INT)"
+    side = members.select(*_MEMBER, *marks)
+    if k is not None:
+        side = side.select("*", F.explode("cells").alias("cell")).drop("cells")
     a = side.where("base").selectExpr(*[f"{c} AS a_{c}" for c in side.columns], f"CAST(pmod(h, {slices}) AS INT) AS a_slice")
     b = side.selectExpr(*[f"{c} AS b_{c}" for c in side.columns], f"explode(sequence(0, {slices} - 1)) AS b_slice")
     alike = "" if k is None else f"bit_count(a_x ^ b_x) + bit_count(a_y ^ b_y) <= {4 * k} AND bit_count(a_z ^ b_z) <= {2 * k} AND if(a_first < b_first, b_late, a_late) IS NULL AND "
     # once, however many keys two lines share
     close = "" if k is None else f" AND a_key = array_min(array_intersect(a_own, b_keys))"
-    pairs = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_slice") == F.col("b_slice"))).where(alike + "a_first <> b_first AND (b_d > 0 OR a_first < b_first)" + close)
+    on = (F.col("a_key") == F.col("b_key")) & (F.col("a_slice") == F.col("b_slice"))
+    if k is not None:
+        on &= F.col("a_cell") == F.col("b_cell")
+        alike = "a_left <= b_left_end AND b_left <= a_left_end AND a_right <= b_right_end AND b_right <= a_right_end AND (a_cell >= 0 OR a_close <> b_close) AND " + alike
+    pairs = a.join(b, on).where(alike + "a_first <> b_first AND (b_d > 0 OR a_first < b_first)" + close)
     return pairs.selectExpr(
         "if(a_first < b_first, b_h, a_h) AS h", "if(a_first < b_first, b_g, a_g) AS g",
         "if(a_first < b_first, a_h, b_h) AS e_h", "if(a_first < b_first, a_g, b_g) AS e_g").distinct()
@@ -314,8 +336,54 @@ def _pairs(members: DataFrame, k: int | None = None) -> DataFrame:
 
 def _with_first(members: DataFrame) -> DataFrame:
     """Pairs of every line of a large group and the group's first one."""
-    first = members.where("first = least").select("key", F.col("h").alias("e_h"), F.col("g").alias("e_g")).dropDuplicates(["key"])
-    return members.where("first > least").join(first, "key").select("h", "g", "e_h", "e_g").distinct()
+    return members.where("first > least").select("h", "g", "e_h", "e_g").distinct()
+
+
+def _span(a: str, b: str, k: int) -> str:
+    """(at, till): how many characters text ``a`` has in common with the start of ``b``, and a number of ``b``'s that k + 1 edits lie in, or all.
+
+    ``till`` may be larger than need be: it is looked for in doubled steps.
+    """
+    alike = """aggregate(reverse(sequence(0, length(bin(length(t.b))))), 0, (n, i) -> if(n + shiftleft(1, i) <= least(length(t.a), length(t.b))
+        AND left(t.a, n + shiftleft(1, i)) = left(t.b, n + shiftleft(1, i)), n + shiftleft(1, i), n))"""
+    size = f"least(shiftleft({k + 1}, i), length(r.b))"
+    shifts = ", ".join(str(d) for d in sorted(range(-k, k + 1), key=abs))
+    found = f"""aggregate(sequence(0, length(bin(length(r.b)))), -1, (n, i) -> if(n >= 0 OR exists(array({shifts}),
+        d -> levenshtein(left(r.a, {size} + d), left(r.b, {size}), {k}) >= 0), n, {size}))"""
+    # arrays of one hold what is used many times, so that it is made once
+    return f"""transform(transform(transform(array(struct({a} AS a, {b} AS b)), t -> struct(t.a AS a, t.b AS b, {alike} AS at)),
+        t -> struct(t.at AS at, substring(t.a, t.at + 1) AS a, substring(t.b, t.at + 1) AS b)),
+        r -> struct(r.at AS at, r.at + coalesce(nullif({found}, -1), length(r.b)) AS till))[0]"""
+
+
+def _spans(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """The pairs (h, g, e_h, e_g) with the spans of the first line beside the second, the second's length, and if they are close, that is near."""
+    tasks = 8 * pairs.count() // PAIRS_A_TASK + 1
+    sides = pairs.join(texts.select("h", "g", "line"), ["h", "g"]).join(
+        texts.selectExpr("h AS e_h", "g AS e_g", "line AS e_line"), ["e_h", "e_g"]).repartition(tasks, "h", "g", "e_h", "e_g")
+    close = F.levenshtein("line", "e_line", k).between(0, k) & (banded_distance(F.col("line"), F.col("e_line"), k) <= k)
+    spans = sides.select("h", "g", "e_h", "e_g", F.length("e_line").alias("whole"), F.when(close, True).otherwise(False).alias("close"),
+                         F.expr(_span("line", "e_line", k)).alias("l"), F.expr(_span("reverse(line)", "reverse(e_line)", k)).alias("r"))
+    return spans.selectExpr("h", "g", "e_h", "e_g", "whole", "close", "l.at AS left", "l.till AS left_end", "r.at AS right", "r.till AS right_end")
+
+
+def _cells(members: DataFrame, spans: DataFrame) -> DataFrame:
+    """Members, but for the first lines of their groups, with their spans and the cells in which they meet others.
+
+    Two lines that aren't close to the first one meet in the cells of their spans from the left and from the right. One that is close is late itself, but
+    another one may be near to it: then what lies between its first and last edit reaches the ends of both of the other's spans.
+    """
+    step = f"(whole div {STEPS} + 1)"
+
+    def steps(a: str, b: str) -> str:
+        return f"sequence(CAST({a} div {step} AS INT), CAST({b} div {step} AS INT))"
+
+    both = f"""flatten(transform({steps("left", "left_end")}, x -> transform({steps("right", "right_end")}, y -> x * {2 * STEPS} + y)))"""
+    edits = steps("least(left, whole - right)", "greatest(left, whole - right)")
+    ends = f"""if(any_close, {steps("least(left_end, whole - right_end)", "left_end")}, array())"""
+    each = members.where("first > least").join(spans, ["h", "g", "e_h", "e_g"]).withColumn("any_close", F.max("close").over(Window.partitionBy("key")))
+    cells = f"if(close, transform({edits}, x -> -1 - x), concat({both}, transform({ends}, x -> -1 - x))) AS cells"
+    return each.selectExpr(*_MEMBER, "late", "close", *_SPAN, cells)
 
 
 def deduplicated(

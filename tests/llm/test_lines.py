@@ -165,3 +165,64 @@ def test_family_of_changed_words_takes_one_round(spark, monkeypatch, paired):
     got = {r[0] for r in lines.deduplicated(frame, threshold=3).where("lines_.n_removed > 0").select("doc_id").collect()}
     assert got == {n for n, t in enumerate(made) if any(abs(len(t) - len(o)) <= 3 and distance(t, o) <= 3 for o in made[:n])}
     assert got and (paired < 90 or names.count("line-groups") <= 2)
+
+
+def star(rng, n, changes=1, alphabet="klmnop"):
+    """Copies of one line, each with some of its words replaced."""
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 6))) for _ in range(40)]
+    made = []
+    for _ in range(n):
+        own = list(words)
+        for at in rng.sample(range(len(own)), changes):
+            own[at] = "".join(rng.choices(alphabet, k=rng.choice([1, 4, 5, 6])))
+        made.append(" ".join(own))
+    return made
+
+
+def test_copies_changed_in_different_places_are_not_paired(spark, monkeypatch):
+    made = star(random.Random(4), 400)
+    rows, old = {}, lines.materialize
+
+    def counted(df, name):
+        table = old(df, name)
+        rows[name] = rows.get(name, 0) + table.count()
+        return table
+
+    monkeypatch.setattr(lines, "materialize", counted)
+    frame = spark.createDataFrame(list(enumerate(made)), "doc_id bigint, text string")
+    got = {r[0] for r in lines.deduplicated(frame, threshold=3).where("lines_.n_removed > 0").select("doc_id").collect()}
+    near = frame.alias("a").join(frame.alias("b"), F.expr("b.doc_id < a.doc_id AND levenshtein(a.text, b.text) <= 3"))
+    assert got == {r[0] for r in near.select("a.doc_id").distinct().collect()} and 0 < len(got) < 400
+    assert rows["line-pairs"] < 400 * 10  # of 79,800
+
+
+@pytest.mark.parametrize("threshold,alphabet,changes", [(1, "klmnop", 1), (2, "ab", 2), (3, "ab", 2), (3, "abcdefgh", 1), (3, "klmnop", 3)])
+def test_spans_lose_no_pair(spark, monkeypatch, threshold, alphabet, changes):
+    rng = random.Random(threshold + changes)
+    made = star(rng, 120, changes, alphabet)
+    # places where an edit can be shifted, and lines that are near others
+    made += ["ab" * 60, "ab" * 59 + "b" + "ab" * 2, "ba" * 60]
+    made += [t[:p] + rng.choice("abx") * rng.randint(0, 2) + t[p + rng.randint(0, 2):] for t in made for p in [rng.randrange(len(t))]]
+    made = list(dict.fromkeys(rng.sample(made, len(made))))
+    monkeypatch.setattr(lines, "MEETING", 6)
+    frame = spark.createDataFrame(list(enumerate(made)), "doc_id bigint, text string")
+    got = {r[0] for r in lines.deduplicated(frame, threshold=threshold).where("lines_.n_removed > 0").select("doc_id").collect()}
+    near = frame.alias("a").join(frame.alias("b"), F.expr(f"b.doc_id < a.doc_id AND levenshtein(a.text, b.text) <= {threshold}"))
+    assert got == {r[0] for r in near.select("a.doc_id").distinct().collect()} and got
+
+
+def test_spans_against_definition(spark):
+    rng = random.Random(7)
+    rows = []
+    for _ in range(400):
+        a = [rng.choice("ab") for _ in range(rng.randint(0, 24))]
+        b = list(a)
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(b) + 1)
+            b[at:at + rng.randint(0, 1)] = rng.choices("abé", k=rng.randint(0, 1))
+        rows.append(("".join(a), "".join(b)))
+    frame = spark.createDataFrame(rows, "a string, b string")
+    for r in frame.select("a", "b", F.expr(lines._span("a", "b", 2)).alias("s")).collect():
+        same = next((i for i, (x, y) in enumerate(zip(r.a, r.b)) if x != y), min(len(r.a), len(r.b)))
+        apart = [x for x in range(len(r.b) + 1) if min(distance(r.b[:x], r.a[:y]) for y in range(len(r.a) + 1)) > 2]
+        assert r.s.at == same and (r.s.till >= apart[0] if apart else r.s.till == len(r.b))
