@@ -3,6 +3,9 @@
 Letters are hashed to a few symbols. Words that are one edit apart have reduced words that are equal or one edit apart, so the full
 one-edit neighbourhood of every reduced word is generated and joined with the reduced vocabulary, and what meets there is verified on
 the words themselves. Neighbours that no word reduces to are left out by a bitmap of the reduced vocabulary before anything is shuffled.
+
+Spark takes tables of words for as small as their compressed files, and neighbourhoods for no larger than the words they are made from, so
+joins of these are told to merge: none is ever collected in the driver.
 """
 
 from __future__ import annotations
@@ -176,7 +179,7 @@ def near_pairs(vocabulary: DataFrame, symbols: int | None = None) -> DataFrame:
     symbols = symbols or max(SYMBOLS, int((vocabulary.count() / PER_REDUCED) ** (1 / MIN_LENGTH)) + 1)
     own = materialize(reduced(vocabulary, symbols), "reduced")
     known = vocabulary.sparkSession.sparkContext.broadcast(bitmap(own.select("name")))
-    met = neighbourhoods(vocabulary, symbols, known).join(own.select(F.col("word").alias("near"), "name"), "name")
+    met = neighbourhoods(vocabulary, symbols, known).hint("merge").join(own.select(F.col("word").alias("near"), "name"), "name")
     return met.where(_one_edit(F.col("word"), F.col("near"))).select("word", "near")
 
 
@@ -189,7 +192,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     reached = forms.select("word", F.col("form").alias("root"))
     while True:
         further = reached.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = materialize(reached.join(further, "root", "left").select(
+        moved = materialize(reached.join(further.hint("merge"), "root", "left").select(
             "word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         reached = moved.drop("moved")
         if moved.where("moved").isEmpty():
@@ -205,12 +208,12 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sy
     """
     vocabulary = materialize(words(docs, id_col, text_col).where(F.col("n") >= MIN_COUNT), "vocabulary")
     other = vocabulary.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
-    near = near_pairs(vocabulary, symbols).join(other, "near").groupBy("word").agg(
+    near = near_pairs(vocabulary, symbols).join(other.hint("merge"), "near").groupBy("word").agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
-    judged = materialize(vocabulary.join(near, "word", "left").select(
+    judged = materialize(vocabulary.join(near.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"),
         F.when(-F.col("best.less") >= 2 * F.col("n"), F.col("best")).alias("best")).select(
         "word", "n", "n_near", F.col("best.near").alias("form"), (-F.col("best.less")).alias("form_n")), "forms")
     roots = _roots(judged.where("form IS NOT NULL"))
-    return judged.join(roots, "word", "left").select(
+    return judged.join(roots.hint("merge"), "word", "left").select(
         "word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))

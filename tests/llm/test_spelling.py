@@ -78,6 +78,30 @@ def test_against_all_pairs(spark, seed, symbols):
     assert sum(r[2] > 0 for r in got) > 20 and any(r[5] not in (r[0], r[3]) for r in got)
 
 
+def test_no_table_of_words_is_broadcast(spark, conf, monkeypatch):
+    """Whatever Spark takes their sizes for; a neighbourhood has many more rows than the words it is planned from."""
+    conf(spark__sql__autoBroadcastJoinThreshold="1g", spark__sql__adaptive__enabled="false")
+    plans, stored = [], sp.materialize
+
+    def plan(frame):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+
+    def materialize(frame, name):
+        plan(frame)
+        return stored(frame, name)
+
+    monkeypatch.setattr(sp, "materialize", materialize)
+    docs = spark.createDataFrame(made(4), "doc_id bigint, text string")
+    near = sp.near_pairs(sp.words(docs, "doc_id", "text").select("word"))
+    plan(near)
+    result = sp.variants(docs)
+    plan(result)
+    joins = [line for p in plans for line in p.splitlines() if "Join" in line]
+    assert len(joins) >= 6 and all("SortMergeJoin" in line for line in joins)
+    assert not any("BroadcastExchange" in p for p in plans)
+    assert sorted(tuple(r) for r in result.collect()) == expected(made(4))
+
+
 def test_empty_tables(spark):
     assert run(spark, []) == [] == run(spark, [(1, None), (2, "ab cd")])
 
